@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pagesift.functions.text import bind
+
 # Leading bytes that are removed, and the names of the encodings.
 REFERENCE_STRIP = "\\s\t\r\n"
 WHITESPACE_STRIP = " \t\r\n\f\x0b"
@@ -38,38 +40,46 @@ def detect_encoding(
     content: Column, strip_set: str = REFERENCE_STRIP, bom: bool = False
 ) -> Column:
     """Encoding name from the NUL positions in the first bytes; `bom` also trusts byte marks."""
-    head = _stripped(F.substring(content, 1, PREFIX_BYTES), strip_set)
-    tests = []
-    if bom:
-        mark = F.hex(F.substring(content, 1, 4))
-        tests += [
-            (mark == "FFFE0000", UTF_32_LE),
-            (mark == "0000FEFF", UTF_32_BE),
-            (mark.startswith("FFFE"), UTF_16_LE),
-            (mark.startswith("FEFF"), UTF_16_BE),
-        ]
-    tests += [
-        (head.rlike(r"(?s)^(?:\x00{3}.){3}\x00{3}"), UTF_32_BE),
-        (head.rlike(r"(?s)^(?:.\x00{3}){4}"), UTF_32_LE),
-        (head.rlike(r"(?s)^(?:\x00.){3}\x00"), UTF_16_BE),
-        (head.rlike(r"(?s)^(?:.\x00){4}"), UTF_16_LE),
-    ]
-    chosen = F
-    for condition, name in tests:
-        chosen = chosen.when(condition, F.lit(name))
-    return chosen.otherwise(F.lit(UNKNOWN))
+    wide = (
+        (r"(?s)^(?:\x00{3}.){3}\x00{3}", UTF_32_BE),
+        (r"(?s)^(?:.\x00{3}){4}", UTF_32_LE),
+        (r"(?s)^(?:\x00.){3}\x00", UTF_16_BE),
+        (r"(?s)^(?:.\x00){4}", UTF_16_LE),
+    )
+
+    def by_nuls(head: Column) -> Column:
+        chosen = F
+        for pattern, name in wide:
+            chosen = chosen.when(head.rlike(pattern), F.lit(name))
+        return chosen.otherwise(F.lit(UNKNOWN))
+
+    named = bind(_stripped(F.substring(content, 1, PREFIX_BYTES), strip_set), by_nuls)
+    if not bom:
+        return named
+
+    def by_mark(mark: Column) -> Column:
+        return (
+            F.when(mark == "FFFE0000", UTF_32_LE)
+            .when(mark == "0000FEFF", UTF_32_BE)
+            .when(mark.startswith("FFFE"), UTF_16_LE)
+            .when(mark.startswith("FEFF"), UTF_16_BE)
+        )
+
+    return F.coalesce(bind(F.hex(F.substring(content, 1, 4)), by_mark), named)
 
 
 def narrow_encoding(
     content: Column, encoding: Column, strip_set: str = REFERENCE_STRIP
 ) -> Column:
     """One byte per character of wide content; other content is only stripped."""
-    chars = _stripped(content, strip_set)
-    narrowed = (
-        F.when(encoding == UTF_32_BE, F.regexp_replace(chars, r"(?s).{3}(.)|.{1,3}$", "$1"))
-        .when(encoding == UTF_32_LE, F.regexp_replace(chars, r"(?s)(.).{0,3}", "$1"))
-        .when(encoding == UTF_16_BE, F.regexp_replace(chars, r"(?s).(.)|.$", "$1"))
-        .when(encoding == UTF_16_LE, F.regexp_replace(chars, r"(?s)(.).?", "$1"))
-        .otherwise(chars)
-    )
-    return F.encode(narrowed, "ISO-8859-1")
+
+    def narrowed(chars: Column) -> Column:
+        return (
+            F.when(encoding == UTF_32_BE, F.regexp_replace(chars, r"(?s).{3}(.)|.{1,3}$", "$1"))
+            .when(encoding == UTF_32_LE, F.regexp_replace(chars, r"(?s)(.).{0,3}", "$1"))
+            .when(encoding == UTF_16_BE, F.regexp_replace(chars, r"(?s).(.)|.$", "$1"))
+            .when(encoding == UTF_16_LE, F.regexp_replace(chars, r"(?s)(.).?", "$1"))
+            .otherwise(chars)
+        )
+
+    return F.encode(bind(_stripped(content, strip_set), narrowed), "ISO-8859-1")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
@@ -20,6 +21,15 @@ NUMBER_TOKEN = (
 )
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with `value` evaluated once per row, wherever the optimiser moves it.
+
+    A helper column does not guarantee that: a filter on the result is pushed below the
+    projection with the helper's definition copied to each of its uses.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def decode_lossy(content: Column) -> Column:
     """UTF-8 text of a BINARY or STRING column; undecodable bytes are dropped."""
     return F.replace(F.make_valid_utf8(content.cast("string")), F.lit("\ufffd"), F.lit(""))
@@ -47,16 +57,21 @@ def _foldings() -> tuple[str, str, tuple[tuple[str, str], ...]]:
 def fold_to_ascii(text: Column) -> Column:
     """Lower-cased text with accents removed and everything else outside ASCII dropped."""
     accented, plain, ligatures = _foldings()
-    lowered = F.lower(text)
-    expanded = lowered
-    for char, letters in ligatures:
-        expanded = F.replace(expanded, F.lit(char), F.lit(letters))
     members = "".join(char for char, _ in ligatures)
-    folded = F.translate(
-        F.when(lowered.rlike(f"[{members}]"), expanded).otherwise(lowered), accented, plain
-    )
-    ascii_only = F.regexp_replace(folded, r"[^\x00-\x7F]+", "")
-    return F.when(lowered.rlike(r"[^\x00-\x7F]"), ascii_only).otherwise(lowered)
+
+    def spelled(lowered: Column) -> Column:
+        expanded = lowered
+        for char, letters in ligatures:
+            expanded = F.replace(expanded, F.lit(char), F.lit(letters))
+        return F.when(lowered.rlike(f"[{members}]"), expanded).otherwise(lowered)
+
+    def folded(lowered: Column) -> Column:
+        letters = F.translate(spelled(lowered), accented, plain)
+        return F.when(
+            lowered.rlike(r"[^\x00-\x7F]"), F.regexp_replace(letters, r"[^\x00-\x7F]+", "")
+        ).otherwise(lowered)
+
+    return bind(F.lower(text), folded)
 
 
 def ascii_words(text: Column) -> Column:

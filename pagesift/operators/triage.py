@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagesift.functions.text import decode_lossy
+from pagesift.functions.text import bind, decode_lossy
 from pagesift.operators.joins import BROADCAST_BYTES, equi_join, measured_bytes
 from pagesift.session import materialise
 
@@ -46,12 +46,7 @@ def _unquoted(tag: str) -> str:
     return rf"""(?:^|[^"'/]){tag}"""
 
 
-def with_triage_code(samples: DataFrame, content: str = "content") -> DataFrame:
-    """Adds `code`. Null content is code 0."""
-    text = F.col(content)
-    if samples.schema[content].dataType.simpleString() == "binary":
-        text = decode_lossy(text)
-    lowered = F.col("_lowered")
+def _cascade(lowered: Column) -> Column:
     html_tag = lowered.rlike(_unquoted(r"<html[^\n>]*+>"))
     first_close = _find(">", lowered, _find("<script", lowered, 1) + 7)
     is_script = (
@@ -59,7 +54,7 @@ def with_triage_code(samples: DataFrame, content: str = "content") -> DataFrame:
         & (first_close > 0)
         & (_find("</script>", lowered, first_close + 2) > 0)
     )
-    code = (
+    return (
         F.when(
             lowered.rlike(_unquoted("<!doctype html")),
             F.when(html_tag, 12).otherwise(1),
@@ -74,9 +69,14 @@ def with_triage_code(samples: DataFrame, content: str = "content") -> DataFrame:
         .when(is_script, CODE_SCRIPT)
         .otherwise(0)
     )
-    return (
-        samples.withColumn("_lowered", F.lower(text)).withColumn("code", code).drop("_lowered")
-    )
+
+
+def with_triage_code(samples: DataFrame, content: str = "content") -> DataFrame:
+    """Adds `code`. Null content is code 0."""
+    text = F.col(content)
+    if samples.schema[content].dataType.simpleString() == "binary":
+        text = decode_lossy(text)
+    return samples.withColumn("code", bind(F.lower(text), _cascade))
 
 
 def route_of_code(code: Column) -> Column:

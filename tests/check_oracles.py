@@ -39,9 +39,11 @@ def _key(row: tuple) -> tuple:
 
 def compare(spark, connection, folder: str, name: str) -> str:
     """'' when both agree, else what differs."""
+    start = time.perf_counter()
     frame = entry.queries()[name](spark, folder)
     columns = sorted(frame.columns)
     ours = Counter(_key(tuple(r)) for r in frame.select(*columns).collect())
+    print(f"  spark {time.perf_counter() - start:.1f}s", end=" ", flush=True)
     types = {f.name: f.dataType.simpleString() for f in frame.schema}
     sql = entry.oracle_sql().get(name)
     if sql is None:
