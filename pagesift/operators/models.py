@@ -21,7 +21,7 @@ MODEL_NAMES = ("svm", "xgboost", "libsvm", "keras")
 def make_classifier(name: str, width: int, seed: int = 0, **params):
     """An unfitted estimator. `svm` and `libsvm` have a linear kernel."""
     if name in ("svm", "libsvm"):
-        return LinearSVC(**{"maxIter": 50, "regParam": 0.01, **params})
+        return LinearSVC(**{"maxIter": 30, "tol": 1e-3, "regParam": 0.01, **params})
     if name == "xgboost":
         return GBTClassifier(**{"maxIter": 20, "maxDepth": 5, "seed": seed, **params})
     if name == "keras":

@@ -111,6 +111,11 @@ class Factorisation:
     losses: list[float]
 
 
+def _literal(values: list[float]) -> Column:
+    """A constant array, sent as one text instead of one expression per number."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
+
+
 def _start(component: int, idx: int) -> float:
     return 0.1 + ((idx * 7919 + component * 104_729) % 1009) / 1009
 
@@ -144,7 +149,7 @@ def fit_nmf(
     ).persist(StorageLevel.MEMORY_AND_DISK)
     losses: list[float] = []
     for number in range(1, rounds + 1):
-        rows = [F.lit(component) for component in h]
+        rows = [_literal(component) for component in h]
 
         def fitted(idx: Column) -> Column:
             total = F.lit(floor)
@@ -152,6 +157,11 @@ def fit_nmf(
                 total = total + F.col(n) * F.get(row, idx)
             return total
 
+        def gain(row: Column) -> Column:
+            return F.aggregate(
+                "_ratios", F.lit(0.0), lambda acc, x: acc + x["r"] * F.get(row, x["idx"])
+            )
+
         ratios = state.withColumn(
             "_ratios",
             F.transform(
@@ -165,11 +175,7 @@ def fit_nmf(
             *[
                 (
                     F.col(n)
-                    * F.aggregate(
-                        "_ratios",
-                        F.lit(0.0),
-                        lambda acc, x, row=row: acc + x["r"] * F.get(row, x["idx"]),
-                    )
+                    * gain(row)
                     / (F.lit(sum(h[k]) + l1 + floor) + l2 * F.col(n))
                 ).alias(n)
                 for k, (n, row) in enumerate(zip(names, rows))
