@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagesift.functions.scalars import stable_fraction
+from pagesift.sources.samples import spread
 
 # A keyword dictionary with a repeated entry, and rules with n-gram literals.
 KEYWORDS = [
@@ -21,8 +22,13 @@ SINGLE_RULES = [rule for rule in RULES if rule[0] < 820]
 NGRAM_RULES = [rule for rule in RULES if rule[0] >= 820]
 
 
+# texts whose scan may have few splits, and the columns that identify their rows
+_SPREAD = {"pages": "page_id", "documents": "doc_id"}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    rows = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(rows, _SPREAD[name]) if name in _SPREAD else rows
 
 
 def samples(spark: SparkSession, folder: str) -> DataFrame:
