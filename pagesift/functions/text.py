@@ -101,7 +101,7 @@ def whitespace_tokens(text: Column) -> Column:
 
 def simple_words(text: Column, shortest: int = 2, longest: int = 15) -> Column:
     """Lower-case alphabetic tokens of bounded length that do not start with an underscore."""
-    tokens = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)(?:(?!\d)\w)+"), F.lit(0))
+    tokens = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)[\w&&[^\d]]+"), F.lit(0))
     return F.filter(
         tokens,
         lambda t: F.length(t).between(shortest, longest) & ~t.startswith("_"),

@@ -131,9 +131,10 @@ def with_rule_presence(
         parts.append(_hits(F.col("_words"), by_length[1]))
     longer = sorted(n for n in by_length if n > 1)
     if longer:
-        # stretches of words joined by single spaces, each closed by a token no rule contains
+        # stretches of words joined by single spaces, each closed by a token no rule contains;
+        # possessive, since a greedy group recurses once per word of a long stretch
         stretches = F.regexp_extract_all(
-            "_lowered", F.lit("[a-z0-9]+(?: [a-z0-9]+)+"), F.lit(0)
+            "_lowered", F.lit("[a-z0-9]++(?: [a-z0-9]++)++"), F.lit(0)
         )
         df = df.withColumn("_linked", F.split(F.array_join(stretches, " | "), " "))
         for length in longer:

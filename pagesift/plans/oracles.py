@@ -27,11 +27,6 @@ def _with(needs: list[str], body: str) -> str:
     return f"WITH {parts}\n{body}" if parts else body
 
 
-def _values(rows: list[tuple[int, str]]) -> str:
-    listed = ", ".join(f"({i}, '{k}')" for i, k in rows)
-    return f"SELECT idx::INTEGER AS idx, keyword FROM (VALUES {listed}) AS k(idx, keyword)"
-
-
 _NUMBER = (
     "^(?:(?:0|x)?(?:0|[1-9a-f][0-9a-f]{0,3})|0(?:[1-7][0-7]{0,4}|1[0-7]{5}))$"
 )
@@ -215,15 +210,19 @@ SELECT (row_number() OVER (ORDER BY ctf DESC, term) - 1)::INTEGER AS idx, term A
  SELECT term, sum(tf) AS ctf FROM counts23 GROUP BY term ORDER BY ctf DESC, term LIMIT 100)""",
 )
 
-# presence
-_KEYWORD = "regexp_matches(' ' || lower(s.content) || ' ', '[^\\p{L}\\p{N}_]' || k.keyword || '[^\\p{L}\\p{N}_]')"
-_RULE = "regexp_matches(' ' || lower(s.content) || ' ', '[^a-z0-9]' || k.keyword || '[^a-z0-9]')"
+# presence: one constant pattern per keyword, the first index of a repeated keyword
+_KEYWORD = "(?:^|[^\\p{{L}}\\p{{N}}_]){}(?:$|[^\\p{{L}}\\p{{N}}_])"
+_RULE = "(?:^|[^a-z0-9]){}(?:$|[^a-z0-9])"
 
 
-def _presence(source: str, condition: str, rows: list[tuple[int, str]]) -> str:
-    return (
-        "SELECT s.sample_id, min(k.idx)::INTEGER AS idx, 1.0::DOUBLE AS value "
-        f"FROM {source} s JOIN ({_values(rows)}) k ON {condition} GROUP BY s.sample_id, k.keyword"
+def _presence(source: str, pattern: str, rows: list[tuple[int, str]]) -> str:
+    first: dict[str, int] = {}
+    for idx, keyword in rows:
+        first.setdefault(keyword, idx)
+    return " UNION ALL ".join(
+        f"SELECT sample_id, {idx}::INTEGER AS idx, 1.0::DOUBLE AS value FROM {source} "
+        f"WHERE regexp_matches(lower(content), '{pattern.format(keyword)}')"
+        for keyword, idx in first.items()
     )
 
 
