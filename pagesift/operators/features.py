@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,11 +62,29 @@ def merged_in_row(left: Column, right: Column) -> Column:
     return F.filter(kept, lambda f: f.isNotNull())
 
 
-def feature_vector(features: Column, width: int) -> Column:
-    """Features below `width` as an ML vector; the dense form is bounded by `width`."""
+def with_feature_vector(
+    df: DataFrame, width: int, features: str = "features", out: str = "vector"
+) -> DataFrame:
+    """Adds features below `width` as an ML vector, stored sparse where that is smaller."""
     zeros = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: feature(i, F.lit(0.0)))
     inside = F.filter(features, lambda f: f["idx"].between(0, width - 1))
-    return array_to_vector(F.transform(merged_in_row(zeros, inside), lambda f: f["value"]))
+    full = F.transform(merged_in_row(zeros, inside), lambda f: f["value"])
+    return (
+        VectorAssembler(inputCols=["_full"], outputCol=out)
+        .transform(df.withColumn("_full", array_to_vector(full)))
+        .drop("_full")
+    )
+
+
+def with_indicator_vector(
+    df: DataFrame, width: int, features: str = "features", out: str = "vector"
+) -> DataFrame:
+    """Adds 0/1 features below `width` as a sparse vector."""
+    names = F.transform(features, lambda f: f["idx"].cast("string"))
+    counter = CountVectorizerModel.from_vocabulary(
+        [str(i) for i in range(width)], inputCol="_names", outputCol=out
+    ).setBinary(True)
+    return counter.transform(df.withColumn("_names", names)).drop("_names")
 
 
 def restrict_to_vocabulary(frequencies: DataFrame, vocabulary: DataFrame) -> DataFrame:

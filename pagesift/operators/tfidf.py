@@ -22,9 +22,13 @@ from pagesift.functions.text import (
     with_ngrams,
     with_run_lengths,
 )
+from pagesift.session import materialise
 from pagesift.sources.libsvm import feature
 
 MAX_TERMS = 100_000
+# Scans above this many partitions count terms with pruning; the buckets bound its first pass.
+PRUNE_PARTITIONS = 256
+TERM_BUCKETS = 262_144
 
 
 def with_terms(
@@ -59,15 +63,63 @@ def document_frequency(frequencies: DataFrame) -> DataFrame:
     )
 
 
-def top_terms(termed: DataFrame, count: int, terms: str = "terms") -> DataFrame:
-    """(term, ctf) of the `count` most frequent terms; ties go to the lower term."""
-    return (
-        explode_values(termed, terms, "term", [])
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("ctf"))
-        .orderBy(F.desc("ctf"), "term")
-        .limit(count)
+def _ranked_counts(counted: DataFrame, count: int) -> DataFrame:
+    return counted.orderBy(F.desc("ctf"), "term").limit(count)
+
+
+def _term_counts(grams: DataFrame) -> DataFrame:
+    return grams.groupBy("term").agg(F.count(F.lit(1)).alias("ctf"))
+
+
+def top_terms(
+    termed: DataFrame, count: int, terms: str = "terms", prune: bool | None = None
+) -> DataFrame:
+    """(term, ctf) of the `count` most frequent terms; ties go to the lower term.
+
+    Most n-grams of a large corpus are rare, and counting them all shuffles several times the
+    text. With `prune`, by default for scans of many partitions, terms that cannot be among
+    the first `count` are left out before the shuffle; the result is the same.
+    """
+    if prune is None:
+        prune = termed.rdd.getNumPartitions() > PRUNE_PARTITIONS
+    if prune:
+        return _pruned_top_terms(termed, count, terms)
+    return _ranked_counts(_term_counts(explode_values(termed, terms, "term", [])), count)
+
+
+def _pruned_top_terms(
+    termed: DataFrame, count: int, terms: str, fraction: float = 0.001
+) -> DataFrame:
+    """Exact top terms in two passes, by hash-bucket bounds.
+
+    A small sample only proposes candidates. The first pass counts these exactly and all
+    other terms by hash bucket. If there are `count` candidates, no term below their lowest
+    count is wanted, and a term's count is at most its bucket's: the second pass counts the
+    terms of the buckets that reach this bound.
+    """
+    sampled = explode_values(termed.sample(fraction, seed=0), terms, "term", [])
+    proposed = [row["term"] for row in _ranked_counts(_term_counts(sampled), count).collect()]
+    grams = explode_values(termed, terms, "term", [])
+    is_candidate = F.col("term").isin(proposed) if proposed else F.lit(False)
+    bucket = F.pmod(F.xxhash64("term"), F.lit(TERM_BUCKETS))
+    first = materialise(
+        grams.groupBy(
+            F.when(~is_candidate, bucket).alias("bucket"),
+            F.when(is_candidate, F.col("term")).alias("term"),
+        ).agg(F.count(F.lit(1)).alias("ctf"))
+    )
+    candidates = first.filter(F.col("term").isNotNull()).select("term", "ctf")
+    bound = 0
+    if len(proposed) == count:
+        bound = candidates.agg(F.min("ctf")).first()[0]
+    # at most TERM_BUCKETS rows
+    reached = first.filter(F.col("term").isNull() & (F.col("ctf") >= bound)).select("bucket")
+    others = (
+        grams.filter(~is_candidate)
+        .withColumn("bucket", bucket)
+        .join(F.broadcast(reached), "bucket", "left_semi")
     )
+    return _ranked_counts(candidates.unionByName(_term_counts(others)), count)
 
 
 @dataclass(frozen=True)

@@ -723,13 +723,8 @@ def digest_features(spark, folder):
 def _vectors(spark, folder):
     """(sample_id, label, path, features vector): rule and n-gram features."""
     width = keywords.NGRAM_BASE + len(_model23(spark, folder).terms)
-    rows = _keyword_tfidf(spark, folder)
-    return rows.select(
-        "sample_id",
-        "label",
-        "path",
-        features.feature_vector(F.col("features"), width).alias("features"),
-    )
+    rows = features.with_indicator_vector(_keyword_tfidf(spark, folder), width)
+    return rows.select("sample_id", "label", "path", F.col("vector").alias("features"))
 
 
 def _parts(spark, folder):

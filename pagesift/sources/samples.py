@@ -25,7 +25,8 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 def scan_samples(spark: SparkSession, folder: str) -> DataFrame:
     """Every file below `folder`, or one file: (sample_id, path, name, content BINARY).
 
-    Files are named by their SHA1, so the path identifies a sample. Unreadable files are skipped.
+    Files are named by their SHA1, so the path identifies a sample. Unreadable files are
+    skipped, and so are empty ones, which Spark's file scan does not list.
     """
     files = (
         spark.read.format("binaryFile")
