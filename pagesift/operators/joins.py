@@ -51,7 +51,10 @@ def equi_join(
         left.join(hot, key, "left")
         .withColumn(
             "_salt",
-            F.when(F.col("_hot"), F.pmod(F.xxhash64(F.col(spread)), F.lit(SALTS)))
+            # a null key matches nothing, so its rows may go anywhere
+            F.when(
+                F.col("_hot") | F.col(key).isNull(), F.pmod(F.xxhash64(F.col(spread)), F.lit(SALTS))
+            )
             .otherwise(0)
             .cast("int"),
         )

@@ -819,14 +819,8 @@ def self_train_round(spark, folder):
 
 def _document_vectors(spark, folder):
     corpus = inputs.corpus(spark, folder)
-
-    def fit():
-        hashed = vectors.needs_hashing(corpus)
-        return vectors.fit_vectors(corpus, size=100, epochs=5, hashed=hashed), hashed
-
-    model, hashed = _once(spark, folder, "words", fit)
-    rows = vectors.doc_vectors(model, corpus, hashed)
-    return rows.withColumn("features", vectors.vector_features())
+    model = _once(spark, folder, "words", lambda: vectors.fit_vectors(corpus, size=100, epochs=5))
+    return model.transform(corpus).withColumn("features", vectors.vector_features())
 
 
 @query

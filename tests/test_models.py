@@ -125,7 +125,7 @@ def test_vectors_and_sweep(spark):
     assert not vectors.needs_hashing(df)
     for hashed in (False, True):
         words = vectors.fit_vectors(df, size=5, epochs=1, hashed=hashed)
-        out = vectors.doc_vectors(words, df, hashed).select(vectors.vector_features().alias("f"))
+        out = words.transform(df).select(vectors.vector_features().alias("f"))
         assert all(f["value"] > 0 for r in out.collect() for f in r["f"])
     table = vectors.sweep_vector_size(df, df, [3, 4], epochs=1, maxIter=2)
     sizes = {(r["size"], r["set_name"]) for r in table.collect()}
