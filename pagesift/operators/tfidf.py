@@ -199,20 +199,14 @@ def fit_tfidf(
     if not terms:
         raise ValueError("the corpus has no terms")
     present = _count_vectors(termed.select("terms"), terms)
-    found = {
-        row["idx"]: row["df"]
-        for row in present.select(
-            F.explode_outer(F.unwrap_udt("term_counts")["indices"]).alias("idx")
-        )
-        .filter(F.col("idx").isNotNull())
-        .groupBy("idx")
-        .agg(F.count(F.lit(1)).alias("df"))
-        .collect()
-    }
+    # the extra index counts the documents themselves
+    indices = F.concat(F.unwrap_udt("term_counts")["indices"], F.array(F.lit(-1)))
+    counted = present.select(F.explode_outer(indices).alias("idx")).groupBy("idx").count()
+    found = {row["idx"]: row["count"] for row in counted.collect()}
     return TfidfModel(
         terms,
         tuple(found.get(i, 0) for i in range(len(terms))),
-        corpus.count(),
+        found[-1],
         low,
         high,
         strip_accents,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagesift.functions.scalars import stable_fraction
@@ -157,7 +157,6 @@ def labelled_paths(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def split_corpus(spark: SparkSession, folder: str) -> DataFrame:
-    """The corpus with a third part for the uncertain samples of self-training."""
-    part = F.when(stable_fraction(F.col("sample_id")) < 5000, "labelled").otherwise("uncertain")
-    return corpus(spark, folder).withColumn("state", part)
+def training_state() -> Column:
+    """Labelled or uncertain, half of the samples each, for self-training."""
+    return F.when(stable_fraction(F.col("sample_id")) < 5000, "labelled").otherwise("uncertain")

@@ -25,7 +25,7 @@ from pagesift.operators import (
     vectors,
 )
 from pagesift.plans import inputs
-from pagesift.session import new_output
+from pagesift.session import new_output, stored
 from pagesift.sources import keywords, libsvm, sinks
 from pagesift.sources import samples as sample_sources
 
@@ -477,9 +477,22 @@ def _weights23(spark, folder):
     return _model23(spark, folder).transform(inputs.corpus(spark, folder))
 
 
+def _stored_weights(spark, folder):
+    """(sample_id, label, path, tfidf) as a written table."""
+    return _once(
+        spark,
+        folder,
+        "weights23",
+        lambda: stored(_weights23(spark, folder).drop("content"), "weights"),
+    )
+
+
 def _ranking23(spark, folder) -> selection.Ranking:
     return _once(
-        spark, folder, "ranking23", lambda: selection.select_features(_weights23(spark, folder))
+        spark,
+        folder,
+        "ranking23",
+        lambda: selection.select_features(_stored_weights(spark, folder)),
     )
 
 
@@ -728,7 +741,7 @@ def _vectors(spark, folder):
 
 
 def _parts(spark, folder):
-    return split.train_test_sets(split.split_by_rate(_weights23(spark, folder)))
+    return split.train_test_sets(split.split_by_rate(_stored_weights(spark, folder)))
 
 
 def _trained(spark, folder, name="xgboost"):
@@ -750,7 +763,8 @@ def _scored(spark, folder, name="xgboost"):
 def train_and_score(spark, folder):
     """Keyword and n-gram features, threshold at the class prior."""
     threshold = metrics.prior_threshold(inputs.corpus(spark, folder)).first()["threshold"]
-    train, test = split.train_test_sets(split.split_by_rate(_vectors(spark, folder)))
+    rows = stored(_vectors(spark, folder), "vectors")
+    train, test = split.train_test_sets(split.split_by_rate(rows))
     model = models.train(train)
     both = train.withColumn("set_name", F.lit("train")).unionByName(
         test.withColumn("set_name", F.lit("test"))
@@ -799,13 +813,13 @@ def load_model(spark, folder):
     loaded = models.load_model(
         config={"filesystem": {"mid_folder": parent}, "model": {"xgboost": {"model_name": name}}}
     )
-    return models.score_samples(loaded, _weights23(spark, folder), ["sample_id"], "tfidf")
+    return models.score_samples(loaded, _stored_weights(spark, folder), ["sample_id"], "tfidf")
 
 
 @query
 def self_train_round(spark, folder):
-    rows = _model23(spark, folder).transform(inputs.split_corpus(spark, folder))
-    rows = rows.withColumnRenamed("tfidf", "features")
+    rows = _stored_weights(spark, folder).withColumnRenamed("tfidf", "features")
+    rows = rows.withColumn("state", inputs.training_state())
     _, _, report = selftrain.self_train_round(
         rows.filter(F.col("state") == "labelled"),
         rows.filter(F.col("state") == "uncertain"),
@@ -849,12 +863,14 @@ def sweep_vector_size(spark, folder):
 
 @query
 def lda_topics(spark, folder):
-    model = topics.fit_lda(_weights23(spark, folder))
+    model = topics.fit_lda(_stored_weights(spark, folder))
     return topics.lda_topics(spark, model, _model23(spark, folder).terms)
 
 
 def _nmf(spark, folder):
-    rows = _weight_features(spark, folder).select("sample_id", "features")
+    rows = _stored_weights(spark, folder).select(
+        "sample_id", tfidf.vector_features("tfidf").alias("features")
+    )
     return topics.fit_nmf(rows, len(_model23(spark, folder).terms))
 
 
@@ -865,7 +881,7 @@ def nmf_topics(spark, folder):
 
 @query
 def topic_top_words(spark, folder):
-    model = topics.fit_lda(_weights23(spark, folder))
+    model = topics.fit_lda(_stored_weights(spark, folder))
     ranked = topics.lda_topics(spark, model, _model23(spark, folder).terms)
     return ranked.groupBy("topic").agg(
         F.array_join(
