@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pagesift.functions.text import bind
 
 # Leading bytes that are removed, and the names of the encodings.
-REFERENCE_STRIP = "\\s\t\r\n"
+DEFAULT_STRIP = "\\s\t\r\n"
 WHITESPACE_STRIP = " \t\r\n\f\x0b"
 UNKNOWN = "ENCODE_UNKNOWN"
 UTF_16_BE = "ENCODE_UTF_16_BE"
@@ -31,13 +31,13 @@ def _stripped(content: Column, strip_set: str) -> Column:
     return F.ltrim(_as_chars(content), F.lit(strip_set))
 
 
-def strip_leading(content: Column, strip_set: str = REFERENCE_STRIP) -> Column:
+def strip_leading(content: Column, strip_set: str = DEFAULT_STRIP) -> Column:
     """Content without its leading bytes in `strip_set`."""
     return F.encode(_stripped(content, strip_set), "ISO-8859-1")
 
 
 def detect_encoding(
-    content: Column, strip_set: str = REFERENCE_STRIP, bom: bool = False
+    content: Column, strip_set: str = DEFAULT_STRIP, bom: bool = False
 ) -> Column:
     """Encoding name from the NUL positions in the first bytes; `bom` also trusts byte marks."""
     wide = (
@@ -69,7 +69,7 @@ def detect_encoding(
 
 
 def narrow_encoding(
-    content: Column, encoding: Column, strip_set: str = REFERENCE_STRIP
+    content: Column, encoding: Column, strip_set: str = DEFAULT_STRIP
 ) -> Column:
     """One byte per character of wide content; other content is only stripped."""
 

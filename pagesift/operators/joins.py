@@ -13,8 +13,11 @@ SALTS = 64
 
 def measured_bytes(df: DataFrame) -> int:
     """Rows times a fixed row cost plus the text lengths: a small distributed aggregate."""
-    texts = [f.name for f in df.schema if f.dataType.simpleString() in ("string", "binary")]
-    total = F.count(F.lit(1)) * (16 + 16 * len(df.columns))
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    texts = [name for name, kind in kinds.items() if kind in ("string", "binary")]
+    # short arrays, such as a SHA1's routes
+    arrays = sum(kind.startswith("array") for kind in kinds.values())
+    total = F.count(F.lit(1)) * (16 + 16 * len(kinds) + 128 * arrays)
     for name in texts:
         total = total + F.coalesce(F.sum(F.octet_length(F.col(name))), F.lit(0))
     return df.agg(total.alias("bytes")).first()["bytes"]

@@ -101,6 +101,15 @@ def lookup_routes(types: DataFrame) -> DataFrame:
     )
 
 
+def _looked_up(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """(keep..., code, route) of rows joined with their lookup routes."""
+    routes = F.when(
+        F.col("code") == CODE_LOOKUP,
+        F.coalesce(F.col("routes"), F.array(F.lit(LOOKUP_NO_FILE))),
+    ).otherwise(F.array(route_of_code(F.col("code"))))
+    return rows.select(*keep, "code", F.explode_outer(routes).alias("route"))
+
+
 def triage_routes(
     samples: DataFrame,
     types: DataFrame,
@@ -110,27 +119,25 @@ def triage_routes(
 ) -> DataFrame:
     """(keep..., code, route). A sample whose SHA1 has several types gets several routes.
 
-    A type table of measured small size is broadcast and nothing is shuffled. A larger one is
-    joined on narrow rows, whose codes are first written to the shared folder so that the
-    contents are read once.
+    A type table of measured small size is broadcast and no sample is shuffled. A larger one
+    is first reduced to the SHA1s of samples that need it, one row each on both sides, which
+    usually makes it small. If not, only the samples that need the lookup are shuffled.
     """
-    coded = with_triage_code(samples)
-    # a row that needs no lookup gets a key of its own that no SHA1 equals
-    key = F.when(F.col("code") == CODE_LOOKUP, F.col(sha1)).otherwise(
-        F.concat(F.lit("#"), F.col(keep[0]).cast("string"))
-    )
-    keyed = coded.select(*keep, "code", key.alias("sha1"))
-    if measured_bytes(types) <= broadcast_bytes:
-        joined = keyed.join(F.broadcast(lookup_routes(types)), "sha1", "left")
-    else:
-        joined = equi_join(
-            materialise(keyed), lookup_routes(types), "sha1", "left", keep[0], broadcast_bytes
-        )
-    routes = F.when(
-        F.col("code") == CODE_LOOKUP,
-        F.coalesce(F.col("routes"), F.array(F.lit(LOOKUP_NO_FILE))),
-    ).otherwise(F.array(route_of_code(F.col("code"))))
-    return joined.select(*keep, "code", F.explode_outer(routes).alias("route"))
+    coded = with_triage_code(samples).select(*keep, "code", F.col(sha1).alias("_sha1"))
+    routes = lookup_routes(types).withColumnRenamed("sha1", "_sha1")
+    open_rows = coded.filter(F.col("code") == CODE_LOOKUP)
+    if measured_bytes(types) > broadcast_bytes:
+        wanted = open_rows.select("_sha1").distinct()
+        routes = materialise(routes.join(wanted, "_sha1", "left_semi"))
+        if measured_bytes(routes) > broadcast_bytes:
+            found = equi_join(open_rows, routes, "_sha1", "left", keep[0], broadcast_bytes)
+            settled = coded.filter(F.col("code") != CODE_LOOKUP)
+            return _looked_up(found, keep).unionByName(
+                settled.select(*keep, "code", route_of_code(F.col("code")).alias("route"))
+            )
+    key = F.when(F.col("code") == CODE_LOOKUP, F.col("_sha1"))
+    joined = coded.withColumn("_sha1", key).join(F.broadcast(routes), "_sha1", "left")
+    return _looked_up(joined, keep)
 
 
 def triage_summary(routed: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 import re
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -69,9 +70,12 @@ def test_lookup_gives_every_distinct_route(spark):
     assert rows(routed, "sample_id", "route") == EXPECTED
 
 
-def test_lookup_in_a_type_table_too_large_to_broadcast(spark):
+@pytest.mark.parametrize("limit", [0, 1200])
+def test_lookup_in_a_type_table_too_large_to_broadcast(spark, limit):
     samples, types = lookup_input(spark)
-    routed = triage.triage_routes(samples, types, ["sample_id"], broadcast_bytes=0)
+    others = spark.range(200).select(F.sha1(F.col("id").cast("string")).alias("sha1"), F.lit("HTML").alias("file_type"))
+    types = types.unionByName(others)
+    routed = triage.triage_routes(samples, types, ["sample_id", "content"], broadcast_bytes=limit)
     assert rows(routed, "sample_id", "route") == EXPECTED
 
 
