@@ -20,6 +20,8 @@ def build_session(app: str = "pagesift", master: str | None = None, **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        # rows are whole texts: small batches keep a batch of long ones in memory
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
         **conf,
     }
     for key, value in settings.items():

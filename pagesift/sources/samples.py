@@ -14,12 +14,12 @@ TYPE_TABLE_SCHEMA = T.StructType(
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows of a scan with fewer splits than cores, hashed over all cores.
+    """Rows of a scan that would leave half of the cores idle, hashed over all cores.
 
-    One large row group is one task otherwise. A scan with enough splits is left as it is.
+    One large row group is one task otherwise. A scan with more splits is left as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, key) if 2 * df.rdd.getNumPartitions() <= cores else df
 
 
 def scan_samples(spark: SparkSession, folder: str) -> DataFrame:
