@@ -47,9 +47,15 @@ def vector_width(df: DataFrame, features: str = "features") -> int:
     return first["n"]
 
 
-def train(df: DataFrame, name: str = "xgboost", features: str = "features", **params) -> PipelineModel:
+def train(
+    df: DataFrame,
+    name: str = "xgboost",
+    features: str = "features",
+    partitions: int | None = None,
+    **params,
+) -> PipelineModel:
     """Fits the named model on (sample_id, label, features vector)."""
-    rows = prepared(df, features).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = prepared(df, features, partitions).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         fitted = make_classifier(name, vector_width(rows), **params).fit(rows)
     finally:

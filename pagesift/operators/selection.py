@@ -12,13 +12,22 @@ from pyspark.sql import functions as F
 from pagesift.operators.tfidf import TfidfModel
 
 
-def prepared(df: DataFrame, features: str) -> DataFrame:
-    """Training rows in an order that does not depend on how the input was partitioned."""
-    return (
-        df.select("sample_id", F.col("label").cast("double").alias("label"), F.col(features).alias("features"))
-        .repartition("sample_id")
-        .sortWithinPartitions("sample_id")
+def ordered_rows(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Rows in an order that does not depend on how the input was partitioned.
+
+    Iterative fits run hundreds of short jobs: one partition per core, or the given number
+    where those would not fit in memory.
+    """
+    slots = partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots, "sample_id").sortWithinPartitions("sample_id")
+
+
+def prepared(df: DataFrame, features: str, partitions: int | None = None) -> DataFrame:
+    """(sample_id, label, features) as training rows."""
+    rows = df.select(
+        "sample_id", F.col("label").cast("double").alias("label"), F.col(features).alias("features")
     )
+    return ordered_rows(rows, partitions)
 
 
 @dataclass(frozen=True)
@@ -38,9 +47,10 @@ def select_features(
     trees: int = 250,
     depth: int = 8,
     seed: int = 0,
+    partitions: int | None = None,
 ) -> Ranking:
     """Gini importance of every column over an ensemble of randomised trees."""
-    rows = prepared(matrix, vector).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = prepared(matrix, vector, partitions).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         forest = RandomForestClassifier(
             numTrees=trees,

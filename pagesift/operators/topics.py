@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from pagesift.functions.text import explode_values, whitespace_tokens, with_run_lengths
 from pagesift.operators.joins import equi_join
+from pagesift.operators.selection import ordered_rows
 from pagesift.session import materialise
 
 # monotonically_increasing_id puts the partition number above this bit
@@ -72,12 +73,9 @@ def doc_bow(documents: DataFrame, dictionary: DataFrame, content: str = "content
 
 
 def fit_lda(matrix: DataFrame, topics: int = 2, rounds: int = 5, vector: str = "tfidf") -> LDAModel:
-    rows = (
+    rows = ordered_rows(
         matrix.select("sample_id", F.col(vector).alias("features"))
-        .repartition("sample_id")
-        .sortWithinPartitions("sample_id")
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
+    ).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return LDA(
             k=topics, maxIter=rounds, optimizer="online", learningOffset=50.0, seed=0
