@@ -4,8 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pagesift.llm.decontamination import CONTAMINATION_SQL, contamination, digest
+from pagesift.llm.mixing import MIXTURE_SQL, mixture
 from pagesift.llm.neardup import near_duplicates
 from pagesift.llm.scratch import table
+from pagesift.llm.suffix_dedup import repeated_spans
+
+
+def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    return mixture(table(spark, folder, "documents"))
+
+
+def op5_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Repeated strings of 400 bytes in every document."""
+    return repeated_spans(table(spark, folder, "documents")).drop("spans")
+
+
+def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark windows of ten words in every document."""
+    return digest(
+        contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    )
 
 
 def op9_minhash_neardup(spark: SparkSession, folder: str) -> DataFrame:
@@ -14,7 +34,13 @@ def op9_minhash_neardup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_mixing": op4_mixing,
+    "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_decontamination": op6_decontamination,
     "op9_minhash_neardup": op9_minhash_neardup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_mixing": MIXTURE_SQL,
+    "op6_decontamination": CONTAMINATION_SQL,
+}

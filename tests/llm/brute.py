@@ -52,3 +52,46 @@ def near_duplicates(docs, size, percent=80):
                         links.append((a, b))
     found = group(sets, links)
     return {i: (len(sets[i]), found[i], found[i] == i) for i in sets}
+
+
+ITEM_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def contamination(docs, items, window=10):
+    windows = set()
+    for i, text in items:
+        words = ITEM_WORD.findall(lower(text))
+        if words:
+            size = min(window, len(words))
+            windows |= {
+                (tuple(words[p : p + size]), str(i)) for p in range(len(words) - size + 1)
+            }
+    found = []
+    for i, text in docs:
+        words, hit, ids = ITEM_WORD.findall(lower(text)), set(), set()
+        for own, item in windows:
+            for p in range(len(words) - len(own) + 1):
+                if tuple(words[p : p + len(own)]) == own:
+                    hit |= set(range(p, p + len(own)))
+                    ids.add(item)
+        found.append((i, len(words), len(hit), sorted(ids)))
+    return found
+
+
+def repeated_spans(docs, size):
+    """Per row (doc_id, bytes, removed, spans, kept bytes)."""
+    places = defaultdict(int)
+    texts = [(i, (t or "").encode()) for i, t in docs]
+    for _, t in texts:
+        for p in range(len(t) - size + 1):
+            places[t[p : p + size]] += 1
+    found = []
+    for i, t in texts:
+        gone = bytearray(len(t))
+        for p in range(len(t) - size + 1):
+            if places[t[p : p + size]] > 1:
+                gone[p : p + size] = b"\1" * size
+        kept = bytes(b for b, g in zip(t, gone) if not g)
+        spans = sum(g and not (p and gone[p - 1]) for p, g in enumerate(gone))
+        found.append((i, len(t), sum(gone), spans, kept))
+    return found
