@@ -19,7 +19,7 @@ import __spark_entry__ as entry  # noqa: E402
 
 from pagesift.session import build_session  # noqa: E402
 
-TABLES = ["documents", "labels", "pages"]
+TABLES = ["documents", "labels", "pages", "benchmark", "embeddings"]
 SAME_TYPE = {
     "int": "INTEGER", "bigint": "BIGINT", "string": "VARCHAR", "double": "DOUBLE",
     "boolean": "BOOLEAN",
