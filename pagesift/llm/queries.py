@@ -3,12 +3,27 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pagesift.llm.decontamination import CONTAMINATION_SQL, contamination, digest
+from pagesift.llm.languages import predicted_languages
+from pagesift.llm.line_dedup import line_components
 from pagesift.llm.mixing import MIXTURE_SQL, mixture
 from pagesift.llm.neardup import near_duplicates
+from pagesift.llm.neighbours import nearest_neighbours
 from pagesift.llm.scratch import table
 from pagesift.llm.suffix_dedup import repeated_spans
+from pagesift.llm.toxicity import toxicity_scores
+
+
+def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every line of every document with the first line of its component."""
+    return line_components(table(spark, folder, "documents")).drop("text_hash")
+
+
+def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Predicted language of every document."""
+    return predicted_languages(table(spark, folder, "documents"))
 
 
 def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
@@ -28,16 +43,30 @@ def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity score of every document."""
+    return toxicity_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op9_minhash_neardup(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate components of all documents on 4-word shingles."""
     return near_duplicates(table(spark, folder, "documents"), words=4)
 
 
+def op10_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """Ten nearest vectors of every hundredth vector."""
+    return nearest_neighbours(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
+    "op3_language_id": op3_language_id,
     "op4_mixing": op4_mixing,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_decontamination": op6_decontamination,
+    "op8_toxicity": op8_toxicity,
     "op9_minhash_neardup": op9_minhash_neardup,
+    "op10_neighbours": op10_neighbours,
 }
 
 ORACLES: dict[str, str] = {

@@ -95,3 +95,29 @@ def repeated_spans(docs, size):
         spans = sum(g and not (p and gone[p - 1]) for p, g in enumerate(gone))
         found.append((i, len(t), sum(gone), spans, kept))
     return found
+
+
+def line_components(docs, width, percent=80):
+    """{(doc_id, line number): first line of its component}, for texts with distinct ids."""
+    sets, where = {}, {}
+    for i, text in docs:
+        if text is None:
+            continue
+        for n, raw in enumerate(text.split("\n")):
+            line = raw.strip(" \t\r").encode()
+            where[i, n] = line
+            if line:
+                sets[line] = {line[p : p + width] for p in range(max(1, len(line) - width + 1))}
+    lines = sorted(sets)
+    links = [
+        (a, b)
+        for k, a in enumerate(lines)
+        for b in lines[k + 1 :]
+        if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])
+    ]
+    root = group(lines, links)
+    first = {}
+    for place in sorted(where):
+        if where[place]:
+            first.setdefault(root[where[place]], place)
+    return {p: first[root[line]] if line else p for p, line in where.items()}
