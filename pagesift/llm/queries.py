@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagesift.llm.decontamination import CONTAMINATION_SQL, contamination, digest
+from pagesift.llm.html_extraction import extract
 from pagesift.llm.languages import predicted_languages
 from pagesift.llm.line_dedup import line_components
 from pagesift.llm.mixing import MIXTURE_SQL, mixture
@@ -13,6 +14,7 @@ from pagesift.llm.neardup import near_duplicates
 from pagesift.llm.neighbours import nearest_neighbours
 from pagesift.llm.scratch import table
 from pagesift.llm.suffix_dedup import repeated_spans
+from pagesift.llm.surrogates import with_surrogates
 from pagesift.llm.toxicity import toxicity_scores
 
 
@@ -21,6 +23,11 @@ def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_components(table(spark, folder, "documents")).drop("text_hash")
 
 
+def op2_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    return extract(table(spark, folder, "pages"))
+
+
 def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """Predicted language of every document."""
     return predicted_languages(table(spark, folder, "documents"))
@@ -43,6 +50,11 @@ def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with surrogates for its personal data."""
+    return with_surrogates(table(spark, folder, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity score of every document."""
     return toxicity_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
@@ -60,10 +72,12 @@ def op10_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_html_extraction": op2_html_extraction,
     "op3_language_id": op3_language_id,
     "op4_mixing": op4_mixing,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_decontamination": op6_decontamination,
+    "op7_surrogates": op7_surrogates,
     "op8_toxicity": op8_toxicity,
     "op9_minhash_neardup": op9_minhash_neardup,
     "op10_neighbours": op10_neighbours,
