@@ -39,6 +39,10 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             "large",
         )
         low = scratch.store(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        # unchanged, and every node has one neighbour below it: stars
+        if _fingerprint(large) == _fingerprint(stars) and low.count() == large.count():
+            scratch.drop(least, large, low)
+            break
         small = scratch.store(
             large.join(low, "u")
             .filter("v <> m")
@@ -47,11 +51,8 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             .distinct(),
             "stars",
         )
-        settled = _fingerprint(small) == _fingerprint(stars)
         scratch.drop(stars, least, large, low)
         stars = small
-        if settled:
-            break
     result = scratch.store(
         stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
             stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

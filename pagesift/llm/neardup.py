@@ -7,11 +7,11 @@
    the similarity demands), so one of the first (size - needed + 1) values in order of rarity is
    common to both; only those values make lists. Values that many texts share come last in that
    order and make none.
-3. Each list is compared through pivots (see `linking`); the union sketch of a pair estimates its
-   similarity and drops pairs far below the threshold, the full sets decide the others.
+3. Lists are compared as `linking` says; the union sketch of a pair estimates its similarity and
+   drops pairs far below the threshold, the full sets decide the others.
 4. Links are merged by distributed stars (see `components`).
 
-With K = 96 and MIN_SHARED = 48 a pair of similarity 0.8 is missed with a probability below 1e-9.
+With K = 72 and MIN_SHARED = 36 a pair of similarity 0.8 is missed with a probability below 1e-6.
 """
 
 from __future__ import annotations
@@ -23,7 +23,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from pagesift.llm.bytewords import (
     NOT_SPACE,
@@ -34,11 +33,11 @@ from pagesift.llm.bytewords import (
     span_hashes,
     word_bounds,
 )
-from pagesift.llm.linking import connect
+from pagesift.llm.linking import connect, rare_lists
 from pagesift.llm.scratch import Scratch
 
-K = 96
-MIN_SHARED = 48
+K = 72
+MIN_SHARED = 36
 
 
 def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
@@ -140,14 +139,23 @@ def near_duplicates(
     classes = scratch.store(
         linked.groupBy("digest").agg(F.min("doc_id").alias("node")), "classes"
     )
-    lists = _rare_lists(linked, classes, scratch, k, min_shared, percent)
+    # a doc_id with several texts is one node; each of its sets still makes its own lists
+    nodes = linked.withColumnRenamed("doc_id", "node").join(
+        classes, ["digest", "node"], "left_semi"
+    )
+    lists = rare_lists(
+        nodes.select("node", F.col("n_shingles").alias("n"), F.explode("sketch").alias("key")),
+        retained=lambda n: F.least(n, F.lit(k)),
+        needed=lambda n: _needed(n, k, min_shared, percent),
+        scratch=scratch,
+    )
     sets = scratch.store(
         docs.select(F.col("doc_id").cast("long").alias("node"), "text")
         .join(lists.select("node").distinct(), "node", "left_semi")
         .mapInArrow(_set_maker(words), "node long, shingles array<long>"),
         "sets",
     )
-    found = connect(lists, lambda pairs: _similar(pairs, sets, k, percent), scratch, percent)
+    found = connect(lists, sets, lambda pairs: _similar(pairs, sets, k, percent), scratch, percent)
     component = F.coalesce("component", "node", "doc_id")
     result = (
         sketches.select(
@@ -171,52 +179,6 @@ def near_duplicates(
     return result
 
 
-def _rare_lists(
-    linked: DataFrame,
-    classes: DataFrame,
-    scratch: Scratch,
-    k: int,
-    min_shared: int,
-    percent: int,
-) -> DataFrame:
-    """(key, node, n, weight): inverted lists, with two nodes at least, of each node's necessary
-    rare values."""
-    # a doc_id with several texts is one node; each of its sets still makes its own lists
-    nodes = linked.withColumnRenamed("doc_id", "node").join(
-        classes, ["digest", "node"], "left_semi"
-    )
-    entries = nodes.select(
-        "node",
-        F.col("n_shingles").alias("n"),
-        F.explode("sketch").alias("key"),
-    )
-    shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    known = entries.join(shared, "key")
-    by_rarity = Window.partitionBy("node", "n").orderBy("df", "key")
-    of_node = Window.partitionBy("node", "n")
-    size = F.least(F.col("n"), F.lit(k))
-    ranked = (
-        known.withColumn("place", F.row_number().over(by_rarity))
-        .withColumn("weight", F.count(F.lit(1)).over(of_node))
-        # values that no other node retains come first in the order of rarity
-        .filter(
-            F.col("place") + size - F.col("weight")
-            <= size - _needed(F.col("n"), k, min_shared, percent) + 1
-        )
-        .select("key", "node", "n", F.col("weight").cast("long").alias("weight"))
-    )
-    ranked = scratch.store(ranked, "ranked")
-    several = (
-        ranked.groupBy("key")
-        .agg(F.min("node").alias("low"), F.max("node").alias("high"))
-        .filter("low <> high")
-        .select("key")
-    )
-    lists = scratch.store(ranked.join(several, "key", "left_semi"), "lists")
-    scratch.drop(ranked)
-    return lists
-
-
 def _similar(pairs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs whose full sets reach the similarity."""
     both = (
@@ -234,5 +196,5 @@ def _similar(pairs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFra
     return (
         both.filter(estimate >= floor)
         .filter(100 * common >= percent * (F.size("sa") + F.size("sb") - common))
-        .select("a", "b")
+        .select("a", "b", "weight")
     )
