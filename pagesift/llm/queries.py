@@ -52,7 +52,7 @@ def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 def op7_surrogates(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with surrogates for its personal data."""
-    return with_surrogates(table(spark, folder, "documents"))
+    return with_surrogates(table(spark, folder, "documents")).drop("entities")
 
 
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
