@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -30,14 +33,20 @@ def build_session(app: str = "pagesift", master: str | None = None, **conf: str)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local temporary one only if the session names none."""
+    """The shared folder that the session names; a temporary one only for a local master.
+
+    On a cluster, a folder of the driver's machine would scatter tables over the executors' disks.
+    """
     named = spark.conf.get(_CHECKPOINT_KEY, None)
     if named:
         return named.rstrip("/")
     existing = spark.sparkContext.getCheckpointDir()
     if existing:
         return existing.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError(f"name a folder that all executors share in {_CHECKPOINT_KEY}")
     local = tempfile.mkdtemp(prefix="pagesift-")
+    atexit.register(shutil.rmtree, local, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(local)
     return local
 
