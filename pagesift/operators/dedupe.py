@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagesift.functions.scalars import basename, path_from_line
 from pagesift.operators.joins import BROADCAST_BYTES, equi_join
+from pagesift.session import stored
 
 
 def _distinct_names(source: DataFrame, path: str) -> DataFrame:
@@ -18,10 +19,13 @@ def dedupe_against(
 ) -> tuple[DataFrame, DataFrame]:
     """(kept, removed): target samples whose file name is absent from, or present in, source."""
     named = target.withColumn("_name", basename(F.col(path)))
-    names = _distinct_names(source, path)
-    kept = equi_join(named, names, "_name", "left_anti", path, broadcast_bytes)
-    removed = equi_join(named, names, "_name", "left_semi", path, broadcast_bytes)
-    return kept.drop("_name"), removed.drop("_name")
+    names = _distinct_names(source, path).withColumn("_known", F.lit(True))
+    # written once, for both outputs
+    found = stored(
+        equi_join(named, names, "_name", "left", path, broadcast_bytes).drop("_name"), "dedupe"
+    )
+    kept, removed = found.filter("_known is null"), found.filter("_known")
+    return kept.drop("_known"), removed.drop("_known")
 
 
 def distinct_names(source: DataFrame, path: str = "path") -> DataFrame:

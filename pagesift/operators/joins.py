@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 64 * 1024 * 1024
-HOT_KEYS = 1000
-HOT_ROWS = 1_000_000
-SALTS = 64
+#: left rows of a key that one salt takes, about
+SALT_ROWS = 1_000_000
+#: a null key matches nothing; its rows are dealt out over so many places
+NULL_SALTS = 1024
 
 
 def measured_bytes(df: DataFrame) -> int:
@@ -30,43 +31,38 @@ def equi_join(
     how: str,
     spread: str,
     broadcast_bytes: int = BROADCAST_BYTES,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int = SALT_ROWS,
 ) -> DataFrame:
     """`left` joined with `right` on `key`, where any key may hold a large share of `left`.
 
-    A small right side is broadcast after its size is measured. Otherwise the left rows of a
-    hot key are spread over several salts by `spread`, and only that key's right rows are
-    copied to each salt. Which keys are salted affects speed, never the result.
+    A small right side is broadcast after its size is measured. Otherwise the left rows of a key
+    are counted, a key with more than `hot_rows` is spread over as many salts as it needs by
+    `spread`, and its right rows are copied to each of them. Salts affect speed, never the result.
     """
     if measured_bytes(right) <= broadcast_bytes:
         return left.join(F.broadcast(right), key, how)
-    hot = (
-        left.groupBy(key)
+    # at most one row per hot_rows left rows
+    hot = F.broadcast(
+        left.filter(F.col(key).isNotNull())
+        .groupBy(key)
         .count()
-        .filter((F.col("count") >= hot_rows) & F.col(key).isNotNull())
-        .orderBy(F.desc("count"), key)
-        .limit(HOT_KEYS)
-        .select(key, F.lit(True).alias("_hot"))
+        .filter(F.col("count") > hot_rows)
+        .select(key, F.ceil(F.col("count") / hot_rows).cast("int").alias("_salts"))
     )
-    # at most HOT_KEYS rows
-    hot = F.broadcast(hot)
     salted_left = (
         left.join(hot, key, "left")
         .withColumn(
             "_salt",
             # a null key matches nothing, so its rows may go anywhere
-            F.when(
-                F.col("_hot") | F.col(key).isNull(), F.pmod(F.xxhash64(F.col(spread)), F.lit(SALTS))
-            )
-            .otherwise(0)
-            .cast("int"),
+            F.pmod(
+                F.xxhash64(F.col(spread)),
+                F.when(F.col(key).isNull(), NULL_SALTS).otherwise(F.coalesce("_salts", F.lit(1))),
+            ).cast("int"),
         )
-        .drop("_hot")
-    )
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(
-        F.array(F.lit(0))
+        .drop("_salts")
     )
+    copies = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
     salted_right = (
-        right.join(hot, key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+        right.join(hot, key, "left").withColumn("_salt", F.explode(copies)).drop("_salts")
     )
     return salted_left.join(salted_right, [key, "_salt"], how).drop("_salt")
