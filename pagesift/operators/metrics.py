@@ -10,9 +10,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagesift.functions.scalars import outcome
+from pagesift.session import materialise
 
-# A power of two, so that scaling a score is exact and buckets keep the score order.
-SCORE_BUCKETS = 65_536
+def _known_scores(scored: DataFrame) -> DataFrame:
+    """A score that is not a number counts as missing."""
+    score = F.col("score").cast("double")
+    return scored.withColumn("score", F.when(~F.isnan(score), score))
 
 
 def class_counts(corpus: DataFrame) -> DataFrame:
@@ -33,7 +36,7 @@ def confusion(
 ) -> DataFrame:
     case = outcome(F.col("label"), F.col("score"), threshold)
     counts = [F.count_if(case == name).alias(name) for name in ("tp", "tn", "fp", "fn")]
-    return scored.groupBy(*by).agg(*counts)
+    return _known_scores(scored).groupBy(*by).agg(*counts)
 
 
 def _ratio(numerator: Column, denominator: Column) -> Column:
@@ -59,7 +62,7 @@ def rates(confused: DataFrame) -> DataFrame:
 def _score_table(scored: DataFrame, by: list[str]) -> DataFrame:
     """Positives, negatives and other rows of each distinct score."""
     label = F.col("label")
-    return scored.groupBy(*by, "score").agg(
+    return _known_scores(scored).groupBy(*by, "score").agg(
         F.count_if(label == 1).cast("double").alias("pos"),
         F.count_if(label == 0).cast("double").alias("neg"),
         F.count(F.lit(1)).alias("rows"),
@@ -69,27 +72,23 @@ def _score_table(scored: DataFrame, by: list[str]) -> DataFrame:
 def _with_area(table: DataFrame, by: list[str], extra: list[Column], names: list[str]) -> DataFrame:
     """Sums `extra` per group and adds `auc`.
 
-    The negatives below each score are a prefix sum in two levels: inside score buckets, then
-    over at most SCORE_BUCKETS + 1 bucket totals per group. No task sees a whole group's rows.
+    The negatives below each score are a prefix sum in two levels: inside ranges of the distinct
+    scores, then over the ranges of a group, of which there are as many as partitions. The ranges
+    are written once, since both levels must see the same. No task sees a whole group's rows.
     """
     known = F.col("score").isNotNull()
-    table = (
-        table.withColumn("_pos", F.when(known, F.col("pos")).otherwise(0.0))
-        .withColumn("_neg", F.when(known, F.col("neg")).otherwise(0.0))
-        .withColumn(
-            "_bucket",
-            F.least(
-                F.greatest(F.floor(F.col("score") * SCORE_BUCKETS), F.lit(0)),
-                F.lit(SCORE_BUCKETS),
-            ),
-        )
+    table = table.withColumn("_pos", F.when(known, F.col("pos")).otherwise(0.0)).withColumn(
+        "_neg", F.when(known, F.col("neg")).otherwise(0.0)
+    )
+    table = materialise(
+        table.repartitionByRange(*by, "score").withColumn("_range", F.spark_partition_id())
     )
-    inside = W.partitionBy(*by, "_bucket").orderBy("score").rowsBetween(
+    inside = W.partitionBy(*by, "_range").orderBy("score").rowsBetween(
         W.unboundedPreceding, W.currentRow
     )
     buckets = (
         table.withColumn("_below", F.sum("_neg").over(inside) - F.col("_neg"))
-        .groupBy(*by, "_bucket")
+        .groupBy(*by, "_range")
         .agg(
             F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") / 2)).alias("_area"),
             F.sum("_pos").alias("_pos"),
@@ -97,7 +96,7 @@ def _with_area(table: DataFrame, by: list[str], extra: list[Column], names: list
             *[F.sum(e).alias(n) for e, n in zip(extra, names)],
         )
     )
-    before = W.partitionBy(*by).orderBy("_bucket").rowsBetween(
+    before = W.partitionBy(*by).orderBy("_range").rowsBetween(
         W.unboundedPreceding, W.currentRow
     )
     return (
@@ -133,7 +132,7 @@ def metrics(scored: DataFrame, by: list[str], threshold: float = 0.5) -> DataFra
 
 def misclassified_rows(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
     """False positives and false negatives, with their `outcome`."""
-    return scored.withColumn(
+    return _known_scores(scored).withColumn(
         "outcome", outcome(F.col("label"), F.col("score"), threshold)
     ).filter(F.col("outcome").isin("fp", "fn"))
 

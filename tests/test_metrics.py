@@ -37,6 +37,27 @@ def test_counts_agree_and_everything_else_is_a_false_negative(spark):
     assert abs(row["f2"] - 5 * 0.5 * 0.25 / (4 * 0.5 + 0.25)) < 1e-12
 
 
+def test_auc_of_many_scores_in_a_small_range(spark):
+    n = 100_000
+    df = spark.range(n).select(
+        F.lit("a").alias("set_name"),
+        (F.col("id") % 3 == 0).cast("int").alias("label"),
+        ((F.col("id") + 1) * 1e-12).alias("score"),
+    )
+    ranks = sum(i + 1 for i in range(0, n, 3))
+    pos = len(range(0, n, 3))
+    expected = (ranks - pos * (pos + 1) / 2) / (pos * (n - pos))
+    assert abs(metrics.auc(df, ["set_name"]).first()["auc"] - expected) < 1e-9
+
+
+def test_a_score_that_is_no_number_is_missing(spark):
+    data = [("a", 1, 0.9), ("a", 0, 0.1), ("a", 1, float("nan")), ("a", 0, float("nan"))]
+    df = spark.createDataFrame(data, SHAPE)
+    row = metrics.metrics(df, ["set_name"]).first()
+    assert (row["tp"], row["tn"], row["fp"], row["fn"], row["auc"]) == (1, 1, 0, 2, 1.0)
+    assert rows(metrics.confusion(df, ["set_name"])) == [("a", 1, 1, 0, 2)]
+
+
 def test_undefined_measures(spark):
     row = metrics.metrics(spark.createDataFrame([("a", 0, 0.1)], SHAPE), []).first()
     assert (row["precision"], row["recall"], row["fpr"], row["fdr"]) == (0.0, 0.0, 0.0, 1.0)
