@@ -122,11 +122,13 @@ def test_topics(spark):
 
 def test_vectors_and_sweep(spark):
     df = texts(spark)
-    assert not vectors.needs_hashing(df)
-    for hashed in (False, True):
-        words = vectors.fit_vectors(df, size=5, epochs=1, hashed=hashed)
-        out = words.transform(df).select(vectors.vector_features().alias("f"))
-        assert all(f["value"] > 0 for r in out.collect() for f in r["f"])
+    assert {r["word"] for r in vectors.frequent_words(df, 3).collect()} == {
+        "html", "body", "div", "var", "function", "call",
+    }
+    assert vectors.frequent_words(df, 101).isEmpty()
+    words = vectors.fit_vectors(df, size=5, epochs=1)
+    out = words.transform(df).select(vectors.vector_features().alias("f"))
+    assert all(f["value"] > 0 for r in out.collect() for f in r["f"])
     table = vectors.sweep_vector_size(df, df, [3, 4], epochs=1, maxIter=2)
     sizes = {(r["size"], r["set_name"]) for r in table.collect()}
     assert sizes == {(s, n) for s in (3, 4) for n in ("train", "s0", "s1", "s2")}
