@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pagesift.functions.encoding import WHITESPACE_STRIP, detect_encoding, narrow_encoding
 from pagesift.functions.text import decode_lossy
-from pagesift.operators.presence import with_keyword_presence, with_rule_presence
+from pagesift.operators.presence import with_rule_presence
 from pagesift.operators.selection import Ranking
 from pagesift.operators.tfidf import (
     TfidfModel,
@@ -93,12 +93,8 @@ def restrict_to_vocabulary(frequencies: DataFrame, vocabulary: DataFrame) -> Dat
 
 
 def attach_scores(samples: DataFrame, scores: DataFrame) -> DataFrame:
-    """Scores joined by sample id, never by line number."""
-    return samples.join(scores.select("sample_id", "score"), "sample_id")
-
-
-def keyword_features(samples: DataFrame, dictionary: list[tuple[int, str]]) -> DataFrame:
-    return with_keyword_presence(samples, dictionary)
+    """Scores joined by sample id, never by line number; a sample without a score keeps null."""
+    return samples.join(scores.select("sample_id", "score"), "sample_id", "left")
 
 
 def rule_features(samples: DataFrame, rules: list[tuple[int, str]]) -> DataFrame:
@@ -106,11 +102,6 @@ def rule_features(samples: DataFrame, rules: list[tuple[int, str]]) -> DataFrame
     return with_rule_presence(narrowed_text(samples), rules)
 
 
-def ngram_rule_features(samples: DataFrame, rules: list[tuple[int, str]]) -> DataFrame:
-    """Rule presence for a merged keyword and n-gram rule set; contents are not narrowed."""
-    return with_rule_presence(samples, rules)
-
-
 def keyword_tfidf_features(
     corpus: DataFrame,
     rules: list[tuple[int, str]],

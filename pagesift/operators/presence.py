@@ -1,7 +1,8 @@
-"""Keyword and rule presence as in-row features: no explode, no join, no shuffle.
+"""Keyword and rule presence.
 
-The dictionaries are bounded by design (keyword indexes lie below the n-gram base), so they
-are read to the driver once and used as literal sets, which Spark evaluates by hash lookup.
+Dictionaries of at most MAX_DICTIONARY entries are read to the driver once and used as literal
+sets, which Spark evaluates by hash lookup in the row: no explode, no join, no shuffle. Larger
+keyword tables are joined with the distinct words of each sample.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagesift.functions.text import unicode_words, with_ngrams
+from pagesift.operators.joins import equi_join
 from pagesift.sources.libsvm import FEATURES_TYPE, feature, ordered
 
 MAX_DICTIONARY = 10_000
@@ -20,17 +22,65 @@ _WORD = re.compile(r"\w+")
 _RULE_WORDS = re.compile(r"[a-z0-9]+(?: [a-z0-9]+)*")
 
 
-def read_dictionary(keywords: DataFrame) -> list[tuple[int, str]]:
+def keyword_presence(
+    samples: DataFrame,
+    keywords: DataFrame,
+    content: str = "content",
+    out: str = "features",
+    limit: int = MAX_DICTIONARY,
+) -> DataFrame:
+    """Adds features idx:1 for each keyword of the table (idx, keyword), of any size.
+
+    Up to `limit` rows it is `with_keyword_presence`. Beyond, keywords that are single words meet
+    the samples' distinct words in a join, one row per sample and word found; the others, which
+    are patterns, must be at most `limit`.
+    """
+    if keywords.limit(limit + 1).count() <= limit:
+        return with_keyword_presence(samples, read_dictionary(keywords), content, out)
+    is_word = F.col("keyword").rlike(r"(?U)^\w+$")
+    words = (
+        keywords.filter(is_word)
+        .groupBy(F.lower("keyword").alias("_word"))
+        .agg(F.min("idx").cast("int").alias("_idx"))
+    )
+    others = read_dictionary(keywords.filter(~is_word), limit)
+    tokens = samples.select(
+        "sample_id",
+        F.explode(F.array_distinct(unicode_words(F.col(content), shortest=1))).alias("_word"),
+    )
+    found = (
+        equi_join(tokens, words, "_word", "inner", "sample_id")
+        .groupBy("sample_id")
+        .agg(F.sort_array(F.collect_set(feature(F.col("_idx"), F.lit(1.0)))).alias("_found"))
+    )
+    return (
+        with_keyword_presence(samples, others, content, "_others")
+        .join(found, "sample_id", "left")
+        .withColumn(out, _merged(F.col("_found"), F.col("_others")))
+        .drop("_found", "_others")
+    )
+
+
+def read_dictionary(keywords: DataFrame, limit: int = MAX_DICTIONARY) -> list[tuple[int, str]]:
     """(idx, keyword) pairs in index order; a repeated keyword keeps its lowest index."""
-    rows = keywords.select("idx", "keyword").orderBy("idx").limit(MAX_DICTIONARY + 1).collect()
-    if len(rows) > MAX_DICTIONARY:
-        raise ValueError(f"a keyword dictionary holds at most {MAX_DICTIONARY} entries")
+    rows = keywords.select("idx", "keyword").orderBy("idx").limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"a keyword dictionary holds at most {limit} entries")
     first: dict[str, int] = {}
     for row in rows:
         first.setdefault(row["keyword"], row["idx"])
     return [(idx, keyword) for keyword, idx in first.items()]
 
 
+def read_rules(rules: DataFrame, limit: int = MAX_DICTIONARY) -> list[tuple]:
+    """(idx, literal, fullword, nocase) in index order."""
+    rows = rules.select("idx", "keyword", "fullword", "nocase").orderBy("idx").limit(limit + 1)
+    found = [tuple(row) for row in rows.collect()]
+    if len(found) > limit:
+        raise ValueError(f"a rule set holds at most {limit} rules")
+    return found
+
+
 def _index_map(entries: Iterable[tuple[int, str]]) -> Column:
     pairs = list(entries)
     return F.map_from_arrays(
@@ -102,25 +152,28 @@ def with_keyword_presence(
 
 def with_rule_presence(
     samples: DataFrame,
-    rules: list[tuple[int, str]],
+    rules: list[tuple],
     content: str = "content",
     out: str = "features",
 ) -> DataFrame:
     """Adds features idx:1 for each rule literal found between non-alphanumerics, ignoring case.
 
-    Literals of plain words joined by single spaces are looked up among the document's own
+    A rule is (idx, literal) or (idx, literal, fullword, nocase); without `fullword` the literal
+    may stand anywhere, without `nocase` capitals count. Literals of plain words joined by single spaces are looked up among the document's own
     word n-grams, so the cost does not grow with the number of rules. Other literals are
     searched by pattern.
     """
     by_length: dict[int, dict[str, int]] = {}
     patterns: dict[str, int] = {}
-    for idx, keyword in rules:
+    for idx, keyword, *flags in rules:
+        fullword, nocase = flags or (True, True)
         literal = keyword.lower()
-        if _RULE_WORDS.fullmatch(literal):
+        if fullword and nocase and _RULE_WORDS.fullmatch(literal):
             by_length.setdefault(literal.count(" ") + 1, {}).setdefault(literal, idx)
         else:
             escaped = re.sub(r"([^A-Za-z0-9_\s])", r"\\\1", keyword)
-            patterns.setdefault(rf"(?i)(?<![A-Za-z0-9]){escaped}(?![A-Za-z0-9])", idx)
+            bounded = rf"(?<![A-Za-z0-9]){escaped}(?![A-Za-z0-9])" if fullword else escaped
+            patterns.setdefault(f"(?i){bounded}" if nocase else bounded, idx)
 
     df = samples.withColumn("_lowered", F.lower(content))
     parts = []

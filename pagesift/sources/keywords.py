@@ -43,5 +43,10 @@ def as_rules(keywords: DataFrame) -> DataFrame:
 
 
 def merge_rule_sets(single: DataFrame, ngram: DataFrame, base: int = NGRAM_BASE) -> DataFrame:
-    """Keyword rules and n-gram rules in one set; n-gram indexes are shifted by `base`."""
-    return single.unionByName(ngram.withColumn("idx", (F.col("idx") + base).cast("int")))
+    """Keyword rules and n-gram rules in one set; n-gram indexes are shifted by `base`.
+
+    A keyword index of `base` or above would meet an n-gram's and is refused when rows are read.
+    """
+    refused = F.raise_error(F.concat(F.lit("keyword index not below the n-gram base: "), F.col("idx")))
+    own = F.when(F.col("idx") < base, F.col("idx")).otherwise(refused).cast("int")
+    return single.withColumn("idx", own).unionByName(ngram.withColumn("idx", (F.col("idx") + base).cast("int")))

@@ -1,7 +1,7 @@
 """Feature files: `label idx:value idx:value # path`, zero-based, ascending, values above zero.
 
 A feature column is `array<struct<idx:int,value:double>>`, one per sample, so writing needs
-no grouping. `to_long` and `from_long` convert to one row per feature and back.
+no grouping. `to_long` gives one row per feature.
 """
 
 from __future__ import annotations
@@ -30,13 +30,6 @@ def to_long(df: DataFrame, keep: list[str], features: str = "features") -> DataF
     return df.select(*keep, F.inline_outer(features)).filter(F.col("idx").isNotNull())
 
 
-def from_long(long: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per sample with its ordered features."""
-    return long.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(feature(F.col("idx"), F.col("value")))).alias("features")
-    )
-
-
 def _number_text(value: Column, decimals: int) -> Column:
     rounded = F.round(value, decimals)
     return F.when(rounded == F.floor(rounded), rounded.cast("bigint").cast("string")).otherwise(
@@ -49,7 +42,7 @@ def format_line(
 ) -> Column:
     """One feature-file line; the comment part is left out where `comment` is null."""
     pairs = F.transform(
-        ordered(positive_only(features)),
+        ordered(F.filter(features, lambda f: F.round(f["value"], decimals) > 0)),
         lambda f: F.concat(f["idx"].cast("string"), F.lit(":"), _number_text(f["value"], decimals)),
     )
     body = F.concat(label.cast("string"), F.lit(" "), F.array_join(F.transform(

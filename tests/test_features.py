@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -54,6 +55,38 @@ def test_dictionary_from_a_table(spark):
     assert presence.read_dictionary(table) == [(2, "a"), (3, "b")]
 
 
+def test_a_large_dictionary_is_joined(spark):
+    df = documents(spark, ["A b c", "b x-y", None, "nothing", "x-y b B"])
+    table = spark.createDataFrame(
+        [(4, "b"), (1, "a"), (9, "B"), (7, "zz"), (5, "x-y")], "idx int, keyword string"
+    )
+    joined = long(presence.keyword_presence(df, table, limit=3))
+    assert joined == long(presence.keyword_presence(df, table))
+    assert joined == [(0, 1, 1.0), (0, 4, 1.0), (1, 4, 1.0), (1, 5, 1.0), (4, 4, 1.0), (4, 5, 1.0)]
+
+
+def test_rule_flags(spark):
+    df = documents(spark, ["xVARx", "var", "VAR"])
+    rules = [(1, "var", True, True), (2, "var", False, True), (3, "VAR", True, False)]
+    assert long(presence.with_rule_presence(df, rules)) == [
+        (0, 2, 1.0), (1, 1, 1.0), (1, 2, 1.0), (2, 1, 1.0), (2, 2, 1.0), (2, 3, 1.0),
+    ]
+    table = spark.createDataFrame([(3, "VAR", True, False)], "idx int, keyword string, fullword boolean, nocase boolean")
+    assert presence.read_rules(table) == [(3, "VAR", True, False)]
+
+
+def test_colliding_indexes_are_refused(spark):
+    single = keywords.as_rules(spark.createDataFrame([(825, "a")], "idx int, keyword string"))
+    with pytest.raises(Exception, match="n-gram base"):
+        keywords.merge_rule_sets(single, single).collect()
+
+
+def test_values_that_round_to_zero_are_not_written(spark):
+    df = spark.createDataFrame([([(3, 1e-14), (4, 0.25)],)], f"features {libsvm.FEATURES_TYPE}")
+    line = df.select(libsvm.format_line(F.lit(1), F.col("features"), None, 12)).first()[0]
+    assert line == "1 4:0.250000000000 "
+
+
 def test_merged_rules_shift_ngram_indexes(spark):
     single = keywords.as_rules(spark.createDataFrame([(1, "a")], "idx int, keyword string"))
     merged = keywords.merge_rule_sets(single, single)
