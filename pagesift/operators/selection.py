@@ -45,11 +45,12 @@ def select_features(
     matrix: DataFrame,
     vector: str = "tfidf",
     trees: int = 250,
-    depth: int = 8,
+    depth: int = 30,
     seed: int = 0,
     partitions: int | None = None,
 ) -> Ranking:
-    """Gini importance of every column over an ensemble of randomised trees."""
+    """Gini importance of every column over an ensemble of randomised, fully grown trees (Spark
+    allows a depth of 30)."""
     rows = prepared(matrix, vector, partitions).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         forest = RandomForestClassifier(

@@ -26,8 +26,8 @@ from pagesift.session import materialise
 from pagesift.sources.libsvm import feature
 
 MAX_TERMS = 100_000
-# Scans above this many partitions count terms with pruning; the buckets bound its first pass.
-PRUNE_PARTITIONS = 256
+# Scans of more files count terms with pruning; the buckets bound its first pass.
+PRUNE_FILES = 2048
 TERM_BUCKETS = 262_144
 
 
@@ -77,16 +77,18 @@ def top_terms(
     """(term, ctf) of the `count` most frequent terms; ties go to the lower term.
 
     Most n-grams of a large corpus are rare, and counting them all shuffles several times the
-    text. With `prune`, by default for scans of many partitions, terms that cannot be among
+    text. With `prune`, by default for scans of many files, terms that cannot be among
     the first `count` are left out before the shuffle; the result is the same.
     """
-    if prune is None:
-        prune = termed.rdd.getNumPartitions() > PRUNE_PARTITIONS
-    if prune:
+    if _prunes(termed, prune):
         return _pruned_top_terms(termed, count, terms)
     return _ranked_counts(_term_counts(explode_values(termed, terms, "term", [])), count)
 
 
+def _prunes(termed: DataFrame, prune: bool | None) -> bool:
+    return len(termed.inputFiles()) > PRUNE_FILES if prune is None else prune
+
+
 def _pruned_top_terms(
     termed: DataFrame, count: int, terms: str, fraction: float = 0.001
 ) -> DataFrame:
@@ -147,9 +149,6 @@ class TfidfModel:
         ]
         return spark.createDataFrame(rows, "idx int, term string, df bigint")
 
-    def index_of(self, term: str) -> int:
-        return self.terms.index(term)
-
     def counts(self, corpus: DataFrame, content: str = "content") -> DataFrame:
         """Adds `term_counts`, a sparse vector of the vocabulary's counts."""
         termed = with_terms(
@@ -187,15 +186,30 @@ def fit_tfidf(
     strip_accents: bool = True,
     stop_numbers: bool = True,
     content: str = "content",
+    prune: bool | None = None,
 ) -> TfidfModel:
     """Chooses the vocabulary and counts its document frequencies.
 
-    Only the chosen terms, at most `max_terms`, come to the driver.
+    Terms are counted inside each row, so one aggregate gives the counts of both kinds. With
+    pruning (see `top_terms`), the chosen terms' documents are counted in another pass. Only
+    the chosen terms, at most `max_terms`, come to the driver.
     """
     if max_terms > MAX_TERMS:
         raise ValueError(f"at most {MAX_TERMS} terms")
     termed = with_terms(corpus, low, high, strip_accents, stop_numbers, content)
-    terms = tuple(sorted(row["term"] for row in top_terms(termed, max_terms).collect()))
+    if not _prunes(termed, prune):
+        counted = document_frequency(term_frequency(termed, []))
+        chosen = {row["term"]: row["df"] for row in _ranked_counts(counted, max_terms).collect()}
+        if not chosen:
+            raise ValueError("the corpus has no terms")
+        terms = tuple(sorted(chosen))
+        frequencies = tuple(chosen[term] for term in terms)
+        return TfidfModel(
+            terms, frequencies, corpus.count(), low, high, strip_accents, stop_numbers
+        )
+    terms = tuple(
+        sorted(row["term"] for row in top_terms(termed, max_terms, prune=True).collect())
+    )
     if not terms:
         raise ValueError("the corpus has no terms")
     present = _count_vectors(termed.select("terms"), terms)

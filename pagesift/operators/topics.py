@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pagesift.functions.text import explode_values, whitespace_tokens, with_run_lengths
 from pagesift.operators.joins import equi_join
 from pagesift.operators.selection import ordered_rows
-from pagesift.session import materialise
+from pagesift.session import materialise, stored
 
 # monotonically_increasing_id puts the partition number above this bit
 _ROW_BITS = 33
@@ -77,8 +77,14 @@ def fit_lda(matrix: DataFrame, topics: int = 2, rounds: int = 5, vector: str = "
         matrix.select("sample_id", F.col(vector).alias("features"))
     ).persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        # every round passes over all documents
         return LDA(
-            k=topics, maxIter=rounds, optimizer="online", learningOffset=50.0, seed=0
+            k=topics,
+            maxIter=rounds,
+            optimizer="online",
+            learningOffset=50.0,
+            subsamplingRate=1.0,
+            seed=0,
         ).fit(rows)
     finally:
         rows.unpersist()
@@ -122,7 +128,7 @@ def fit_nmf(
     features: DataFrame,
     width: int,
     components: int = 2,
-    rounds: int = 20,
+    rounds: int = 1000,
     alpha: float = 0.1,
     l1_ratio: float = 0.5,
     tolerance: float = 1e-4,
@@ -215,7 +221,9 @@ def fit_nmf(
         state = updated
         if len(losses) > 1 and losses[-2] - losses[-1] < tolerance * abs(losses[0]):
             break
-    return Factorisation(state.select("sample_id", *names), h, losses)
+    weights = stored(state.select("sample_id", *names), "weights")
+    state.unpersist()
+    return Factorisation(weights, h, losses)
 
 
 def nmf_topics(

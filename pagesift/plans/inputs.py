@@ -31,8 +31,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spread(rows, _SPREAD[name]) if name in _SPREAD else rows
 
 
+def page_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """(sample_id, path, content): the pages as they are."""
+    return table(spark, folder, "pages").select(
+        F.col("page_id").alias("sample_id"), F.col("url").alias("path"), F.col("html").alias("content")
+    )
+
+
 def samples(spark: SparkSession, folder: str) -> DataFrame:
-    """(sample_id, path, content): pages rewritten so that every triage code occurs."""
+    """(sample_id, path, content) for triage, routing and lookup alone: pages rewritten so that
+    every triage code occurs."""
     html = F.col("html")
     pages = (
         table(spark, folder, "pages")
@@ -108,12 +116,12 @@ def encoded(spark: SparkSession, folder: str) -> DataFrame:
         .otherwise(F.regexp_replace(hexed, "(..)", "$1000000"))
     )
     front = F.when(lead == 0, "").when(lead == 1, "0D0A09").otherwise("735C0A")
-    return samples(spark, folder).select("sample_id", F.unhex(F.concat(front, body)).alias("content"))
+    return page_texts(spark, folder).select("sample_id", F.unhex(F.concat(front, body)).alias("content"))
 
 
 def corpus(spark: SparkSession, folder: str) -> DataFrame:
-    """(sample_id, label, path, content): samples with label 1 and documents with label 0."""
-    pages = samples(spark, folder).select("sample_id", F.lit(1).alias("label"), "path", "content")
+    """(sample_id, label, path, content): pages with label 1 and documents with label 0."""
+    pages = page_texts(spark, folder).select("sample_id", F.lit(1).alias("label"), "path", "content")
     documents = table(spark, folder, "documents").select(
         (F.col("doc_id") + 1_000_000_000).alias("sample_id"),
         F.lit(0).alias("label"),
@@ -126,7 +134,7 @@ def corpus(spark: SparkSession, folder: str) -> DataFrame:
 def feature_lines(spark: SparkSession, folder: str) -> DataFrame:
     """(line) feature-file lines, some with a remark after the path."""
     number = F.col("sample_id")
-    return samples(spark, folder).select(
+    return page_texts(spark, folder).select(
         F.concat(
             (number % 2).cast("string"),
             F.lit(" 0:1 "),

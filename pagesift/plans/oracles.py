@@ -46,6 +46,11 @@ FROM (SELECT *, regexp_replace(nos, '<head>.*</head>', '', 'gis') AS noh FROM (
  SELECT *, regexp_replace(html, '<!doctype html>', '', 'gis') AS nodt,
   regexp_extract(html, '<script>.*?</script>', 0, 's') AS sc FROM pages)))""",
 )
+_cte(
+    "page_texts",
+    [],
+    "SELECT page_id AS sample_id, url AS path, html AS content FROM pages",
+)
 _cte(
     "triaged",
     ["samples"],
@@ -92,14 +97,14 @@ FROM documents d JOIN labels l ON d.doc_id = l.doc_id""",
 )
 _cte(
     "encoded",
-    ["samples"],
+    ["page_texts"],
     r"""
 SELECT sample_id, (CASE sample_id % 3 WHEN 0 THEN '' WHEN 1 THEN '0D0A09' ELSE '735C0A' END) ||
  CASE sample_id % 5 WHEN 0 THEN h WHEN 1 THEN regexp_replace(h, '(..)', '00\1', 'g')
  WHEN 2 THEN regexp_replace(h, '(..)', '\100', 'g')
  WHEN 3 THEN regexp_replace(h, '(..)', '000000\1', 'g')
  ELSE regexp_replace(h, '(..)', '\1000000', 'g') END AS hexbytes
-FROM (SELECT sample_id, hex(regexp_replace(content, '[^\x00-\x7F]', '', 'g')) AS h FROM samples)""",
+FROM (SELECT sample_id, hex(regexp_replace(content, '[^\x00-\x7F]', '', 'g')) AS h FROM page_texts)""",
 )
 _cte(
     "detected",
@@ -116,18 +121,18 @@ FROM (SELECT sample_id, regexp_replace(substr(hexbytes, 1, 1000), '^(?:5C|73|09|
 )
 _cte(
     "corpus",
-    ["samples"],
+    ["page_texts"],
     """
-SELECT sample_id, 1::INTEGER AS label, path, content FROM samples
+SELECT sample_id, 1::INTEGER AS label, path, content FROM page_texts
 UNION ALL SELECT 1000000000 + doc_id, 0, 'documents/' || doc_id::VARCHAR, text FROM documents""",
 )
 _cte(
     "feature_lines",
-    ["samples"],
+    ["page_texts"],
     """
 SELECT sample_id, (sample_id % 2)::VARCHAR || ' 0:1 ' || (3 + sample_id % 5)::VARCHAR || ':1  # /data/s/'
  || sample_id::VARCHAR || CASE WHEN sample_id % 3 = 0 THEN '@scored' ELSE '' END AS line
-FROM samples""",
+FROM page_texts""",
 )
 _cte(
     "labelled_paths",
@@ -226,9 +231,10 @@ def _presence(source: str, pattern: str, rows: list[tuple[int, str]]) -> str:
     )
 
 
-_cte("keyword_hits", ["samples"], _presence("samples", _KEYWORD, KEYWORDS))
-_cte("single_hits", ["samples"], _presence("samples", _RULE, SINGLE_RULES))
-_cte("rule_hits", ["samples"], _presence("samples", _RULE, RULES))
+_cte("keyword_hits", ["page_texts"], _presence("page_texts", _KEYWORD, KEYWORDS))
+_cte("single_hits", ["page_texts"], _presence("page_texts", _RULE, SINGLE_RULES))
+_cte("rule_hits", ["page_texts"], _presence("page_texts", _RULE, RULES))
+_cte("sample_rule_hits", ["samples"], _presence("samples", _RULE, RULES))
 _cte("corpus_keyword_hits", ["corpus"], _presence("corpus", _KEYWORD, KEYWORDS))
 _cte("corpus_rule_hits", ["corpus"], _presence("corpus", _RULE, SINGLE_RULES + NGRAM_RULES))
 
@@ -309,11 +315,11 @@ UNION ALL SELECT sample_id, 67, CASE WHEN q3 = 0 THEN 0 ELSE ((100 * q2) // q3)
 # dictionary
 _cte(
     "dictionary",
-    ["samples"],
+    ["corpus"],
     r"""
 SELECT token, row_number() OVER (ORDER BY first, token) - 1 AS id FROM (
  SELECT token, min(sample_id) AS first FROM (
-  SELECT sample_id, unnest(regexp_split_to_array(content, '[ \t\n\x0B\f\r]+')) AS token FROM samples)
+  SELECT sample_id, unnest(regexp_split_to_array(content, '[ \t\n\x0B\f\r]+')) AS token FROM corpus)
  WHERE token <> '' GROUP BY token)""",
 )
 
@@ -362,13 +368,13 @@ _PATH = "trim(list_extract(string_split(string_split(line, '@')[1], '#'), -1))"
 
 ORACLES: dict[str, str] = {
     "scan_samples": _with(
-        ["samples"],
+        ["page_texts"],
         "SELECT sample_id, path, list_extract(string_split(path, '/'), -1) AS name, "
-        "sha1(content) AS sha1 FROM samples",
+        "sha1(content) AS sha1 FROM page_texts",
     ),
     "labelled_corpus": _with(
-        ["samples"],
-        "SELECT sample_id, 1::INTEGER AS label, length(content)::INTEGER AS chars FROM samples "
+        ["page_texts"],
+        "SELECT sample_id, 1::INTEGER AS label, length(content)::INTEGER AS chars FROM page_texts "
         "UNION ALL SELECT doc_id, 0, length(text)::INTEGER FROM documents",
     ),
     "list_sample_names": "SELECT list_extract(string_split(url, '/'), -1) AS name FROM pages",
@@ -378,7 +384,7 @@ ORACLES: dict[str, str] = {
     "scan_type_table": _with(["type_table"], "SELECT sha1, file_type FROM type_table"),
     "load_keywords": r"""
 SELECT min(position) AS idx, keyword FROM (
- SELECT doc_id * 1000000 + i - 1 AS position, w[i] AS keyword FROM (
+ SELECT doc_id * 1000000000 + i - 1 AS position, w[i] AS keyword FROM (
   SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM (
    SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w
    FROM documents))) GROUP BY keyword""",
@@ -396,8 +402,8 @@ SELECT (sample_id % 2)::INTEGER AS label, '/data/s/' || sample_id::VARCHAR ||
  1.0::DOUBLE AS value
 FROM (SELECT page_id AS sample_id, unnest([0, 3 + page_id % 5]) AS idx FROM pages)""",
     "write_libsvm": _with(
-        ["samples", "keyword_hits"],
-        f"SELECT line FROM ({_ones('samples', 'keyword_hits', chr(39) + '1' + chr(39), 's.path')})",
+        ["page_texts", "keyword_hits"],
+        f"SELECT line FROM ({_ones('page_texts', 'keyword_hits', chr(39) + '1' + chr(39), 's.path')})",
     ),
     "dump_matrix_libsvm": _with(
         ["corpus", "weights23"],
@@ -489,15 +495,17 @@ SELECT sample_id, sha1(unhex(CASE encoding
     ),
     "score_bucket": _with(["scored"], f"SELECT sample_id, {_BUCKET} AS bucket FROM scored"),
     "digest_nibbles": _with(
-        ["samples"],
+        ["page_texts"],
         """
 SELECT sample_id, (i - 1)::INTEGER AS idx,
  (instr('0123456789abcdef', substr(d, i, 1)) - 1)::DOUBLE AS value
-FROM (SELECT sample_id, sha1(content) AS d, unnest(range(1, 41)) AS i FROM samples)""",
+FROM (SELECT sample_id, sha1(content) AS d, unnest(range(1, 41)) AS i FROM page_texts)""",
     ),
     "unlabelled_features": _with(
-        ["routed", "rule_hits"],
-        _ones("(SELECT * FROM routed WHERE route LIKE 'uncertain/%')", "rule_hits", "'0'", "s.path"),
+        ["routed", "sample_rule_hits"],
+        _ones(
+            "(SELECT * FROM routed WHERE route LIKE 'uncertain/%')", "sample_rule_hits", "'0'", "s.path"
+        ),
     ),
     "type_lookup": _with(["routed"], "SELECT sample_id, route FROM routed"),
     "keyword_presence": _with(["keyword_hits"], "SELECT * FROM keyword_hits"),
@@ -524,7 +532,7 @@ FROM keyword_hits k FULL JOIN rule_hits r ON k.sample_id = r.sample_id AND k.idx
     ),
     "attach_scores": _with(
         ["scored"],
-        "SELECT d.doc_id AS sample_id, d.lang, s.score FROM documents d JOIN scored s "
+        "SELECT d.doc_id AS sample_id, d.lang, s.score FROM documents d LEFT JOIN scored s "
         "ON d.doc_id = s.sample_id",
     ),
     "restrict_to_vocabulary": _with(
@@ -580,9 +588,9 @@ SELECT t.sample_id, d.id, count(*)::INTEGER AS n FROM (
     "top_terms": _with(["top23"], "SELECT term, ctf FROM top23"),
     "vocabulary_index": _with(["vocabulary23"], "SELECT idx, term FROM vocabulary23"),
     "ordered_features": _with(
-        ["samples", "keyword_hits"],
+        ["page_texts", "keyword_hits"],
         """
-SELECT s.sample_id, coalesce(h.pairs, '') AS pairs FROM samples s LEFT JOIN (
+SELECT s.sample_id, coalesce(h.pairs, '') AS pairs FROM page_texts s LEFT JOIN (
  SELECT sample_id, string_agg(idx::VARCHAR || ':1', ' ' ORDER BY idx) AS pairs
  FROM keyword_hits GROUP BY sample_id) h ON s.sample_id = h.sample_id""",
     ),

@@ -64,7 +64,7 @@ def _long(df: DataFrame, *keep: str) -> DataFrame:
 
 @query
 def scan_samples(spark, folder):
-    rows = sample_sources.as_samples(inputs.samples(spark, folder), "sample_id", "path", "content")
+    rows = sample_sources.as_samples(inputs.page_texts(spark, folder), "sample_id", "path", "content")
     return rows.select("sample_id", "path", "name", F.sha1("content").alias("sha1"))
 
 
@@ -74,7 +74,7 @@ def labelled_corpus(spark, folder):
     documents = inputs.table(spark, folder, "documents").select(
         F.col("doc_id").alias("sample_id"), F.col("text").alias("content")
     )
-    joined = sample_sources.labelled_corpus(inputs.samples(spark, folder).select(*shape), documents)
+    joined = sample_sources.labelled_corpus(inputs.page_texts(spark, folder).select(*shape), documents)
     return joined.select("sample_id", "label", F.length("content").alias("chars"))
 
 
@@ -82,7 +82,7 @@ def labelled_corpus(spark, folder):
 def list_sample_names(spark, folder):
     path = new_output(spark, "names")
     sinks.write_lines(
-        sample_sources.list_sample_names(inputs.samples(spark, folder)), "name", path
+        sample_sources.list_sample_names(inputs.page_texts(spark, folder)), "name", path
     )
     return spark.read.text(path).select(F.col("value").alias("name"))
 
@@ -107,7 +107,7 @@ def load_keywords(spark, folder):
         "doc_id", F.posexplode(text.whitespace_tokens(F.col("text"))).alias("place", "word")
     )
     lines = words.select(
-        (F.col("doc_id") * 1_000_000 + F.col("place")).alias("position"),
+        (F.col("doc_id") * 1_000_000_000 + F.col("place")).alias("position"),
         F.concat(F.lit(" "), F.col("word"), F.lit("\t ")).alias("line"),
     )
     trimmed = lines.withColumn("line", F.regexp_replace("line", r"\t", ""))
@@ -342,7 +342,7 @@ def score_bucket(spark, folder):
 
 @query
 def digest_nibbles(spark, folder):
-    hashed = inputs.hashed_samples(spark, folder)
+    hashed = inputs.page_texts(spark, folder).withColumn("sha1", F.sha1("content"))
     return _long(hashed.withColumn("features", digest.digest_nibbles(F.col("sha1"))))
 
 
@@ -371,7 +371,7 @@ def type_lookup(spark, folder):
 
 
 def _keyword_rows(spark, folder):
-    return presence.with_keyword_presence(inputs.samples(spark, folder), inputs.KEYWORDS)
+    return presence.with_keyword_presence(inputs.page_texts(spark, folder), inputs.KEYWORDS)
 
 
 @query
@@ -381,12 +381,12 @@ def keyword_presence(spark, folder):
 
 @query
 def rule_presence(spark, folder):
-    return _long(presence.with_rule_presence(inputs.samples(spark, folder), inputs.SINGLE_RULES))
+    return _long(presence.with_rule_presence(inputs.page_texts(spark, folder), inputs.SINGLE_RULES))
 
 
 @query
 def ngram_rule_presence(spark, folder):
-    return _long(presence.with_rule_presence(inputs.samples(spark, folder), inputs.RULES))
+    return _long(presence.with_rule_presence(inputs.page_texts(spark, folder), inputs.RULES))
 
 
 @query
@@ -416,7 +416,7 @@ def dedupe_against(spark, folder):
 def merge_features(spark, folder):
     left = libsvm.to_long(_keyword_rows(spark, folder), ["sample_id"])
     right = libsvm.to_long(
-        presence.with_rule_presence(inputs.samples(spark, folder), inputs.RULES), ["sample_id"]
+        presence.with_rule_presence(inputs.page_texts(spark, folder), inputs.RULES), ["sample_id"]
     ).withColumn("value", F.lit(2.0))
     return features.merge_features(left, right)
 
@@ -533,7 +533,7 @@ def validation_metrics(spark, folder):
 
 
 def _dictionary(spark, folder):
-    return topics.build_dictionary(inputs.samples(spark, folder))
+    return topics.build_dictionary(inputs.corpus(spark, folder))
 
 
 @query
@@ -650,7 +650,7 @@ def _lines(df):
 
 @query
 def keyword_features(spark, folder):
-    return _lines(features.keyword_features(inputs.corpus(spark, folder), inputs.KEYWORDS))
+    return _lines(presence.with_keyword_presence(inputs.corpus(spark, folder), inputs.KEYWORDS))
 
 
 @query
@@ -671,7 +671,7 @@ def trigram_features(spark, folder):
         keywords.as_rules(spark.createDataFrame(ngram, shape)),
     )
     rules = presence.read_dictionary(merged)
-    return _lines(features.ngram_rule_features(inputs.corpus(spark, folder), rules))
+    return _lines(presence.with_rule_presence(inputs.corpus(spark, folder), rules))
 
 
 def _keyword_tfidf(spark, folder):
@@ -823,7 +823,6 @@ def self_train_round(spark, folder):
     _, _, report = selftrain.self_train_round(
         rows.filter(F.col("state") == "labelled"),
         rows.filter(F.col("state") == "uncertain"),
-        maxIter=10,
     )
     return report
 
