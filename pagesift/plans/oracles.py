@@ -644,3 +644,67 @@ ORACLES["rule_features"] = _with(
     ["narrowed_texts", "narrowed_hits"],
     _ones("narrowed_texts", "narrowed_hits", "'1'", "s.sample_id::VARCHAR"),
 )
+
+# What holds for every model and can be recomputed: completeness, totals and form of the output.
+_FIRST = "least(100, (SELECT count(*) FROM vocabulary23))"
+_SETS = """SELECT CASE part WHEN 'a' THEN 'train' ELSE 'test' END AS set_name,
+ count(*) FILTER (label = 1) AS positives, count(*) FILTER (label = 0) AS negatives, true AS sound
+FROM parts GROUP BY part"""
+_TOPICS = f"""SELECT t::INTEGER AS topic, {_FIRST}::BIGINT AS terms, true AS in_order
+FROM range(0, 2) r(t)"""
+ORACLES |= {
+    "importance_rank": _with(["vocabulary23"], "SELECT idx, term, true AS in_order FROM vocabulary23"),
+    "select_features": _with(["vocabulary23"], "SELECT idx, true AS weighed FROM vocabulary23"),
+    "top_features": _with(
+        ["vocabulary23"],
+        f"SELECT {_FIRST}::BIGINT AS features, {_FIRST}::INTEGER AS last_rank",
+    ),
+    "importance_report": _with(
+        ["vocabulary23"], "SELECT idx, term, true AS ranked FROM vocabulary23"
+    ),
+    "generate_rules": _with(
+        ["vocabulary23"],
+        f"SELECT {_FIRST}::BIGINT AS rules, {_FIRST}::BIGINT AS in_vocabulary, "
+        f"({_FIRST} - 1)::INTEGER AS last_idx, true AS bounded",
+    ),
+    "train_and_score": _with(["parts"], _SETS),
+    "make_classifier": _with(
+        ["corpus"],
+        "SELECT m AS model, sample_id, true AS probability FROM corpus, "
+        "(SELECT unnest(['svm', 'xgboost', 'keras']) AS m)",
+    ),
+    "model_metrics": _with(
+        ["parts"],
+        f"SELECT m AS model, positives, negatives, sound FROM ({_SETS}), "
+        "(SELECT unnest(['svm', 'xgboost', 'keras']) AS m) WHERE set_name = 'test'",
+    ),
+    "scoring_time": "SELECT unnest(['svm', 'xgboost']) AS model, true AS timed",
+    "score_samples": _with(["corpus"], "SELECT sample_id, true AS probability FROM corpus"),
+    "save_model": _with(["corpus"], "SELECT sample_id, true AS same FROM corpus"),
+    "load_model": _with(["corpus"], "SELECT sample_id, true AS probability FROM corpus"),
+    "route_feature_file": _with(
+        ["corpus"],
+        "SELECT sample_id, true AS in_bucket FROM corpus WHERE "
+        "('0x' || substr(md5(sample_id::VARCHAR), 1, 8))::BIGINT % 10000 >= 5000",
+    ),
+    "self_train_round": _with(
+        ["corpus"],
+        "SELECT count(*) AS samples, count(DISTINCT sample_id) AS distinct_samples, count(*) FILTER ("
+        "('0x' || substr(md5(sample_id::VARCHAR), 1, 8))::BIGINT % 10000 < 5000) AS labelled_before "
+        "FROM corpus",
+    ),
+    "doc_vectors": _with(
+        ["corpus"], "SELECT sample_id, 300::INTEGER AS size, true AS complete FROM corpus"
+    ),
+    "doc_vector_features": _with(["corpus"], "SELECT label, path, true AS in_range FROM corpus"),
+    "sweep_vector_size": _with(
+        ["corpus"],
+        """
+SELECT s::INTEGER AS size, set_name, samples FROM (SELECT unnest([10, 20]) AS s), (
+ SELECT 'train' AS set_name, count(*) AS samples FROM corpus UNION ALL
+ SELECT d.source, count(*) FROM documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY d.source)""",
+    ),
+    "lda_topics": _with(["vocabulary23"], _TOPICS),
+    "nmf_topics": _with(["vocabulary23"], _TOPICS),
+    "topic_top_words": "SELECT t::INTEGER AS topic, true AS complete FROM range(0, 2) r(t)",
+}

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagesift.functions import encoding, scalars, text
@@ -34,6 +36,7 @@ QUERIES: dict[str, Query] = {}
 _FITTED: dict[tuple, object] = {}
 
 DECIMALS = 6
+VECTOR_SIZE, VECTOR_EPOCHS, SWEEP_EPOCHS = 300, 55, 200
 
 
 def query(function: Query) -> Query:
@@ -579,29 +582,69 @@ def _ranked(spark, folder):
     return selection.importance_rank(spark, _ranking23(spark, folder), _model23(spark, folder))
 
 
+# A forest's importances have no SQL form. These queries give what holds for each of them and can
+# be recomputed: completeness, ranks, order and form of the full output.
+
+
 @query
 def importance_rank(spark, folder):
-    return _ranked(spark, folder)
+    """Every term once, with falling importance along the ranks."""
+    following = W.orderBy("rank")
+    before = F.lag("importance").over(following)
+    return _ranked(spark, folder).select(
+        "idx",
+        "term",
+        (
+            (F.col("rank") == F.row_number().over(following))
+            & F.coalesce(before >= F.col("importance"), F.lit(True))
+        ).alias("in_order"),
+    )
 
 
 @query
 def select_features(spark, folder):
-    return _ranked(spark, folder).select("idx", "importance")
+    """Every column has an importance, and they sum up to one."""
+    ranked = _ranked(spark, folder)
+    total = ranked.agg(F.sum("importance").alias("total"))
+    return ranked.crossJoin(F.broadcast(total)).select(
+        "idx",
+        (F.col("importance").between(0, 1) & (F.abs(F.col("total") - 1) < 1e-6)).alias("weighed"),
+    )
 
 
 @query
 def top_features(spark, folder):
-    return selection.top_features(_ranked(spark, folder), 100)
+    best = selection.top_features(_ranked(spark, folder), 100)
+    return best.agg(F.count(F.lit(1)).alias("features"), F.max("rank").alias("last_rank"))
 
 
 @query
 def importance_report(spark, folder):
-    return selection.importance_report(_ranked(spark, folder))
+    """Rank, index and term read back from the report lines."""
+    form = r"^(\d+)\.feature (\d+) (.*) \(([^()]+)\)$"
+    part = lambda n: F.regexp_extract("line", form, n)
+    lines = selection.importance_report(_ranked(spark, folder))
+    return lines.select(
+        part(2).cast("int").alias("idx"),
+        part(3).alias("term"),
+        ((part(1).cast("int") == F.col("rank")) & (part(4).cast("double") >= 0)).alias("ranked"),
+    )
 
 
 @query
 def generate_rules(spark, folder):
-    return selection.generate_rules(_ranked(spark, folder))
+    """Numbers of rules, of their terms in the vocabulary, and their last index."""
+    rules = selection.generate_rules(_ranked(spark, folder))
+    terms = _model23(spark, folder).vocabulary(spark)
+    known = rules.join(
+        terms, (rules["vocab_id"] == terms["idx"]) & (rules["keyword"] == terms["term"]), "left"
+    )
+    return known.agg(
+        F.count(F.lit(1)).alias("rules"),
+        F.count("term").alias("in_vocabulary"),
+        F.max(rules["idx"]).alias("last_idx"),
+        F.bool_and(F.col("fullword") & F.col("nocase")).alias("bounded"),
+    )
 
 
 @query
@@ -770,61 +813,129 @@ def train_and_score(spark, folder):
         test.withColumn("set_name", F.lit("test"))
     )
     scored = models.score_samples(model, both, ["sample_id", "label", "set_name"])
-    return metrics.metrics(scored, ["set_name"], threshold)
+    return _totals(metrics.metrics(scored, ["set_name"], threshold), "set_name")
+
+
+def _totals(table, by):
+    """Rows of each class behind the metrics, and whether the rates are in range and better than
+    chance, as models of these features are."""
+    rates = [F.coalesce(F.col(c).between(0, 1), F.lit(True)) for c in _RATES]
+    sound = F.col("auc") > 0.5
+    for rate in rates:
+        sound = sound & rate
+    return table.select(
+        by,
+        (F.col("tp") + F.col("fn")).alias("positives"),
+        (F.col("tn") + F.col("fp")).alias("negatives"),
+        sound.alias("sound"),
+    )
+
+
+def _probability(scored, *keep):
+    return scored.select(*keep, F.col("score").between(0, 1).alias("probability"))
 
 
 @query
 def make_classifier(spark, folder):
+    """Every sample scored by a model of each kind."""
     scored = {n: _scored(spark, folder, n) for n in models.model_names("svm|xgboost|keras")}
-    return metrics.union_models(scored).select("model", "sample_id", "score")
+    return _probability(metrics.union_models(scored), "model", "sample_id")
 
 
 @query
 def model_metrics(spark, folder):
     scored = {n: _scored(spark, folder, n) for n in models.model_names("svm|xgboost|keras")}
     test = metrics.union_models(scored).filter(F.col("set_name") == "test")
-    return metrics.metrics(test, ["model"])
+    return _totals(metrics.metrics(test, ["model"]), "model")
 
 
 @query
 def scoring_time(spark, folder):
-    return metrics.scoring_time(
+    times = metrics.scoring_time(
         spark, {n: _scored(spark, folder, n) for n in models.model_names("svm|xgboost")}
     )
+    return times.select("model", (F.col("seconds") > 0).alias("timed"))
 
 
 @query
 def score_samples(spark, folder):
-    return _scored(spark, folder).select("sample_id", "score")
+    return _probability(_scored(spark, folder), "sample_id")
 
 
 @query
 def save_model(spark, folder):
+    """Whether the saved model, read back, scores each sample as the one in memory."""
     path = new_output(spark, "model")
     models.save_model(_trained(spark, folder), path)
-    return _scored(spark, folder).select("sample_id", "score")
+    rows = _stored_weights(spark, folder)
+    saved = models.score_samples(models.load_model(path), rows, ["sample_id"], "tfidf")
+    kept = models.score_samples(_trained(spark, folder), rows, ["sample_id"], "tfidf")
+    both = saved.join(kept.withColumnRenamed("score", "own"), "sample_id")
+    return both.select("sample_id", (F.col("score") == F.col("own")).alias("same"))
 
 
 @query
 def load_model(spark, folder):
+    """Scores of a model found by its configuration."""
     path = new_output(spark, "model")
     models.save_model(_trained(spark, folder), path)
     parent, name = path.rsplit("/", 1)
     loaded = models.load_model(
         config={"filesystem": {"mid_folder": parent}, "model": {"xgboost": {"model_name": name}}}
     )
-    return models.score_samples(loaded, _stored_weights(spark, folder), ["sample_id"], "tfidf")
+    rows = _stored_weights(spark, folder)
+    return _probability(models.score_samples(loaded, rows, ["sample_id"], "tfidf"), "sample_id")
+
+
+@query
+def route_feature_file(spark, folder):
+    """From feature files of unlabelled samples to folders: read, score by a saved model, route.
+
+    Labelled samples train and save the model; the feature lines of the others are written, read
+    back, scored and written below their score bucket.
+    """
+    rows = _keyword_tfidf(spark, folder)
+    width = keywords.NGRAM_BASE + len(_model23(spark, folder).terms)
+    known = inputs.training_state() == "labelled"
+    model_path, line_path = new_output(spark, "model"), new_output(spark, "unlabelled")
+    shaped = features.with_indicator_vector(rows.filter(known), width)
+    models.save_model(
+        models.train(shaped.select("sample_id", "label", F.col("vector").alias("features"))), model_path
+    )
+    unlabelled = rows.filter(~known).withColumn("label", F.lit(0))
+    libsvm.write_libsvm(
+        unlabelled.withColumn("path", F.col("sample_id").cast("string")), line_path
+    )
+    read = features.with_indicator_vector(libsvm.read_libsvm(spark, line_path), width)
+    scored = models.score_samples(models.load_model(model_path), read, ["comment"], "vector")
+    bucket_path = new_output(spark, "scored")
+    sinks.route_by_score(selftrain.bucketed(scored), bucket_path)
+    routed = spark.read.parquet(bucket_path)
+    low = F.substring_index("bucket", "_", 1).cast("int") / 10
+    return routed.select(
+        F.col("comment").cast("bigint").alias("sample_id"),
+        F.col("score").between(low, low + 0.1 + 1e-9).alias("in_bucket"),
+    )
 
 
 @query
 def self_train_round(spark, folder):
     rows = _stored_weights(spark, folder).withColumnRenamed("tfidf", "features")
     rows = rows.withColumn("state", inputs.training_state())
-    _, _, report = selftrain.self_train_round(
+    labelled, uncertain, report = selftrain.self_train_round(
         rows.filter(F.col("state") == "labelled"),
         rows.filter(F.col("state") == "uncertain"),
     )
-    return report
+    # each sample is in one of the sets once, and the report accounts for those that moved
+    moved = report.agg(F.sum(F.col("added_1") + F.col("added_0"))).first()[0]
+    both = labelled.select("sample_id", F.lit(1).alias("known")).unionByName(
+        uncertain.select("sample_id", F.lit(0).alias("known"))
+    )
+    return both.agg(
+        F.count(F.lit(1)).alias("samples"),
+        F.countDistinct("sample_id").alias("distinct_samples"),
+        (F.sum("known") - F.lit(moved)).alias("labelled_before"),
+    )
 
 
 # ---- vectors and topics
@@ -832,18 +943,32 @@ def self_train_round(spark, folder):
 
 def _document_vectors(spark, folder):
     corpus = inputs.corpus(spark, folder)
-    model = _once(spark, folder, "words", lambda: vectors.fit_vectors(corpus, size=100, epochs=5))
+    model = _once(spark, folder, "words", lambda: vectors.fit_vectors(corpus, VECTOR_SIZE, epochs=VECTOR_EPOCHS))
     return model.transform(corpus).withColumn("features", vectors.vector_features())
 
 
 @query
 def doc_vectors(spark, folder):
-    return libsvm.to_long(_document_vectors(spark, folder), ["sample_id"])
+    """Every sample has a vector of the model's size without missing numbers."""
+    values = vector_to_array("vector")
+    return _document_vectors(spark, folder).select(
+        "sample_id",
+        F.size(values).alias("size"),
+        F.forall(values, lambda v: ~F.isnan(v)).alias("complete"),
+    )
 
 
 @query
 def doc_vector_features(spark, folder):
-    return _lines(_document_vectors(spark, folder))
+    """Label and path read back from the feature lines, whose features are positive and in range."""
+    parsed = libsvm.parse_line(_lines(_document_vectors(spark, folder)), "line")
+    return parsed.select(
+        "label",
+        F.col("comment").alias("path"),
+        F.forall("features", lambda f: f["idx"].between(0, VECTOR_SIZE - 1) & (f["value"] > 0)).alias(
+            "in_range"
+        ),
+    )
 
 
 @query
@@ -855,15 +980,32 @@ def sweep_vector_size(spark, folder):
         F.col("text").alias("content"),
         F.col("source").alias("set_name"),
     )
-    return vectors.sweep_vector_size(
-        inputs.corpus(spark, folder), validation, [10, 20], epochs=2, maxIter=5
+    table = vectors.sweep_vector_size(
+        inputs.corpus(spark, folder), validation, [10, 20], epochs=SWEEP_EPOCHS
+    )
+    counts = table.filter(F.col("metric").isin("tp", "tn", "fp", "fn"))
+    return counts.groupBy("size", "set_name").agg(F.sum("value").cast("bigint").alias("samples"))
+
+
+def _topic_form(ranked):
+    """Ranks of each topic from one without gaps, terms once, weights positive and falling."""
+    by_topic = W.partitionBy("topic").orderBy("rank")
+    before = F.lag("weight").over(by_topic)
+    ordered = ranked.withColumn(
+        "fine",
+        (F.col("rank") == F.row_number().over(by_topic))
+        & (F.col("weight") >= 0)
+        & F.coalesce(before >= F.col("weight"), F.lit(True)),
+    )
+    return ordered.groupBy("topic").agg(
+        F.countDistinct("term").alias("terms"), F.bool_and("fine").alias("in_order")
     )
 
 
 @query
 def lda_topics(spark, folder):
     model = topics.fit_lda(_stored_weights(spark, folder))
-    return topics.lda_topics(spark, model, _model23(spark, folder).terms)
+    return _topic_form(topics.lda_topics(spark, model, _model23(spark, folder).terms))
 
 
 def _nmf(spark, folder):
@@ -875,16 +1017,19 @@ def _nmf(spark, folder):
 
 @query
 def nmf_topics(spark, folder):
-    return topics.nmf_topics(spark, _nmf(spark, folder), _model23(spark, folder).terms)
+    found = topics.nmf_topics(spark, _nmf(spark, folder), _model23(spark, folder).terms)
+    return _topic_form(found)
 
 
 @query
 def topic_top_words(spark, folder):
     model = topics.fit_lda(_stored_weights(spark, folder))
     ranked = topics.lda_topics(spark, model, _model23(spark, folder).terms)
-    return ranked.groupBy("topic").agg(
+    listed = ranked.groupBy("topic").agg(
         F.array_join(
             F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda t: t["term"]),
             " ",
         ).alias("words")
     )
+    # n-grams of two and three words
+    return listed.select("topic", (F.size(F.split("words", " ")) >= 200).alias("complete"))

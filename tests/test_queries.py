@@ -4,12 +4,23 @@ import check_oracles
 import pytest
 
 import __spark_entry__ as entry
+from pagesift.plans import registry
 
 FOLDER = "/root/testdata/sf0.001"
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables not present")
 
 
+@pytest.fixture(autouse=True, scope="module")
+def few_epochs():
+    """Word vectors of the full number of epochs take minutes; what is compared does not need them."""
+    patch = pytest.MonkeyPatch()
+    patch.setattr(registry, "VECTOR_EPOCHS", 2)
+    patch.setattr(registry, "SWEEP_EPOCHS", 2)
+    yield
+    patch.undo()
+
+
 @pytest.fixture(scope="module")
 def connection():
     return check_oracles.connect(FOLDER)
@@ -20,6 +31,19 @@ def test_query_equals_its_sql(spark, connection, name):
     assert check_oracles.compare(spark, connection, FOLDER, name) == ""
 
 
+@pytest.mark.parametrize(
+    "name", ["keyword_tfidf_features", "tfidf_features", "tfidf_rank_features"]
+)
+def test_feature_lines_of_every_sample(spark, name):
+    """Which n-grams a forest selects has no SQL form; every sample has one well-formed line."""
+    lines = entry.queries()[name](spark, FOLDER)
+    corpus = entry.queries()["full_refit_set"](spark, FOLDER)
+    found = {r["sample_id"]: r["line"] for r in lines.collect()}
+    assert found.keys() == {r["sample_id"] for r in corpus.collect()}
+    pairs = [p.split(":") for line in found.values() for p in line.partition("#")[0].split()[1:]]
+    assert pairs and all(int(i) >= 0 and float(v) > 0 for i, v in pairs)
+
+
 def test_every_statement_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
