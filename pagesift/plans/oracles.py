@@ -708,3 +708,71 @@ SELECT s::INTEGER AS size, set_name, samples FROM (SELECT unnest([10, 20]) AS s)
     "nmf_topics": _with(["vocabulary23"], _TOPICS),
     "topic_top_words": "SELECT t::INTEGER AS topic, true AS complete FROM range(0, 2) r(t)",
 }
+
+_cte("corpus_single_hits", ["corpus"], _presence("corpus", _RULE, SINGLE_RULES))
+_cte(
+    "document_hits",
+    ["corpus_single_hits", "weights23", "vocabulary23"],
+    """
+SELECT sample_id, idx FROM corpus_single_hits UNION ALL
+SELECT sample_id, (820 + idx)::INTEGER FROM weights23
+WHERE idx IN (SELECT idx FROM vocabulary23 ORDER BY df DESC, term LIMIT 100)""",
+)
+_cte(
+    "unicode_words",
+    ["corpus"],
+    f"""
+SELECT sample_id, label, list_filter(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}_]{{2,}}'),
+ lambda x: NOT regexp_matches(x, '{_NUMBER}')) AS w FROM corpus""",
+)
+
+
+def _grams13(name: str, words: str, count: int) -> None:
+    """counts, vocabulary and ranks by documents of the most frequent (1,3)-grams."""
+    _cte(
+        f"counts{name}",
+        [words],
+        f"""
+SELECT sample_id, term, count(*) AS tf FROM (
+ SELECT sample_id, unnest(list_concat(w, {_BI}, {_TRI})) AS term FROM {words}) GROUP BY ALL""",
+    )
+    _cte(
+        f"vocabulary{name}",
+        [f"counts{name}"],
+        f"""
+SELECT *, (row_number() OVER (ORDER BY term) - 1)::INTEGER AS idx,
+ (row_number() OVER (ORDER BY df DESC, term) - 1)::INTEGER AS place FROM (
+ SELECT term, sum(tf) AS ctf, count(*) AS df FROM counts{name} GROUP BY term
+ ORDER BY ctf DESC, term LIMIT {count})""",
+    )
+
+
+_grams13("13", "words", 1000)
+_grams13("13u", "unicode_words", 300)
+_cte(
+    "rank_hits",
+    ["counts13u", "vocabulary13u"],
+    "SELECT c.sample_id, (10 + v.place)::INTEGER AS idx FROM counts13u c JOIN vocabulary13u v "
+    "ON c.term = v.term WHERE v.place < 100",
+)
+ORACLES |= {
+    "keyword_tfidf_features_by_documents": _with(
+        ["corpus", "document_hits"], _ones("corpus", "document_hits", "s.label::VARCHAR", "s.path")
+    ),
+    "tfidf_features_by_documents": _with(
+        ["counts13", "vocabulary13", "corpus"],
+        """
+SELECT sample_id, idx, round(value, 6) AS value FROM (
+ SELECT sample_id, idx, place, raw / sqrt(sum(raw * raw) OVER (PARTITION BY sample_id)) AS value FROM (
+  SELECT c.sample_id, v.idx, v.place,
+   c.tf * (ln((1 + (SELECT count(*) FROM corpus)) / (1 + v.df)) + 1) AS raw
+  FROM counts13 c JOIN vocabulary13 v ON c.term = v.term)) WHERE place < 300""",
+    ),
+    "tfidf_rank_features_by_documents": _with(
+        ["corpus", "rank_hits"],
+        """
+SELECT s.sample_id, s.label::VARCHAR || ' ' || coalesce(h.pairs, '') AS line FROM corpus s LEFT JOIN (
+ SELECT sample_id, string_agg(idx::VARCHAR || ':1 ', '' ORDER BY idx) AS pairs FROM rank_hits
+ GROUP BY sample_id) h ON s.sample_id = h.sample_id""",
+    ),
+}

@@ -759,6 +759,40 @@ def tfidf_rank_features(spark, folder):
     )
 
 
+# The same jobs with a ranking by document frequency, which SQL can recompute to the last value.
+
+
+def _by_documents(model) -> selection.Ranking:
+    found = model.document_frequencies
+    order = sorted(range(len(found)), key=lambda i: (-found[i], model.terms[i]))
+    return selection.Ranking(tuple(order), tuple(map(float, found)))
+
+
+@query
+def keyword_tfidf_features_by_documents(spark, folder):
+    model = _model23(spark, folder)
+    corpus = inputs.corpus(spark, folder)
+    return _lines(
+        features.keyword_tfidf_features(corpus, inputs.SINGLE_RULES, model, _by_documents(model))
+    )
+
+
+@query
+def tfidf_features_by_documents(spark, folder):
+    model = _model13(spark, folder, 1000, True)
+    rows = features.tfidf_features(inputs.corpus(spark, folder), model, _by_documents(model))
+    return _long(rows)
+
+
+@query
+def tfidf_rank_features_by_documents(spark, folder):
+    model = _model13(spark, folder, 300, False)
+    rows = features.tfidf_rank_features(inputs.corpus(spark, folder), model, _by_documents(model))
+    return rows.select(
+        "sample_id", libsvm.format_line(F.col("label"), F.col("features"), None).alias("line")
+    )
+
+
 @query
 def hashing_features(spark, folder):
     hashed = hashing.with_hashed_features(inputs.corpus(spark, folder))
