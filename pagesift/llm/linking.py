@@ -79,8 +79,8 @@ def connect(
 ) -> DataFrame:
     """(node, component) of the nodes with links.
 
-    `lists` is a stored table (key, node, n, weight, place), `sets` a stored table (node, shingles) of all
-    its nodes; `verify` turns pairs (a, b) into those that are links.
+    `lists` is a stored table (key, node, n, weight, place), `sets` a table (node, shingles) of all its
+    nodes, read once for the open ones; n may be 0 where the size is not known; `verify` turns pairs (a, b) into those that are links.
     """
     links = [_with_pivots(lists, verify, scratch, percent)]
     live, open_lists = _open(lists, links, scratch)
@@ -93,7 +93,8 @@ def connect(
     )
     links.append(_verified(_all_pairs(live, small, percent), verify, scratch))
     if not large.isEmpty():
-        entries = sets.join(large, "node", "left_semi").select(
+        own = scratch.store(sets.join(large, "node", "left_semi"), "open-sets")
+        entries = own.select(
             "node", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("key")
         )
         exact = rare_lists(

@@ -186,7 +186,7 @@ def _similar(pairs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFra
         .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
     )
     sketch_a, sketch_b = F.slice("sa", 1, k), F.slice("sb", 1, k)
-    union = F.slice(F.array_sort(F.array_union(sketch_a, sketch_b)), 1, k)
+    union = F.slice(F.sort_array(F.array_union(sketch_a, sketch_b)), 1, k)
     estimate = F.size(F.array_intersect(F.array_intersect(sketch_a, sketch_b), union)) / F.size(
         union
     )
