@@ -7,8 +7,9 @@ per 170 bytes. Runs meet by the hash of their anchor:
 
 1. Runs of equal bytes meet by a digest; where there are two, all their starts are repeated.
 2. Where the distinct runs of an anchor are few, they become part of a shard. A shard of bounded
-   size builds its suffix array by Larsson-Sadakane refinement, its common prefixes by Kasai's
-   property, and finds starts that share SIZE bytes with another one.
+   size drops starts that nothing can equal, builds the suffix array of the others by
+   Larsson-Sadakane refinement and its common prefixes by Kasai's property, and finds starts that
+   share SIZE bytes with another one.
 3. Where they are many (a passage in a large share of all documents), runs are cut into bands of
    starts of like offset, which meet by the bytes that all their strings share. Bands of equal
    bytes are repeated; bands that differ are compared start by start, by digest. All counts
@@ -254,18 +255,57 @@ def _bounds(flags: np.ndarray) -> list[dict]:
     return [{"first": a, "last": b - 1} for a, b in zip(edges[::2].tolist(), edges[1::2].tolist())]
 
 
-def _shard_marker(size: int):
+def open_starts(
+    data: np.ndarray,
+    begins: np.ndarray,
+    starts: np.ndarray,
+    anchor: np.ndarray,
+    keys: np.ndarray,
+    size: int,
+    band: int,
+) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the starts that can be repeated, and of the bytes of their strings.
+
+    Equal strings have like offsets to equal anchors. The strings of a band of offsets have the
+    bytes between its last start and the end of its first string in common, so a band is open
+    only if another run of the key has the same bytes there.
+    """
+    sums = _sums(data)
+    codes, runs_, low, high = [], [], [], []
+    for number in range(int(anchor.max()) // band + 1):
+        last = anchor - number * band
+        first = last - band + 1
+        own = np.flatnonzero((last >= 0) & (first < starts))
+        at, end = begins[own] + last[own], begins[own] + first[own] + size
+        codes.append(_spans(sums, at, end) + keys[own] + np.uint64(number))
+        runs_.append(own)
+        low.append(np.maximum(first[own], 0))
+        high.append(np.minimum(last[own], starts[own] - 1))
+    code, run, low, high = map(np.concatenate, (codes, runs_, low, high))
+    _, where, copies = np.unique(mix(code), return_inverse=True, return_counts=True)
+    shared = copies[where] > 1
+    run, low, high = run[shared], low[shared] + begins[run[shared]], high[shared] + begins[run[shared]]
+    owned, needed = np.zeros(len(data) + 1, np.int64), np.zeros(len(data) + 1, np.int64)
+    np.add.at(owned, low, 1)
+    np.add.at(owned, high + 1, -1)
+    np.add.at(needed, low, 1)
+    np.add.at(needed, high + size, -1)
+    return np.cumsum(owned[:-1]) > 0, np.cumsum(needed[:-1]) > 0
+
+
+def _shard_marker(size: int, band: int):
     def mark(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         pieces = table["bytes"].to_pylist()
         data = np.frombuffer(b"".join(pieces), np.uint8)
         ends = np.cumsum([len(p) for p in pieces])
         begins = ends - [len(p) for p in pieces]
-        starts = np.array(table["starts"].to_pylist())
-        edges = np.zeros(len(data) + 1, np.int64)
-        edges[begins] += 1
-        edges[begins + starts] -= 1
-        found = repeated_starts(data, np.cumsum(edges[:-1]) > 0, size)
+        starts, anchor = np.array(table["starts"]), np.array(table["anchor"])
+        keys = np.array(table["key"]).view(np.uint64)
+        owned, needed = open_starts(data, begins, starts, anchor, keys, size, band)
+        found = np.zeros(len(data), bool)
+        if needed.any():
+            found[needed] = repeated_starts(data[needed], owned[needed], size)
         marks = [_bounds(found[b : b + s]) for b, s in zip(begins.tolist(), starts.tolist())]
         table = pa.table(
             {"key": table["key"], "digest": table["digest"], "marks": pa.array(marks, _MARK)}
@@ -454,7 +494,7 @@ def repeated_spans(
     marks = (
         few.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
         .groupBy("shard")
-        .applyInArrow(_shard_marker(size), _MARKS)
+        .applyInArrow(_shard_marker(size, band), _MARKS)
     )
     crowded = many.filter(F.col("kinds") > shard_runs).select("key")
     if not crowded.isEmpty():
@@ -479,7 +519,7 @@ def repeated_spans(
         met.join(decided, ["key", "digest"])
         .select("doc_id", "text_hash", shifted.alias("marks"))
         .groupBy("doc_id", "text_hash")
-        .agg(F.array_distinct(F.flatten(F.collect_list("marks"))).alias("marks")),
+        .agg(F.flatten(F.collect_list("marks")).alias("marks")),
         "of-text",
     )
     result = scratch.store(
