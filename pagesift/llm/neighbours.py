@@ -8,8 +8,9 @@
    takes leaves in that order. How many is calibrated: for CALIBRATION vectors the true neighbours
    are found against all rows, and the visits are widened until the leaves visited hold RECALL of
    them.
-4. Queries meet the rows of their leaves; large leaves and their queries are dealt out in chunks.
-   Distances are exact, in double precision.
+4. Queries meet the rows of their leaves. Leaves are packed into bins, a query sends one row to a
+   bin and gets its nearest of all its leaves there; large leaves, and bins of many queries, are
+   dealt out in chunks. Distances are exact, in double precision.
 """
 
 from __future__ import annotations
@@ -30,13 +31,14 @@ from pagesift.llm.scratch import Scratch
 NEIGHBOURS = 10
 SAMPLE = 20_000
 CALIBRATION = 200
-RECALL = 0.98
+RECALL = 0.95
 BRANCHES = 8
 #: classes in a leaf, about, as long as the sample is large enough for so many leaves
 LEAF_ROWS = 200
 #: at least so many sampled vectors per leaf
 LEAF_SAMPLE = 8
-CHUNK_ROWS = 4096
+#: classes in a bin or a chunk of a leaf, about
+CHUNK_ROWS = 16_384
 CHUNK_QUERIES = 4096
 _LLOYD_ROUNDS = 8
 _BLOCK = 2_000_000
@@ -350,6 +352,21 @@ def _calibrate(
     return needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)]
 
 
+def _bins(tree: Tree, sizes: dict, chunk_rows: int) -> tuple[np.ndarray, dict[int, int]]:
+    """The bin of each leaf, and the chunks of each bin. Neighbouring leaves share a bin; a leaf of
+    more than `chunk_rows` has its own."""
+    bins, rows = np.zeros(tree.leaves, np.int64), {0: 0}
+    current = 0
+    for leaf in range(tree.leaves):
+        size = sizes.get(leaf, (0, 0))[1]
+        if rows[current] and rows[current] + size > chunk_rows:
+            current += 1
+            rows[current] = 0
+        bins[leaf] = current
+        rows[current] += size
+    return bins, {b: max(1, -(-n // chunk_rows)) for b, n in rows.items()}
+
+
 def _search(
     searched: DataFrame,
     placed: DataFrame,
@@ -361,7 +378,9 @@ def _search(
     chunk_queries: int,
     scratch: Scratch,
 ) -> DataFrame:
-    """(class, score, ids) of the classes near each searched class, `keep` per chunk of a leaf."""
+    """(class, score, ids) of the classes near each searched class, `keep` per bin and chunk."""
+    bins, row_chunks = _bins(shared.value, sizes, chunk_rows)
+    visit_kind = pa.list_(pa.struct([("bin", pa.int32()), ("leaves", pa.list_(pa.int32()))]))
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = shared.value
@@ -370,42 +389,50 @@ def _search(
             return len(found) >= visits and sum(sizes.get(x, (0, 0))[0] for x in found) >= keep
 
         for batch in batches:
-            if batch.num_rows:
-                queries = _matrix(batch.column(1))
-                leaves = [leaves_in_order(tree, q, enough) for q in queries]
+            if not batch.num_rows:
+                continue
+            queries, visited = _matrix(batch.column(1)), []
+            for query, own in zip(queries, batch.column(2).to_pylist()):
+                found = leaves_in_order(tree, query, enough)
                 # the leaf of the query's own class holds its copies
-                for found, own in zip(leaves, batch.column(2).to_pylist()):
-                    if own not in found:
-                        found.append(own)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(leaves, pa.list_(pa.int32()))],
-                    ["class", "embedding", "leaves"],
-                )
+                by_bin: dict[int, list[int]] = {}
+                for leaf in found if own in found else [*found, own]:
+                    by_bin.setdefault(int(bins[leaf]), []).append(leaf)
+                visited.append([{"bin": b, "leaves": leaves} for b, leaves in by_bin.items()])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(visited, visit_kind)],
+                ["class", "embedding", "visits"],
+            )
 
     asked = scratch.store(
         searched.select("class", "embedding", "leaf")
-        .mapInArrow(visit, "class long, embedding array<double>, leaves array<int>")
-        .select("class", "embedding", F.explode("leaves").alias("leaf")),
+        .mapInArrow(
+            visit,
+            "class long, embedding array<double>, visits array<struct<bin:int,leaves:array<int>>>",
+        )
+        .select("class", "embedding", F.inline("visits")),
         "visits",
     )
-    # one row per leaf
-    load = {r["leaf"]: r["n"] for r in asked.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}
-    plan = scratch.spark.createDataFrame(
-        [
-            (leaf, -(-n // chunk_rows), -(-load[leaf] // chunk_queries))
-            for leaf, (_, n) in sizes.items()
-            if leaf in load
-        ]
-        or [(-1, 1, 1)],
-        "leaf int, row_chunks int, query_chunks int",
+    # one row per bin
+    load = {r["bin"]: r["n"] for r in asked.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).collect()}
+    spark = scratch.spark
+    plan = F.broadcast(
+        spark.createDataFrame(
+            [
+                (leaf, int(b), row_chunks[int(b)], -(-load.get(int(b), 1) // chunk_queries))
+                for leaf, b in enumerate(bins)
+            ],
+            "leaf int, bin int, row_chunks int, query_chunks int",
+        )
     )
+    of_bin = plan.select("bin", "row_chunks", "query_chunks").distinct()
     asked = (
-        asked.join(F.broadcast(plan), "leaf")
+        asked.join(F.broadcast(of_bin), "bin")
         .withColumn("query_chunk", F.pmod(F.xxhash64("class"), F.col("query_chunks")).cast("int"))
         .withColumn("row_chunk", F.explode(F.sequence(F.lit(0), F.col("row_chunks") - 1)))
     )
     offered = (
-        placed.join(F.broadcast(plan), "leaf")
+        placed.join(plan, "leaf")
         .withColumn("row_chunk", F.pmod(F.xxhash64("class"), F.col("row_chunks")).cast("int"))
         .withColumn("query_chunk", F.explode(F.sequence(F.lit(0), F.col("query_chunks") - 1)))
     )
@@ -413,19 +440,35 @@ def _search(
     def meet(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
         if len(queries) and len(rows):
-            ids = rows["class"].to_numpy()
-            members = dict(zip(ids.tolist(), rows["ids"]))
+            rows = rows.sort_values(["leaf", "class"], kind="stable")
+            ids, members = rows["class"].to_numpy(), rows["ids"].to_numpy()
+            leaves, first = np.unique(rows["leaf"].to_numpy(), return_index=True)
+            ends = dict(zip(leaves.tolist(), zip(first, [*first[1:], len(rows)])))
+            offered_rows, asked_rows = _matrix(rows["embedding"]), _matrix(queries["embedding"])
+            of_leaf: dict[int, list[int]] = {}
+            for place, visited in enumerate(queries["leaves"]):
+                for leaf in visited:
+                    if leaf in ends:
+                        of_leaf.setdefault(int(leaf), []).append(place)
+            best: dict[int, list[tuple]] = {}
+            for leaf, places in of_leaf.items():
+                low, high = ends[leaf]
+                own = offered_rows[low:high]
+                found = nearest(asked_rows[places], own, np.arange(low, high), keep)
+                for k, near, away in found:
+                    mine = best.setdefault(places[k], [])
+                    mine += [(a, int(ids[n]), int(n)) for a, n in zip(away.tolist(), near.tolist())]
+                    mine.sort()
+                    del mine[keep:]
             asked_ids = queries["class"].to_numpy()
-            for place, near, away in nearest(
-                _matrix(queries["embedding"]), _matrix(rows["embedding"]), ids, keep
-            ):
-                out += [(asked_ids[place], a, members[n]) for n, a in zip(near.tolist(), away)]
+            for place, mine in best.items():
+                out += [(asked_ids[place], a, members[n]) for a, _, n in mine]
         return pd.DataFrame(out, columns=["class", "score", "ids"])
 
-    keys = ["leaf", "row_chunk", "query_chunk"]
+    keys = ["bin", "row_chunk", "query_chunk"]
     return (
-        asked.select(*keys, "class", "embedding")
+        asked.select(*keys, "class", "embedding", "leaves")
         .groupBy(*keys)
-        .cogroup(offered.select(*keys, "class", "embedding", "ids").groupBy(*keys))
+        .cogroup(offered.select(*keys, "leaf", "class", "embedding", "ids").groupBy(*keys))
         .applyInPandas(meet, "class long, score double, ids array<long>")
     )
