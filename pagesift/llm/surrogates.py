@@ -96,7 +96,10 @@ _CUED = re.compile(
     r"(?i:\bmy name is|\bi am called|\bje m['’]appelle|\bich hei(?:ß|ss)e|\bmein name ist|\bme llamo"
     rf"|\bmi nombre es|\bменя зовут)[ \u00a0]+({_NAME}(?:[ \u00a0]{_NAME}){{0,2}})"
 )
-_TWO_NAMES = re.compile(rf"(?<![\w'’-])({_NAME})[ \u00a0]({_NAME})")
+# at every word, so that the word before a given name cannot hide it
+_TWO_NAMES = re.compile(
+    rf"(?<![\w'’-])(?![a-zß-öø-ÿа-я])({_NAME})(?=[ \u00a0](?![a-zß-öø-ÿа-я])({_NAME}))"
+)
 
 
 def _luhn(digits: str) -> bool:
@@ -151,7 +154,7 @@ def find_entities(text: str) -> list[Entity]:
         _add_names(add, text, m.start(1), m.end(1), False)
     for m in _TWO_NAMES.finditer(text):
         if m[1].lower() in _PLACE_OF_GIVEN and m[1][0].isupper() and m[2][0].isupper():
-            _add_names(add, text, m.start(), m.end(), False)
+            _add_names(add, text, m.start(), m.end(2), False)
     # the same names where they stand alone
     names = {text[e.start : e.end]: e for e in found if e.type.startswith(("given", "family"))}
     if names:

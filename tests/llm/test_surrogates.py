@@ -136,3 +136,15 @@ def test_query_removes_planted_data(spark):
         assert not any(f in r.text for f in found)
         if not r.n_entities:
             assert r.text == docs[r.doc_id] and not found
+
+
+@pytest.mark.parametrize("before", ["", "Yesterday ", "We met ", "In May we met ", "Then Old Uncle "])
+def test_untitled_names_behind_any_number_of_words(before):
+    text = f"{before}Anna Petrova there. Petrova left; Anna stayed."
+    assert kinds(text) == [
+        ("given-f", "Anna"), ("family", "Petrova"), ("family", "Petrova"), ("given-f", "Anna"),
+    ]
+
+
+def test_untitled_name_with_a_middle_name():
+    assert [e for _, e in kinds("and Anna Maria Petrova went")] == ["Anna", "Maria", "Petrova"]
