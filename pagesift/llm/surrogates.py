@@ -13,6 +13,7 @@ different entities with one surrogate; those, if any, are drawn anew.
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 from collections.abc import Iterator
 from functools import cache, lru_cache
@@ -78,15 +79,39 @@ _SECRET = re.compile(
 )
 _LONG_HEX = re.compile(r"(?<![\w])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![\w])")
 _IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
-_NUMBER = re.compile(r"[+(]?\d[\d ().:/-]{5,}\d")
+_NUMBER = re.compile(r"[+(]?\d[\d \u00a0\u202f().:/-]{5,}\d")
+_IPV6 = re.compile(
+    r"(?<!\w)(?<![0-9A-Fa-f:]:)(?:[0-9A-Fa-f]{1,4}:|::)[0-9A-Fa-f]{0,4}"
+    r"(?::[0-9A-Fa-f]{0,4}){0,7}(?!\w)(?!\.\d)"
+)
 _IPV4 = re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.]*\d)")
 _CARD = re.compile(r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-]*\d)")
 _SSN = re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]*\d)")
 _PHONE = re.compile(
-    r"(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,5}(?:[ .-]?\d{2,5}){1,4}"
-    r"|\(\d{2,4}\)[ .-]?\d{2,5}(?:[ .-]\d{2,5}){1,3}"
+    r"(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,5}(?:[ ./-]?\d{2,5}){1,4}"
+    r"|\(\d{2,4}\)[ .-]?\d{2,5}(?:[ ./-]\d{2,5}){1,3}"
     r"|(?<![\d.-])\d{2,4}(?:[.-]\d{2,5}){2,4})(?![\d-]*\d)"
 )
+# national numbers: pairs behind 0, a trunk code behind 0, the international prefix 00, and three,
+# three and four digits of North America; the digits of a match are counted
+_BLANK = "[ \u00a0\u202f]"
+_GAP = f"(?:{_BLANK}?[./-]{_BLANK}?|{_BLANK})"
+_NATIONAL = re.compile(
+    rf"(?<![\d.,-])(?!\d{{1,2}}([ ./-])\d{{1,2}}\1(?:19|20)\d\d(?!\d))(?:"
+    rf"0[1-9](?:{_GAP}?\d\d){{4}}"
+    rf"|00{_BLANK}?[1-9](?:[ \u00a0\u202f()./-]{{0,3}}\d){{6,12}}"
+    rf"|(?:\(0[1-9]\d{{0,4}}\){_GAP}?|0[1-9]\d{{1,4}}{_GAP})\d{{2,8}}(?:{_GAP}\d{{1,6}}){{0,4}}"
+    rf"|0[1-9]\d{{8,9}}"
+    rf"|(?:1{_GAP})?[2-9]\d\d{_GAP}\d{{3}}{_GAP}\d{{4}}"
+    rf")(?!\d)(?!-\d)"
+)
+_CUED_PHONE = re.compile(rf"\(?\d(?:[ \u00a0\u202f()./-]{{0,3}}\d){{6,14}}(?!\d)")
+_PHONE_CUE = re.compile(
+    r"(?i)(?:\b(?:tel|phone|telephone|call|calls|called|calling|dial|ring|mobile|cell|cellphone|fax|"
+    r"sms|whatsapp|hotline|telefon|telefonnummer|rufnummer|handy|handynummer|mobil|fon|anrufen|"
+    r"appelez|appeler|portable|t[ée]l|t[ée]l[ée]phone|t[ée]l[ée]phonez|tel[ée]fono|m[óo]vil|celular|"
+    r"llame|llamar|ll[áa]mame|тел|телефон|телефону|моб|звоните|факс)\b|\brufen? )[^\d\n]{0,25}\Z"
+)
 _DATE = re.compile(r"\d{4}[.-]\d{1,2}[.-]\d{1,2}|\d{1,2}[.-]\d{1,2}[.-]\d{2,4}")
 _TITLED = re.compile(
     r"\b(" + "|".join(sorted(TITLES, key=len, reverse=True)) + rf")\b\.?[ \u00a0]+"
@@ -115,6 +140,17 @@ def _iban_holds(text: str) -> bool:
     return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
+def _ipv6(shown: str) -> str:
+    """The shortest spelling of an address; empty if it is none, or names only the own host."""
+    try:
+        found = ipaddress.IPv6Address(shown)
+    except ValueError:
+        return ""
+    # a name between colons is no address: dead::beef
+    told = any(c.isdigit() for c in shown) or shown.count(":") > 4
+    return str(found) if told and int(found) > 1 else ""
+
+
 def find_entities(text: str) -> list[Entity]:
     """Entities in order, none overlapping; where patterns overlap, the more certain one wins."""
     found: list[Entity] = []
@@ -135,6 +171,13 @@ def find_entities(text: str) -> list[Entity]:
         normal = m[0].replace(" ", "")
         if _iban_holds(normal):
             add(m.start(), m.end(), "iban", normal)
+    if text.count(":") > 1:
+        for m in _IPV6.finditer(text):
+            shown = m[0] if m[0].endswith("::") else m[0].rstrip(":")
+            normal = _ipv6(shown)
+            if normal:
+                add(m.start(), m.start() + len(shown), "ip", normal)
+    phones: set[int] = set()
     for part in _NUMBER.finditer(text):
         low, number = part.start(), part[0]
         for m in _IPV4.finditer(number):
@@ -148,6 +191,20 @@ def find_entities(text: str) -> list[Entity]:
             digits = re.sub(r"\D", "", m[0])
             if 7 <= len(digits) <= 15 and not _DATE.fullmatch(m[0]):
                 add(low + m.start(), low + m.end(), "phone", digits)
+                phones.add(low + m.end())
+        for m in _NATIONAL.finditer(number):
+            digits = re.sub(r"\D", "", m[0])
+            if 8 <= len(digits) <= (15 if digits.startswith("00") else 12):
+                if not re.search(r"(?i)isbn[^\n]{0,5}\Z", text[max(0, low + m.start() - 10) : low + m.start()]):
+                    add(low + m.start(), low + m.end(), "phone", digits)
+                    phones.add(low + m.end())
+                phones.add(low + m.end())
+        for m in _CUED_PHONE.finditer(number):
+            at = low + m.start()
+            follows = any(at - k in phones and "\n" not in text[at - k : at] for k in range(7))
+            if (follows or _PHONE_CUE.search(text, max(0, at - 45), at)) and not _DATE.match(m[0]):
+                add(at, low + m.end(), "phone", re.sub(r"\D", "", m[0]))
+                phones.add(low + m.end())
     for m in _TITLED.finditer(text):
         _add_names(add, text, m.start(2), m.end(2), True)
     for m in _CUED.finditer(text):
@@ -235,6 +292,12 @@ class Surrogates:
             local, _, domain = normal.partition("@")
             labels, dot, top = domain.rpartition(".")
             return self.shift(kind, local) + "@" + self.shift("domain", labels) + dot + top
+        if kind == "ip" and ":" in normal:
+            # the first group tells the class of the address and stays
+            first = len(normal.partition(":")[0])
+            return self.until(
+                "ip6", normal, lambda t: _ipv6(t) == t, fixed=first, alphabet=_HEX_OF
+            )
         if kind == "ip":
             return self._address(normal)
         if kind == "card":
@@ -281,6 +344,10 @@ class Surrogates:
             if entity.type == "family" and len(shown) == len(new):
                 return "".join(b.upper() if a.isupper() else b for a, b in zip(shown, new))
             return new[:1].upper() + new[1:]
+        if entity.type == "ip" and ":" in new:
+            if len(shown) == 39:
+                new = ipaddress.IPv6Address(new).exploded
+            return new.upper() if shown.isupper() else new
         if entity.type == "email":
             return new.upper() if shown.isupper() else new
         return new

@@ -148,3 +148,62 @@ def test_untitled_names_behind_any_number_of_words(before):
 
 def test_untitled_name_with_a_middle_name():
     assert [e for _, e in kinds("and Anna Maria Petrova went")] == ["Anna", "Maria", "Petrova"]
+
+
+@pytest.mark.parametrize(
+    "number",
+    [
+        "06 12 34 56 78", "06\u00a012\u00a034\u00a056\u00a078", "06.12.34.56.78", "0612345678", "030 1234567",
+        "(030) 1234567", "0171/1234567", "0171 / 123 45 67", "+49 171/1234567", "+49 17123/456789",
+        "0049 30 123456", "020 7946 0958", "555 123 4567", "1-555-123-4567",
+    ],
+)
+def test_phone_formats(keyed, number):
+    text = f"Reach us under {number}, or in 2024."
+    assert kinds(text) == [("phone", number)]
+    new, _ = replace(text, keyed)
+    assert number not in new
+    assert re.sub(r"\d", "9", new) == re.sub(r"\d", "9", text)
+
+
+@pytest.mark.parametrize(
+    "text, number",
+    [
+        ("Call me at 555-1234.", "555-1234"), ("Tel.: 5551234567", "5551234567"),
+        ("mein Telefon ist 1234567", "1234567"), ("phone 555-1234 or 555-9876", "555-9876"),
+    ],
+)
+def test_phones_with_a_cue(text, number):
+    assert ("phone", number) in kinds(text)
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "on 01/02/2024 and 01.02.2024 10:30", "500-1000 of 1 000 000 000", "epoch 1700000000",
+        "ISBN 0306406152", "at 10:30:45", "std::vector and a :: b and dead::beef", "0.0612345678",
+        "mac 00:1a:2b:3c:4d:5e", "::1",
+    ],
+)
+def test_other_numbers_stay(text):
+    assert kinds(text) == []
+
+
+@pytest.mark.parametrize(
+    "shown, first",
+    [
+        ("2001:db8::8a2e:370:7334", "2001:"), ("2001:0DB8:0000:0000:0000:8A2E:0370:7334", "2001:"),
+        ("fe80::1ff:fe23:4567:890a", "fe80:"), ("2001:db8:1:2:3:4:5:6", "2001:"), ("2001:db8::", "2001:"),
+    ],
+)
+def test_ipv6(keyed, shown, first):
+    text = f"from [{shown}]:80 and IP:{shown}. End"
+    assert kinds(text) == [("ip", shown)] * 2
+    new, entities = replace(text, keyed)
+    assert shown not in new and new[6:].startswith(first) and len(new) == len(text)
+    assert entities[0]["mark"] == entities[1]["mark"]
+
+
+def test_ipv6_map_is_one_to_one(keyed):
+    values = [f"2001:db8::{n:x}:1" for n in range(1, 2000)]
+    assert len({keyed.of("ip", v) for v in values}) == len(values)
