@@ -297,8 +297,9 @@ def _calibrate(
     draw = F.pmod(F.xxhash64(F.lit("calibration"), "class"), F.lit(1_000_000)) / 1_000_000
     chosen = (
         placed.filter(draw < 2 * CALIBRATION / max(total, 1))
+        # by their hash: ids may follow the source or the density
+        .orderBy(draw, "class")
         .select("class", "embedding")
-        .orderBy("class")
         .limit(CALIBRATION)
         .toPandas()
     )

@@ -99,3 +99,13 @@ def test_query_recall(spark):
     exact = {q: near for q, near in brute(rows).items() if q % 100 == 0}
     check(got, exact, 0.9)
     assert all(near == pytest.approx([d for _, d in got[q]]) for q, near in ((q, [d for _, d in got[q]]) for q in got))
+
+
+def test_recall_where_ids_follow_density(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(20, 8)) * 40
+    dense = [centres[k % 20] + rng.normal(size=8) * 0.01 for k in range(1100)]
+    wide = [rng.normal(size=8) * 10 for _ in range(900)]
+    rows = [(k, np.float32(v).tolist()) for k, v in enumerate(dense + wide)]
+    got = found(nearest_neighbours(frame(spark, rows), F.col("vec_id") % 5 == 0, leaf_rows=40))
+    check(got, brute(rows), 0.88)
