@@ -32,6 +32,10 @@ SILENT = frozenset(
     "script style head title template noscript noframes iframe object svg math canvas audio video "
     "textarea datalist select".split()
 )
+# elements that leave an open head open; any other start tag ends it
+HEAD = frozenset(
+    "base basefont bgsound link meta title noscript noframes style script template head".split()
+)
 VOID = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
 )
@@ -118,7 +122,14 @@ class _Parser(HTMLParser):
             if tag in within:
                 return
 
+    def leave_head(self) -> None:
+        """Both </head> and <body> may be left out."""
+        while self.stack and self.stack[-1].tag == "head":
+            self.pop_to(len(self.stack) - 1)
+
     def handle_starttag(self, tag, attrs):
+        if tag not in HEAD:
+            self.leave_head()
         if tag in BLOCKS:
             self.flush()
             if tag not in ("option", "optgroup", "label", "button"):
@@ -158,6 +169,8 @@ class _Parser(HTMLParser):
             self.flush()
 
     def handle_data(self, data):
+        if self.silent and self.stack[-1].tag == "head" and data.strip():
+            self.leave_head()
         if not self.silent:
             self.parts.append(data)
             if self.links:
@@ -177,11 +190,14 @@ def _element(tag: str, attrs) -> Element:
     names, hidden = [], False
     for name, value in attrs:
         if name in ("class", "id", "role"):
-            names.append((value or "")[:100])
+            names.append(value or "")
         hidden = hidden or name == "hidden" or (name == "style" and "display:none" in (value or "").replace(" ", ""))
     if _mark.cache_info().currsize > 50_000:
         _mark.cache_clear()
-    return Element(tag, _mark(tag, " ".join(names)), hidden)
+    joined = " ".join(names)
+    # long values are read whole, but not kept
+    mark = _mark if len(joined) <= 300 else _mark.__wrapped__
+    return Element(tag, mark(tag, joined), hidden)
 
 
 def blocks_of(html: str | None) -> list[Block]:

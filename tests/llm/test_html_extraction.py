@@ -92,3 +92,24 @@ def test_query_against_the_marked_articles(spark):
         parts = [" ".join(html.unescape(x.replace("<br>", " ")).split()) for x in parts]
         expected[r.page_id] = "\n".join(x for x in parts if x)
     assert {r.page_id: r.text for r in QUERIES["op2_html_extraction"](spark, folder).collect()} == expected
+
+
+@pytest.mark.parametrize(
+    "start",
+    [
+        "<html><head><title>t</title><meta charset=utf-8><main>", "<head><title>t</title></title><article>",
+        "<head><head><noscript><img src=/p></noscript><script>x</script><link rel=a><main>",
+    ],
+)
+def test_head_without_an_end(field, start):
+    assert main_text(field, start + ARTICLE) == TEXT
+    assert [b.text for b in blocks_of("<head><title>t</title> \n words of the text<p>more")] == [
+        "words of the text", "more",
+    ]
+
+
+@pytest.mark.parametrize("name", ["class", "id", "role"])
+@pytest.mark.parametrize("length", [20, 200, 2000])
+def test_marks_late_in_long_values(name, length):
+    (block,) = blocks_of(f"<div {name}='{'x1 ' * length} comments'>words</div>")
+    assert block.ancestors[-1].mark == "comment"
