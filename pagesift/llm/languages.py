@@ -9,6 +9,7 @@ through Viterbi together, word by word, so there is no Python per word.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -41,12 +42,25 @@ _SCRIPTS = (
     (0xE00, 9), (0xE80, 0), (0x10A0, 10), (0x1100, 11), (0x1200, 0), (0x1E00, 1), (0x1F00, 2),
     (0x2000, 0), (0x3040, 12), (0x30A0, 13), (0x3100, 0), (0x3400, 14), (0xA000, 0), (0xAC00, 11),
     (0xD7A4, 0), (0xF900, 14), (0xFB00, 1), (0xFB07, 0), (0xFF21, 1), (0xFF3B, 0), (0xFF41, 1),
-    (0xFF5B, 0), (0xFF66, 13), (0xFFA0, 0), (0x20000, 14), (0x30000, 0),
+    (0xFF5B, 0), (0xFF66, 13), (0xFFA0, 0), (0x20000, 14), (0x32400, 0),
 )
+#: letters of all other scripts, with the marks that are written with them
+OTHER = 15
 _FIRST = np.array([first for first, _ in _SCRIPTS])
 _SCRIPT = np.array([script for _, script in _SCRIPTS], np.int8)
-SCRIPTS = int(_SCRIPT.max()) + 1
-_TABLE = _SCRIPT[np.searchsorted(_FIRST, np.arange(0x10000), "right") - 1]
+SCRIPTS = OTHER + 1
+
+
+def _is_letter(point: int) -> bool:
+    kind = unicodedata.category(chr(point))[0]
+    # marks of no script (accents, variation selectors of signs) are no letters
+    return kind == "L" or kind == "M" and not unicodedata.name(chr(point), "").startswith(
+        ("COMBINING ", "VARIATION ", "ENCLOSING ")
+    )
+
+
+_TABLE = _SCRIPT[np.searchsorted(_FIRST, np.arange(0x110000), "right") - 1]
+_TABLE[[p for p in np.flatnonzero(_TABLE == 0).tolist() if _is_letter(p)]] = OTHER
 
 
 class Model(NamedTuple):
@@ -58,13 +72,8 @@ class Model(NamedTuple):
 
 
 def scripts_of(points: np.ndarray) -> np.ndarray:
-    """Script of each code point; combining marks and letters of other scripts count as 15."""
-    found = _TABLE[np.minimum(points, 0xFFFF)]
-    high = points > 0xFFFF
-    if high.any():
-        found = found.copy()
-        found[high] = _SCRIPT[np.searchsorted(_FIRST, points[high], "right") - 1]
-    return found
+    """Script of each code point, 0 for no letter; letters of other scripts count as OTHER."""
+    return _TABLE[points]
 
 
 class Words(NamedTuple):

@@ -73,3 +73,30 @@ def test_held_out_accuracy(spark):
     assert len(rows) == len(lang) and 0.15 < len(held) / len(rows) < 0.35
     assert sum(r.lang_pred == lang[r.doc_id] for r in held) >= 0.98 * len(held)
     assert all(0 <= r.score <= 1 for r in rows)
+
+
+OTHERS = {
+    "km": "ភាសាខ្មែរ គឺជា ភាសា កំណើត របស់ ជនជាតិ ខ្មែរ និង ជា ភាសា ផ្លូវការ".split(),
+    "am": "ሰላም ለዓለም ይህ ቋንቋ አማርኛ ነው እና በኢትዮጵያ ይነገራል".split(),
+    "lo": "ພາສາ ລາວ ແມ່ນ ພາສາ ທາງການ ຂອງ ປະເທດ".split(),
+    "ff": "𞤆𞤵𞤤𞤢𞤪 𞤫 𞤖𞤫𞤬𞤼𞤫𞤪𞤫 𞤸𞤢𞤤𞤢 𞤲𞤣𞤫𞤪".split(),
+}
+
+
+def test_learned_languages_of_other_scripts(spark):
+    rng = random.Random(5)
+    make = lambda lang, n: " ".join(rng.choice((WORDS | OTHERS)[lang]) for _ in range(n))
+    rows = [(k, make(lang, 20), lang) for k, lang in enumerate([*WORDS, *OTHERS] * 20)]
+    other = fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    got = predict(spark, other, [make(k, 8) for k in [*WORDS, *OTHERS]] + ["\u2764\ufe0f 12 \u0301"])
+    assert [r.lang_pred for r in got] == [*WORDS, *OTHERS, "und"]
+    assert all(r.score > 0.9 for r in got[:-1]) and got[-1].score == 0.0
+
+
+def test_every_letter_has_a_script():
+    import unicodedata
+
+    import numpy as np
+
+    letters = [p for p in range(0x110000) if unicodedata.category(chr(p))[0] == "L"]
+    assert (languages.scripts_of(np.array(letters)) > 0).all()
