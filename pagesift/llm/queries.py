@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagesift.llm.alignment import aligned
 from pagesift.llm.decontamination import CONTAMINATION_SQL, contamination, digest
+from pagesift.llm.fingerprints import fingerprints
 from pagesift.llm.html_extraction import extract
 from pagesift.llm.languages import predicted_languages
 from pagesift.llm.line_dedup import line_components
 from pagesift.llm.mixing import MIXTURE_SQL, mixture
 from pagesift.llm.neardup import near_duplicates
+from pagesift.llm.negatives import NEGATIVES_SQL, hard_negatives
 from pagesift.llm.neighbours import nearest_neighbours
 from pagesift.llm.scratch import table
 from pagesift.llm.suffix_dedup import repeated_spans
@@ -70,6 +73,23 @@ def op10_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return nearest_neighbours(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups and links between the tokens of two tokenizers in every document."""
+    return aligned(table(spark, folder, "documents"))[0]
+
+
+def op12_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of every document, of its edited text, and how alike they are."""
+    return fingerprints(table(spark, folder, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of every hundredth vector and its best positives."""
+    return hard_negatives(
+        table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, F.col("vec_id") % 7 == 0
+    )
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_html_extraction": op2_html_extraction,
@@ -81,9 +101,13 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_minhash_neardup": op9_minhash_neardup,
     "op10_neighbours": op10_neighbours,
+    "op11_alignment": op11_alignment,
+    "op12_fingerprints": op12_fingerprints,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLES: dict[str, str] = {
     "op4_mixing": MIXTURE_SQL,
     "op6_decontamination": CONTAMINATION_SQL,
+    "op13_hard_negatives": NEGATIVES_SQL,
 }
