@@ -345,10 +345,10 @@ def hard_negatives(
 
 NEGATIVES_SQL = """
 with usable as (
-  select vec_id, label::bigint as label, list_transform(embedding, x -> floor(x::double * 256)) as v
+  select vec_id, label::bigint as label, list_transform(embedding, lambda x: floor(x::double * 256)) as v
   from embeddings
   where vec_id is not null and label is not null and embedding is not null
-    and len(embedding) > 0 and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+    and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ), rows_ as (
   select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, v from usable
 ), scored as (
