@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagesift.llm.bytewords import mix
@@ -206,6 +206,12 @@ def written(digest: np.ndarray) -> str:
     return f"{len(digest)}:{base64.b64encode(digest.tobytes()).decode()}" if len(digest) else ""
 
 
+def _written(bits: str) -> Column:
+    """The same for a column of the digests' bytes."""
+    filters = (F.octet_length(bits) / (BITS // 8)).cast("int").cast("string")
+    return F.when(F.octet_length(bits) > 0, F.concat_ws(":", filters, F.base64(bits))).otherwise("")
+
+
 def read(fingerprint: str) -> np.ndarray:
     if not fingerprint:
         return np.zeros((0, BITS // 8), np.uint8)
@@ -289,12 +295,12 @@ def edited(text: str, following: str) -> str:
 
 
 _ROW = (
-    "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+    "doc_id long, n_chars long, edited_sha256 string, bits binary, edited_bits binary, "
     "near_edited double, near_next double"
 )
 _NAMES = [column.split()[0] for column in _ROW.split(", ")]
 _TYPES = [
-    pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()
+    pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64()
 ]
 
 
@@ -311,7 +317,7 @@ def _compared(ids: list, texts: list[str], following: list[str], ranks: np.ndarr
         mine = own[text]
         sha = hashlib.sha256(new).hexdigest()
         near = likeness(mine, digest), likeness(mine, own[after])
-        rows.append((doc_id, len(text), sha, written(mine), written(digest), *near))
+        rows.append((doc_id, len(text), sha, mine.tobytes(), digest.tobytes(), *near))
     return rows
 
 
@@ -403,4 +409,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         pairs.select("doc_id", "text", "following").mapInArrow(_edge_rows(ranks), _ROW), "closed"
     )
     scratch.close(found, closed)
-    return found.filter("edge is null").select(*_NAMES).unionByName(closed)
+    every = found.filter("edge is null").select(*_NAMES).unionByName(closed)
+    return every.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        _written("bits").alias("fingerprint"),
+        _written("edited_bits").alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
