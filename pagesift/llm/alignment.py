@@ -22,6 +22,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -39,12 +40,16 @@ CHUNK = 1 << 15
 FAN = 16
 #: pairs of ids that are broadcast
 HOT_PAIRS = 500_000
-#: encoded words that a worker remembers, and the longest of them
-WORDS, WORD_CHARS = 150_000, 200
+#: encoded words that a worker remembers, at most twice as many, and the longest of them
+WORDS, WORD_CHARS = 100_000, 200
 #: characters encoded at a time
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 1_000_000
 
 _PLACE = re.compile(r"(?<=\S)(?= \S)")
+#: words that end at such places wherever they stand
+_PLAIN = re.compile(r" \S(?:.*\S)?", re.DOTALL)
+#: blanks beside blanks, or beside an end of the text
+_BLANKS = re.compile(r"\s | \s|^\s|\s$")
 _SIDE = 1 << 32
 
 
@@ -182,22 +187,23 @@ class Aligner:
                 raise ValueError(f"the piece {piece!r} reaches across words")
             whole = bytes([int(piece[3:5], 16)]) if self.b.is_byte(number) else piece.replace("▁", " ").encode()
             self.b_bytes.append(whole)
+        self.a_sizes = np.array([len(t) for t in self.a_bytes])
+        self.b_sizes = np.array([len(t) for t in self.b_bytes])
         self.words: dict[str, Word] = {}
+        self.older: dict[str, Word] = {}
 
-    def _encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
+    def _encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Token ids of texts that begin with a space, which B adds itself."""
-        a = [e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)]
-        return list(zip(a, self.b.encode([t[1:] for t in texts], num_threads=1)))
-
-    def _groups(
-        self, text: str, a: list[int], b: list[int]
-    ) -> tuple[int, list[tuple[int, int, list[int], list[int]]] | None]:
-        """Bytes of the text, and (start, end, A ids, B ids) of each group; None if the tokens' bytes
-        are not the text's."""
-        whole = text.encode()
+        a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        return a, self.b.encode([t[1:] for t in texts], num_threads=1)
+
+    def _groups(self, text: str) -> list[tuple[int, int, list[int], list[int]]] | None:
+        """(start, end, A ids, B ids) of each group; None if the tokens' bytes are not the text's."""
+        (a,), (b,) = self._encode([text])
         a_parts, b_parts = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
+        whole = text.encode()
         if b"".join(a_parts) != whole or b"".join(b_parts) != whole:
-            return len(whole), None
+            return None
         groups, start, i, j, at_a, at_b = [], 0, 0, 0, 0, 0
         from_a = from_b = 0
         while i < len(a):
@@ -208,50 +214,107 @@ class Aligner:
             if at_a == at_b:
                 groups.append((start, at_a, a[from_a:i], b[from_b:j]))
                 start, from_a, from_b = at_a, i, j
-        return len(whole), groups
-
-    def _word(self, text: str, a: list[int], b: list[int]) -> Word:
-        size, groups = self._groups(text, a, b)
-        if groups is None:
-            return Word(size, 0, 0, 0, 0, "", np.zeros(0, np.int64), False)
-        codes = [pair_codes(x, y) for _, _, x, y in groups]
-        every = np.concatenate(codes) if codes else np.zeros(0, np.int64)
-        listed = ";".join(group_text(x, y) for _, _, x, y in groups)
-        return Word(size, len(a), len(b), len(groups), len(every), listed, every)
+        return groups
+
+    def _words(self, words: list[str]) -> Iterator[tuple[str, Word]]:
+        """The alignments of words, in no particular order."""
+        # plain words are encoded many at a time: tokens do not reach across their ends
+        plain = [w for w in words if _PLAIN.fullmatch(w)]
+        texts = ["".join(plain[low : low + 256]) for low in range(0, len(plain), 256)]
+        others = [w for w in words if not _PLAIN.fullmatch(w)]
+        a, b = self._encode(texts + others)
+        yield from self._split(plain, a[: len(texts)], b[: len(texts)])
+        for n, word in enumerate(others, len(texts)):
+            yield from self._split([word], a[n : n + 1], b[n : n + 1])
+
+    def _split(
+        self, words: list[str], a: list[list[int]], b: list[list[int]]
+    ) -> Iterator[tuple[str, Word]]:
+        """The alignments of consecutive words from their tokens."""
+        if not words:
+            return
+        raw = [w.encode() for w in words]
+        a, b = (np.fromiter(chain.from_iterable(ids), np.int64) for ids in (a, b))
+        whole = b"".join(raw)
+        same = all(
+            b"".join(map(names.__getitem__, ids.tolist())) == whole
+            for names, ids in ((self.a_bytes, a), (self.b_bytes, b))
+        )
+        if not same and len(words) > 1:
+            for word in words:
+                yield from self._split([word], *self._encode([word]))
+            return
+        if not same:
+            yield words[0], Word(len(whole), 0, 0, 0, 0, "", np.zeros(0, np.int64), False)
+            return
+        a_ends, b_ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        ends = np.intersect1d(a_ends, b_ends, assume_unique=True)
+        # the group of each token, and the tokens of each group
+        a_group, b_group = np.searchsorted(ends, a_ends), np.searchsorted(ends, b_ends)
+        a_count, b_count = np.bincount(a_group), np.bincount(b_group)
+        a_first, b_first = np.cumsum(a_count) - a_count, np.cumsum(b_count) - b_count
+        times = b_count[a_group]
+        links = np.cumsum(times)
+        partner = np.repeat(b_first[a_group] - links + times, times) + np.arange(links[-1])
+        codes = np.repeat(a, times) * _SIDE + b[partner]
+        # tokens in the order of the groups' text, A's before B's, each with what follows it
+        marks = np.concatenate([
+            np.where(np.arange(len(a)) == (a_first + a_count - 1)[a_group], 1, 0),
+            np.where(np.arange(len(b)) == (b_first + b_count - 1)[b_group], 2, 0),
+        ])
+        order = np.argsort(np.concatenate([2 * a_group, 2 * b_group + 1]), kind="stable")
+        listed = [
+            f"{number}{',|;'[mark]}"
+            for number, mark in zip(np.concatenate([a, b])[order].tolist(), marks[order].tolist())
+        ]
+        group_links = np.concatenate([[0], np.cumsum(a_count * b_count)])
+        group_a, group_b = (np.concatenate([[0], np.cumsum(c)]) for c in (a_count, b_count))
+        sizes = np.array([len(r) for r in raw])
+        last = np.searchsorted(ends, np.cumsum(sizes)) + 1
+        first = np.concatenate([[0], last[:-1]])
+        columns = zip(
+            words,
+            sizes.tolist(),
+            group_a[first].tolist(),
+            group_a[last].tolist(),
+            group_b[first].tolist(),
+            group_b[last].tolist(),
+            (last - first).tolist(),
+            group_links[first].tolist(),
+            group_links[last].tolist(),
+        )
+        for word, size, low_a, high_a, low_b, high_b, groups, low, high in columns:
+            text = "".join(listed[low_a + low_b : high_a + high_b])
+            yield (
+                word,
+                Word(size, high_a - low_a, high_b - low_b, groups, high - low, text[:-1], codes[low:high]),
+            )
 
     def known(self, cuts: list[list[str]]) -> dict[str, Word]:
         """The alignments of all words of texts that are cut into words."""
-        if len(self.words) > WORDS:
-            self.words = {}
         wanted = set().union(*cuts)
         found = {w: self.words[w] for w in wanted if w in self.words}
-        new = [w for w in wanted if w not in found]
+        new = wanted.difference(found)
+        for word in new.intersection(self.older):
+            # a copy, since codes are parts of large arrays
+            own = self.older[word]
+            found[word] = self.words[word] = own._replace(codes=own.codes.copy())
+        new = list(new.difference(found))
         for low in range(0, len(new), 10_000):
-            some = new[low : low + 10_000]
-            for word, (a, b) in zip(some, self._encode(some)):
-                found[word] = self._word(word, a, b)
+            found.update(self._words(new[low : low + 10_000]))
         self.words.update((w, found[w]) for w in new if len(w) <= WORD_CHARS)
+        if len(self.words) > WORDS:
+            # those that nobody asks for until the next time are forgotten
+            self.words, self.older = {}, self.words
         return found
 
     def whole(self, words: list[Word]) -> Fragment:
         """The fragment of a whole text."""
-        codes = np.concatenate([w.codes for w in words])
-        distinct, links = np.unique(codes, return_counts=True)
-        return Fragment(
-            all(w.valid for w in words),
-            True,
-            [],
-            [],
-            sum(w.n_a for w in words),
-            sum(w.n_b for w in words),
-            sum(w.n_groups for w in words),
-            len(codes),
-            ";".join([w.groups for w in words]),
-            distinct,
-            links,
-            [],
-            [],
-        )
+        _, n_a, n_b, n_groups, n_links, groups, codes, valid = zip(*words)
+        distinct, links = np.unique(np.concatenate(codes), return_counts=True)
+        numbers = sum(n_a), sum(n_b), sum(n_groups), sum(n_links)
+        text = ";".join(groups)
+        return Fragment(all(valid), True, [], [], *numbers, text, distinct, links, [], [])
 
     def range(self, words: list[str], known: dict[str, Word], low: int, high: int) -> Fragment:
         """The fragment of the tokens that end behind byte `low` and not behind `high`."""
@@ -272,8 +335,7 @@ class Aligner:
 
     def _cut_word(self, text: str, low: int, high: int) -> Fragment:
         """The same for one word that reaches beyond the range."""
-        a, b = self._encode([text])[0]
-        _, groups = self._groups(text, a, b)
+        groups = self._groups(text)
         if groups is None:
             return Fragment(False, True, [], [], 0, 0, 0, 0, "", [], [], [], [])
         parts = []
@@ -320,6 +382,13 @@ def _aligner(files: Broadcast) -> Aligner:
     return _ALIGNERS[key]
 
 
+def words_of(text: str) -> list[str]:
+    """The words of a text that begins with a space, each with the space before it."""
+    if _BLANKS.search(text, 1):
+        return _PLACE.split(text)
+    return [" " + word for word in text[1:].split(" ")]
+
+
 def ranges(text: str, chunk: int) -> Iterator[tuple[int, int, int, int]]:
     """(first, last, low, high) per range of a text that begins with a space: the range and the words
     around its ends, in code points. An end without a place between words on either side, as near as
@@ -396,9 +465,7 @@ def _document_aligner(files: Broadcast, chunk: int):
             texts = [" " + t if t else "" for t in texts]
             for low, high in _slices(texts):
                 rows = []
-                cuts = [
-                    _PLACE.split(t) if 0 < len(t) <= chunk else [] for t in texts[low:high]
-                ]
+                cuts = [words_of(t) if 0 < len(t) <= chunk else [] for t in texts[low:high]]
                 known = aligner.known(cuts)
                 for n, cut in zip(range(low, high), cuts):
                     key = numbers[n], ids[n]
@@ -424,10 +491,19 @@ def _range_aligner(files: Broadcast):
         names = ["row", "doc_id", "chunk_no", *Fragment._fields]
         types = [pa.int64()] * 3 + _FRAGMENT_TYPES
         for batch in batches:
-            for row in batch.to_pylist():
-                cut = _PLACE.split(row["text"])
-                found = aligner.range(cut, aligner.known([cut]), row["low"], row["high"])
-                yield _batch([(row["row"], row["doc_id"], row["chunk_no"], *found)], names, types)
+            every = batch.to_pylist()
+            for first, last in _slices([row["text"] for row in every]):
+                rows = every[first:last]
+                cuts = [words_of(row["text"]) for row in rows]
+                known = aligner.known(cuts)
+                found = [
+                    (
+                        *(row["row"], row["doc_id"], row["chunk_no"]),
+                        *aligner.range(cut, known, row["low"], row["high"]),
+                    )
+                    for row, cut in zip(rows, cuts)
+                ]
+                yield _batch(found, names, types)
 
     return run
 
