@@ -16,6 +16,7 @@
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,7 +34,7 @@ SEGMENTS = 8
 #: bytes of a group's numbers, and the least number of groups
 GROUP_BYTES, GROUPS = 32 * 1024 * 1024, 16
 #: anchors compared with a group at a time
-ANCHORS = 256
+ANCHORS = 64
 
 
 def segment_bounds(size: int) -> np.ndarray:
@@ -66,22 +67,24 @@ def merged(summary: np.ndarray, size: int, pieces: int) -> tuple[np.ndarray, np.
 
 
 def exact_scores(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Integer inner products of paired rows; whole doubles where these are exact."""
+    """Integer inner products of all rows of both; as products of doubles where these are exact."""
     largest = float(np.abs(left).max(initial=0)) * float(np.abs(right).max(initial=0))
     if largest * left.shape[1] < 2**53:
-        return np.einsum("ij,ij->i", left, right).astype(np.int64)
+        return (left @ right.T).astype(np.int64)
     # Python's integers, for components beyond any usual embedding
-    return np.array(
-        [sum(int(x) * int(y) for x, y in zip(a, b)) for a, b in zip(left, right)], np.int64
-    )
+    whole = [[[int(x) for x in row] for row in side] for side in (left, right)]
+    return np.array([[sum(map(operator.mul, a, b)) for b in whole[1]] for a in whole[0]], np.int64)
 
 
-def _best(keys: np.ndarray, scores: np.ndarray, ids: np.ndarray, count: int) -> np.ndarray:
-    """Places of the first `count` of each key: higher scores first, then smaller ids."""
-    order = np.lexsort((ids, -scores, keys))
-    sorted_keys = keys[order]
-    first = np.searchsorted(sorted_keys, sorted_keys)
-    return order[np.arange(len(order)) - first < count]
+def _first(chosen: np.ndarray, scores: np.ndarray, ids: np.ndarray, rows: np.ndarray, count: int):
+    """(anchor place, row place, score) of each anchor's first `count` chosen: higher scores first, then
+    smaller ids."""
+    at, places = np.nonzero(chosen & (scores >= _kth(chosen, scores, count)))
+    found = scores[at, places]
+    order = np.lexsort((ids[rows[places]], -found, at))
+    own = at[order]
+    order = order[np.arange(len(order)) - np.searchsorted(own, own) < count]
+    return at[order], rows[places[order]], found[order]
 
 
 class Group:
@@ -97,48 +100,39 @@ class Group:
             pieces *= 2
 
     def bounded(self, summary: np.ndarray, wanted: Callable, chosen: np.ndarray):
-        """(anchor, row) places that stay after all levels. `chosen` says which pairs count;
-        `wanted(anchor, lower, upper)` which of these bounds may still count, for pairs in anchor order."""
-        at = rows = None
+        """The rows that an anchor still wants after all levels, and (anchors, such rows) which pairs.
+        `chosen` (anchors, rows) says which pairs count, `wanted(chosen, lower, upper)` which of these bounds
+        may still count. A level bounds the rows that the one before left."""
+        rows = np.arange(len(self.ids))
         for pieces, mean, spread in self.levels:
             own_mean, own_spread = merged(summary, self.size, pieces)
-            if at is None:
-                middle, reach = own_mean @ mean.T, own_spread @ spread.T
-                at, rows = np.nonzero(chosen)
-                middle, reach = middle[at, rows], reach[at, rows]
-            else:
-                middle = np.einsum("ij,ij->i", own_mean[at], mean[rows])
-                reach = np.einsum("ij,ij->i", own_spread[at], spread[rows])
+            middle, reach = own_mean @ mean[rows].T, own_spread @ spread[rows].T
             # more than rounding can add
             reach = reach * (1 + 1e-9) + 1e-9 * np.abs(middle) + 1e-6
-            stays = wanted(at, middle - reach, middle + reach)
-            at, rows = at[stays], rows[stays]
-        return at, rows
-
-
-def _kth(at: np.ndarray, values: np.ndarray, count: int, anchors: int) -> np.ndarray:
-    """The `count`-th largest value of each anchor; minus infinity where there are fewer."""
-    found = np.full(anchors, -np.inf)
-    order = np.lexsort((-values, at))
-    sorted_at = at[order]
-    place = np.searchsorted(sorted_at, np.arange(anchors)) + count - 1
-    inside = place < len(sorted_at)
-    inside[inside] = sorted_at[place[inside]] == np.flatnonzero(inside)
-    found[inside] = values[order][place[inside]]
-    return found
+            chosen = chosen & wanted(chosen, middle - reach, middle + reach)
+            left = chosen.any(axis=0)
+            rows, chosen = rows[left], chosen[:, left]
+        return rows, chosen
+
+
+def _kth(chosen: np.ndarray, values: np.ndarray, count: int) -> np.ndarray:
+    """The `count`-th largest chosen value of each row, as a column; minus infinity where there are fewer."""
+    if not count or chosen.shape[1] < count or chosen.sum(axis=1).max(initial=0) < count:
+        return np.full((len(chosen), 1), -np.inf)
+    own = np.where(chosen, values, -np.inf)
+    return np.partition(own, own.shape[1] - count, axis=1)[:, own.shape[1] - count, None]
 
 
 def positives_of(group: Group, ids, labels, values, summary, count: int):
     """(anchor place, row place, score) of each anchor's best rows of its label in the group."""
     chosen = (labels[:, None] == group.labels[None, :]) & (ids[:, None] != group.ids[None, :])
 
-    def wanted(at, lower, upper):
-        return upper >= _kth(at, lower, count, len(ids))[at]
+    def wanted(chosen, lower, upper):
+        return upper >= _kth(chosen, lower, count)
 
-    at, rows = group.bounded(summary, wanted, chosen)
-    scores = exact_scores(values[at], group.values[rows])
-    best = _best(at, scores, group.ids[rows], count)
-    return at[best], rows[best], scores[best]
+    rows, chosen = group.bounded(summary, wanted, chosen)
+    scores = exact_scores(values, group.values[rows])
+    return _first(chosen, scores, group.ids, rows, count)
 
 
 def negatives_of(group: Group, labels, values, summary, positives: np.ndarray, count: int):
@@ -147,27 +141,25 @@ def negatives_of(group: Group, labels, values, summary, positives: np.ndarray, c
     chosen = labels[:, None] != group.labels[None, :]
     low, high = LOW * positives / 100, HIGH * positives / 100
 
-    def wanted(at, lower, upper):
-        stays = np.zeros(len(at), bool)
+    def wanted(chosen, lower, upper):
+        stays = np.zeros(chosen.shape, bool)
         for k in range(positives.shape[1]):
-            below, above = low[at, k], high[at, k]
+            below, above = low[:, k, None], high[:, k, None]
+            may = chosen & (lower <= above) & (upper >= below)
             # rows that are in the range for certain
-            sure = (lower >= below) & (upper <= above)
-            least = _kth(at[sure], lower[sure], count, len(labels))
-            stays |= (lower <= above) & (upper >= np.maximum(below, least[at]))
+            least = _kth(may & (lower >= below) & (upper <= above), lower, count)
+            stays |= may & (upper >= least)
         return stays
 
-    at, rows = group.bounded(summary, wanted, chosen)
-    scores = exact_scores(values[at], group.values[rows])
+    rows, chosen = group.bounded(summary, wanted, chosen)
+    scores = exact_scores(values, group.values[rows])
     found = []
     for k in range(positives.shape[1]):
-        positive = positives[at, k]
-        there = np.isfinite(positive)
-        exact = np.where(there, positive, 0).astype(np.int64)
-        inside = there & (LOW * exact <= 100 * scores) & (100 * scores <= HIGH * exact)
-        places = np.flatnonzero(inside)
-        best = places[_best(at[places], scores[places], group.ids[rows[places]], count)]
-        found.append((at[best], np.full(len(best), k), rows[best], scores[best]))
+        there = np.isfinite(positives[:, k, None])
+        exact = np.where(there, positives[:, k, None], 0).astype(np.int64)
+        inside = chosen & there & (LOW * exact <= 100 * scores) & (100 * scores <= HIGH * exact)
+        at, row, score = _first(inside, scores, group.ids, rows, count)
+        found.append((at, np.full(len(at), k), row, score))
     return tuple(np.concatenate(column) for column in zip(*found))
 
 
