@@ -703,6 +703,13 @@ ORACLES |= {
 SELECT s::INTEGER AS size, set_name, samples FROM (SELECT unnest([10, 20]) AS s), (
  SELECT 'train' AS set_name, count(*) AS samples FROM corpus UNION ALL
  SELECT d.source, count(*) FROM documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY d.source)""",
+    ),
+    "feature_sets": _with(
+        ["corpus"],
+        """
+SELECT s::INTEGER AS size, set_name, label, path, true AS in_range FROM (SELECT unnest([10, 20]) AS s), (
+ SELECT 'train' AS set_name, label, path FROM corpus UNION ALL
+ SELECT d.source, l.toxic, '/data/d/' || d.doc_id FROM documents d JOIN labels l ON d.doc_id = l.doc_id)""",
     ),
     "lda_topics": _with(["vocabulary23"], _TOPICS),
     "nmf_topics": _with(["vocabulary23"], _TOPICS),

@@ -1005,22 +1005,68 @@ def doc_vector_features(spark, folder):
     )
 
 
-@query
-def sweep_vector_size(spark, folder):
+def _validation(spark, folder):
+    """(sample_id, label, path, content, set_name): the labelled documents, a set per source."""
     documents = inputs.table(spark, folder, "documents")
-    validation = documents.join(inputs.table(spark, folder, "labels"), "doc_id").select(
+    return documents.join(inputs.table(spark, folder, "labels"), "doc_id").select(
         F.col("doc_id").alias("sample_id"),
         F.col("toxic").alias("label"),
+        F.concat(F.lit("/data/d/"), F.col("doc_id").cast("string")).alias("path"),
         F.col("text").alias("content"),
         F.col("source").alias("set_name"),
     )
-    table = vectors.sweep_vector_size(
-        inputs.corpus(spark, folder), validation, [10, 20], epochs=SWEEP_EPOCHS
-    )
+
+
+def _sweep(spark, folder):
+    """Metrics of the sweep, and the folder of its feature files."""
+
+    def run():
+        files = new_output(spark, "feature-sets")
+        table = vectors.sweep_vector_size(
+            inputs.corpus(spark, folder),
+            _validation(spark, folder),
+            [10, 20],
+            epochs=SWEEP_EPOCHS,
+            feature_path=files,
+        )
+        return table, files
+
+    return _once(spark, folder, "sweep", run)
+
+
+@query
+def sweep_vector_size(spark, folder):
+    """Samples behind the metrics of each size and set."""
+    table, _ = _sweep(spark, folder)
     counts = table.filter(F.col("metric").isin("tp", "tn", "fp", "fn"))
     return counts.groupBy("size", "set_name").agg(F.sum("value").cast("bigint").alias("samples"))
 
 
+@query
+def sweep_metrics(spark, folder):
+    """The metrics themselves, which depend on the fitted models."""
+    return _sweep(spark, folder)[0]
+
+
+@query
+def feature_sets(spark, folder):
+    """Label, path and value range read back from the feature files of every size and set."""
+    read = spark.read.text(_sweep(spark, folder)[1])
+    # partition columns beside the line
+    parsed = libsvm.parse_line(
+        read.withColumn("value", F.concat_ws("", "value", F.lit(" @"), "size", F.lit(" "), "set_name"))
+    )
+    tail = F.split(F.substring_index("comment", " @", -1), " ", 2)
+    size = tail[0].cast("int")
+    return parsed.select(
+        size.alias("size"),
+        tail[1].alias("set_name"),
+        "label",
+        F.regexp_extract("comment", r"^(.*) @", 1).alias("path"),
+        F.forall("features", lambda f: f["idx"].between(0, size - 1) & (f["value"] > 0)).alias("in_range"),
+    )
+
+
 def _topic_form(ranked):
     """Ranks of each topic from one without gaps, terms once, weights positive and falling."""
     by_topic = W.partitionBy("topic").orderBy("rank")
