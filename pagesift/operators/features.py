@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pagesift.functions.encoding import WHITESPACE_STRIP, detect_encoding, narrow_encoding
 from pagesift.functions.text import decode_lossy
+from pagesift.operators.joins import equi_join
 from pagesift.operators.presence import with_rule_presence
 from pagesift.operators.selection import Ranking
 from pagesift.operators.tfidf import (
@@ -88,8 +89,10 @@ def with_indicator_vector(
 
 
 def restrict_to_vocabulary(frequencies: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Long term counts of the vocabulary's terms; the vocabulary is bounded by its top-N."""
-    return frequencies.join(F.broadcast(vocabulary.select("idx", "term")), "term").drop("term")
+    """Long term counts of the vocabulary's terms, which may be any number: the vocabulary is
+    broadcast if its measured size allows it, frequent terms are salted otherwise."""
+    terms = vocabulary.select("idx", "term")
+    return equi_join(frequencies, terms, "term", "inner", "sample_id").drop("term")
 
 
 def attach_scores(samples: DataFrame, scores: DataFrame) -> DataFrame:

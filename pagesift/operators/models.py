@@ -77,6 +77,17 @@ def score_samples(
     return output.select(*kept, score.alias("score"))
 
 
+def train_and_score(
+    train_set: DataFrame, test_set: DataFrame, name: str = "xgboost", features: str = "features", **params
+) -> tuple[PipelineModel, DataFrame]:
+    """A model of the training set, and (sample_id, label, set_name, score) of both sets."""
+    model = train(train_set, name, features, **params)
+    both = train_set.withColumn("set_name", F.lit("train")).unionByName(
+        test_set.withColumn("set_name", F.lit("test"))
+    )
+    return model, score_samples(model, both, ["sample_id", "label", "set_name"], features)
+
+
 def save_model(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 

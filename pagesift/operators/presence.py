@@ -2,14 +2,17 @@
 
 Dictionaries of at most MAX_DICTIONARY entries are read to the driver once and used as literal
 sets, which Spark evaluates by hash lookup in the row: no explode, no join, no shuffle. Larger
-keyword tables are joined with the distinct words of each sample.
+keyword tables are joined with the distinct words of each sample. Larger rule sets go to the tasks
+in blocks, each as an automaton that finds all its literals in one pass over a text.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +21,8 @@ from pagesift.operators.joins import equi_join
 from pagesift.sources.libsvm import FEATURES_TYPE, feature, ordered
 
 MAX_DICTIONARY = 10_000
+#: rules of one automaton, about
+RULE_BLOCK = 50_000
 _WORD = re.compile(r"\w+")
 _RULE_WORDS = re.compile(r"[a-z0-9]+(?: [a-z0-9]+)*")
 
@@ -81,6 +86,115 @@ def read_rules(rules: DataFrame, limit: int = MAX_DICTIONARY) -> list[tuple]:
     return found
 
 
+def rule_presence(
+    samples: DataFrame,
+    rules: DataFrame,
+    content: str = "content",
+    out: str = "features",
+    limit: int = MAX_DICTIONARY,
+    block: int = RULE_BLOCK,
+) -> DataFrame:
+    """`with_rule_presence` for a rule table (idx, keyword, fullword, nocase) of any size.
+
+    Beyond `limit` rules, blocks of about `block` rules are sent to the tasks one after the other;
+    rules with equal patterns share a block, where the lowest index wins. Literals must not be empty.
+    """
+    shape = ["idx", "keyword", "fullword", "nocase"]
+    total = rules.count()
+    if total <= limit:
+        return with_rule_presence(samples, read_rules(rules, limit), content, out)
+    spark = samples.sparkSession
+    blocks = -(-total // block)
+    numbered = rules.select(
+        *shape, F.pmod(F.xxhash64(F.lower("keyword")), F.lit(blocks)).alias("_block")
+    )
+    df, names = samples.withColumn("_lowered", F.lower(content)), []
+    for number in range(blocks):
+        own = numbered.filter(F.col("_block") == number).select(*shape).orderBy("idx", "keyword")
+        sent = spark.sparkContext.broadcast([tuple(row) for row in own.collect()])
+        names.append(f"_rules_{number}")
+        df = df.withColumn(names[-1], _automaton_hits(sent)(F.col("_lowered"), F.col(content)))
+    parts = [F.transform(name, lambda idx: feature(idx, F.lit(1.0))) for name in names]
+    return df.withColumn(out, _merged(*parts)).drop("_lowered", *names)
+
+
+_ASCII_LOWER = {upper: upper + 32 for upper in range(ord("A"), ord("Z") + 1)}
+_AUTOMATA: dict[int, list] = {}
+
+
+def _automata(rules: list[tuple]) -> list:
+    """An automaton, or None, for the lowered text, the text with A-Z lowered, and the text itself.
+
+    The literals of words joined by single spaces are compared with the lowered text, other
+    literals as patterns ignore the case of A-Z alone.
+    """
+    import ahocorasick
+
+    found = [{}, {}, {}]
+    for idx, keyword, fullword, nocase in rules:
+        lowered = keyword.lower()
+        if fullword and nocase and _RULE_WORDS.fullmatch(lowered):
+            kind, literal = 0, lowered
+        elif nocase:
+            kind, literal = 1, keyword.translate(_ASCII_LOWER)
+        else:
+            kind, literal = 2, keyword
+        # equal patterns have the first index; one text may be several patterns
+        entries = found[kind].setdefault(literal, {})
+        entries.setdefault((bool(fullword), keyword if kind else literal), idx)
+    automata = []
+    for literals in found:
+        automaton = ahocorasick.Automaton() if literals else None
+        for literal, entries in literals.items():
+            bounded = [idx for (fullword, _), idx in entries.items() if fullword]
+            anywhere = [idx for (fullword, _), idx in entries.items() if not fullword]
+            automaton.add_word(literal, (len(literal), bounded, anywhere))
+        if automaton:
+            automaton.make_automaton()
+        automata.append(automaton)
+    return automata
+
+
+def _is_alphanumeric(char: str) -> bool:
+    return char.isascii() and char.isalnum()
+
+
+def _found_rules(automaton, text: str) -> Iterator[int]:
+    for end, (size, bounded, anywhere) in automaton.iter(text):
+        yield from anywhere
+        if bounded:
+            before, after = end - size, end + 1
+            if not (before >= 0 and _is_alphanumeric(text[before])) and not (
+                after < len(text) and _is_alphanumeric(text[after])
+            ):
+                yield from bounded
+
+
+def _automaton_hits(sent: Broadcast):
+    """A function of (lowered text, text) that gives the indexes of the rules found."""
+
+    @F.arrow_udf("array<int>")
+    def hits(lowered: pa.Array, content: pa.Array) -> pa.Array:
+        key = id(sent.value)
+        if key not in _AUTOMATA:
+            _AUTOMATA[key] = _automata(sent.value)
+        whole, ascii_only, exact = _AUTOMATA[key]
+        rows = []
+        for low, text in zip(lowered.to_pylist(), content.to_pylist()):
+            found: set[int] = set()
+            if text is not None:
+                if whole:
+                    found.update(_found_rules(whole, low))
+                if ascii_only:
+                    found.update(_found_rules(ascii_only, text.translate(_ASCII_LOWER)))
+                if exact:
+                    found.update(_found_rules(exact, text))
+            rows.append(sorted(found))
+        return pa.array(rows, pa.list_(pa.int32()))
+
+    return hits
+
+
 def _index_map(entries: Iterable[tuple[int, str]]) -> Column:
     pairs = list(entries)
     return F.map_from_arrays(

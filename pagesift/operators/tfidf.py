@@ -195,7 +195,7 @@ def fit_tfidf(
     the chosen terms, at most `max_terms`, come to the driver.
     """
     if max_terms > MAX_TERMS:
-        raise ValueError(f"at most {MAX_TERMS} terms")
+        raise ValueError(f"at most {MAX_TERMS} terms; fit_tfidf_table takes any number")
     termed = with_terms(corpus, low, high, strip_accents, stop_numbers, content)
     if not _prunes(termed, prune):
         counted = document_frequency(term_frequency(termed, []))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagesift.functions.text import bind, decode_lossy
 from pagesift.operators.joins import BROADCAST_BYTES, equi_join, measured_bytes
-from pagesift.session import materialise
+from pagesift.session import materialise, stored
 
 # The folder of each triage code and of each lookup result.
 ROUTES = {
@@ -127,6 +127,9 @@ def triage_routes(
     routes = lookup_routes(types).withColumnRenamed("sha1", "_sha1")
     open_rows = coded.filter(F.col("code") == CODE_LOOKUP)
     if measured_bytes(types) > broadcast_bytes:
+        # several jobs need the codes: the cascade reads the samples once
+        coded = stored(coded, "coded")
+        open_rows = coded.filter(F.col("code") == CODE_LOOKUP)
         wanted = open_rows.select("_sha1").distinct()
         routes = materialise(routes.join(wanted, "_sha1", "left_semi"))
         if measured_bytes(routes) > broadcast_bytes:

@@ -783,3 +783,34 @@ SELECT s.sample_id, s.label::VARCHAR || ' ' || coalesce(h.pairs, '') AS line FRO
  GROUP BY sample_id) h ON s.sample_id = h.sample_id""",
     ),
 }
+
+ORACLES["rule_table_presence"] = """
+WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS word FROM documents),
+t AS (SELECT DISTINCT page_id AS sample_id, unnest(regexp_extract_all(lower(html), '[a-z0-9]+')) AS word FROM pages)
+SELECT DISTINCT sample_id, ('0x' || substr(md5(word), 1, 7))::INTEGER AS idx, 1.0::DOUBLE AS value
+FROM t JOIN w USING (word)"""
+
+ORACLES["tfidf_table"] = _with(
+    ["counts23"],
+    """
+SELECT sample_id, idx, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY sample_id)), 6) AS value
+FROM (SELECT c.sample_id, v.idx,
+ c.tf * (ln((1 + (SELECT count(*) FROM corpus)) / (1 + v.df)) + 1) AS raw
+ FROM counts23 c JOIN (
+  SELECT (row_number() OVER (ORDER BY term) - 1)::INTEGER AS idx, term, df FROM (
+   SELECT term, sum(tf)::BIGINT AS ctf, count(*) AS df FROM counts23 GROUP BY term
+   ORDER BY ctf DESC, term LIMIT 150000)) v ON c.term = v.term)""",
+)
+
+for _name in ("keyword", "rules", "hashing", "vectors"):
+    ORACLES[f"train_{_name}"] = _with(["parts"], _SETS)
+# texts under fifty ASCII characters have no digest
+ORACLES["train_digest"] = _with(
+    ["parts", "corpus"],
+    _SETS.replace(
+        "FROM parts",
+        "FROM parts WHERE sample_id IN (SELECT sample_id FROM corpus "
+        "WHERE length(regexp_replace(content, '[^\\x00-\\x7F]+', '', 'g')) >= 50)",
+    ),
+)
+ORACLES["refit_model"] = _with(["corpus"], "SELECT sample_id, true AS probability FROM corpus")

@@ -25,6 +25,7 @@ from pagesift.operators import (
     topics,
     triage,
     vectors,
+    vocabulary,
 )
 from pagesift.plans import inputs
 from pagesift.session import new_output, stored
@@ -392,6 +393,24 @@ def ngram_rule_presence(spark, folder):
     return _long(presence.with_rule_presence(inputs.page_texts(spark, folder), inputs.RULES))
 
 
+@query
+def rule_table_presence(spark, folder):
+    """The words of all documents as rules, more than a literal set holds, in the pages."""
+    words = inputs.table(spark, folder, "documents").select(
+        F.array_distinct(
+            F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))
+        ).alias("words")
+    )
+    index = F.conv(F.substring(F.md5(F.col("keyword").cast("binary")), 1, 7), 16, 10).cast("int")
+    rules = (
+        text.explode_values(words, "words", "keyword", [])
+        .distinct()
+        .select(index.alias("idx"), "keyword", F.lit(True).alias("fullword"), F.lit(True).alias("nocase"))
+    )
+    found = presence.rule_presence(inputs.page_texts(spark, folder), stored(rules, "rules"))
+    return libsvm.to_long(found, ["sample_id"])
+
+
 @query
 def features_for_samples(spark, folder):
     coded = triage.with_triage_code(inputs.samples(spark, folder))
@@ -510,6 +529,14 @@ def tfidf_weights(spark, folder):
 QUERIES["tfidf"] = QUERIES.pop("tfidf_weights")
 
 
+@query
+def tfidf_table(spark, folder):
+    """Weights of more terms than the driver would hold."""
+    corpus = inputs.corpus(spark, folder)
+    model = vocabulary.fit_tfidf_table(corpus, tfidf.MAX_TERMS + 50_000, 2, 3)
+    return _long(model.transform(corpus).drop("content"))
+
+
 @query
 def confusion(spark, folder):
     return metrics.confusion(inputs.scored(spark, folder), ["set_name"])
@@ -850,6 +877,79 @@ def train_and_score(spark, folder):
     return _totals(metrics.metrics(scored, ["set_name"], threshold), "set_name")
 
 
+def _variant_rows(spark, folder, name):
+    """(sample_id, label, features vector) of one kind of features, as a written table."""
+    corpus = inputs.corpus(spark, folder)
+    if name == "keyword":
+        rows = presence.with_keyword_presence(corpus, inputs.KEYWORDS)
+        rows = features.with_indicator_vector(rows, len(inputs.KEYWORDS))
+    elif name == "rules":
+        rows = presence.with_rule_presence(corpus, inputs.RULES)
+        rows = features.with_indicator_vector(rows, max(i for i, _ in inputs.RULES) + 1)
+    elif name == "digest":
+        rows = digest.with_digest(corpus).withColumn(
+            "features", digest.digest_nibbles(F.col("digest"))
+        )
+        rows = features.with_feature_vector(rows, digest.WIDTH)
+    elif name == "hashing":
+        rows = features.with_feature_vector(hashing.with_hashed_features(corpus), 100)
+    else:
+        rows = _document_vectors(spark, folder)
+    return _once(
+        spark,
+        folder,
+        f"variant-{name}",
+        lambda: stored(rows.select("sample_id", "label", F.col("vector").alias("features")), name),
+    )
+
+
+def _variant_metrics(spark, folder, name, prior=False):
+    """Metrics of a model of one kind of features on its training and test sets."""
+    threshold = 0.5
+    if prior:
+        threshold = metrics.prior_threshold(inputs.corpus(spark, folder)).first()["threshold"]
+    rows = _variant_rows(spark, folder, name)
+    _, scored = models.train_and_score(*split.train_test_sets(split.split_by_rate(rows)))
+    return metrics.metrics(scored, ["set_name"], threshold)
+
+
+@query
+def train_keyword(spark, folder):
+    return _totals(_variant_metrics(spark, folder, "keyword"), "set_name")
+
+
+@query
+def train_rules(spark, folder):
+    """Rules, threshold at the class prior."""
+    return _totals(_variant_metrics(spark, folder, "rules", prior=True), "set_name")
+
+
+@query
+def train_digest(spark, folder):
+    """Digests, which texts under fifty ASCII characters do not have."""
+    return _totals(_variant_metrics(spark, folder, "digest"), "set_name")
+
+
+@query
+def train_hashing(spark, folder):
+    return _totals(_variant_metrics(spark, folder, "hashing"), "set_name")
+
+
+@query
+def train_vectors(spark, folder):
+    return _totals(_variant_metrics(spark, folder, "vectors"), "set_name")
+
+
+@query
+def refit_model(spark, folder):
+    """The final model: fitted on training and test sets together, saved, read back, applied to all."""
+    rows = _variant_rows(spark, folder, "hashing")
+    train, test = split.train_test_sets(split.split_by_rate(rows))
+    path = new_output(spark, "refit")
+    models.save_model(models.train(split.full_refit_set(train, test)), path)
+    return _probability(models.score_samples(models.load_model(path), rows, ["sample_id"]), "sample_id")
+
+
 def _totals(table, by):
     """Rows of each class behind the metrics, and whether the rates are in range and better than
     chance, as models of these features are."""

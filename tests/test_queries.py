@@ -4,23 +4,12 @@ import check_oracles
 import pytest
 
 import __spark_entry__ as entry
-from pagesift.plans import registry
 
 FOLDER = "/root/testdata/sf0.001"
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables not present")
 
 
-@pytest.fixture(autouse=True, scope="module")
-def few_epochs():
-    """Word vectors of the full number of epochs take minutes; what is compared does not need them."""
-    patch = pytest.MonkeyPatch()
-    patch.setattr(registry, "VECTOR_EPOCHS", 2)
-    patch.setattr(registry, "SWEEP_EPOCHS", 2)
-    yield
-    patch.undo()
-
-
 @pytest.fixture(scope="module")
 def connection():
     return check_oracles.connect(FOLDER)

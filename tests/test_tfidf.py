@@ -5,7 +5,7 @@ from collections import Counter
 from conftest import rows
 from pyspark.sql import functions as F
 
-from pagesift.operators import tfidf
+from pagesift.operators import tfidf, vocabulary
 from pagesift.sources import libsvm, sinks
 
 
@@ -97,3 +97,31 @@ def test_dense_rows(spark):
     model = tfidf.fit_tfidf(df, 10, 1, 1)
     dense = sinks.dense_rows(model.transform(df), "tfidf", ["sample_id"], [1, 0]).first()["row"]
     assert [round(v, 6) for v in dense] == [round(2 / math.sqrt(5), 6), round(1 / math.sqrt(5), 6)]
+
+
+def test_vocabulary_table_equals_the_model(spark):
+    contents, df = corpus(spark)
+    for top in (5, 40, 1_000_000):
+        table = vocabulary.fit_tfidf_table(df, top, 1, 2)
+        terms, cells = brute(contents, top, 1, 2)
+        found = {r["idx"]: r["term"] for r in table.vocabulary.collect()}
+        assert [found[i] for i in range(len(found))] == terms
+        # broadcast, joined, and joined with every term salted
+        for options in ({}, {"broadcast_bytes": 0}, {"broadcast_bytes": 0, "hot_rows": 3}):
+            weighed = table.transform(df, **options)
+            assert weighed.count() == df.count()
+            got = {(r[0], r[1]): r[2] for r in libsvm.to_long(weighed, ["sample_id"]).collect()}
+            assert got.keys() == cells.keys()
+            assert all(abs(got[k] - cells[k]) < 1e-9 for k in cells)
+
+
+def test_more_terms_than_the_driver_holds(spark):
+    df = spark.range(600).select(
+        F.col("id").alias("sample_id"),
+        F.array_join(
+            F.transform(F.sequence(F.lit(0), F.lit(199)), lambda n: F.concat(F.lit("w"), F.col("id") * 200 + n)), " "
+        ).alias("content"),
+    )
+    model = vocabulary.fit_tfidf_table(df, 110_000, 1, 1)
+    assert model.vocabulary.count() == 110_000
+    assert libsvm.to_long(model.transform(df), ["sample_id"]).count() == 110_000
