@@ -88,3 +88,12 @@ def test_run_equals_its_stages(spark):
         map(str, corpus_pipeline.run(spark, FOLDER).collect())
     )
     assert docs.count() > 0
+
+
+def test_stages_keep_columns_with_clashing_names(spark, docs):
+    extra = ["_rejected", "rejected", "row", "gone", "_doc_id", "component", "node", "items"]
+    df = frame(spark, docs).withColumns({name: F.lit("x") for name in extra})
+    for name in ("line_dedup", "minhash_neardup", "decontamination"):
+        out = STAGE[name](spark, df, FOLDER)
+        assert out.columns == df.columns, name
+        assert {r[c] for r in out.collect() for c in extra} == {"x"}, name
