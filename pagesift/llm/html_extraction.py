@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
 from html.parser import HTMLParser
@@ -39,6 +40,11 @@ HEAD = frozenset(
 VOID = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
 )
+# Elements inside lines of text that tell blocks apart.
+NAMED = BLOCKS | frozenset(
+    "a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark meter output picture progress "
+    "q rp rt ruby s samp slot small span strike strong sub sup time tt u var".split()
+)
 # Words of class, id and role by what they mark.
 MARKS = {
     "content": "article content post entry story body main text prose copy abstract chapter",
@@ -84,17 +90,53 @@ class Element(NamedTuple):
     hidden: bool
 
 
+class Path(NamedTuple):
+    """What the features read of an element and all its ancestors; of bounded size at any depth."""
+
+    #: the element itself; None above the root
+    element: Element | None = None
+    tags: frozenset[str] = frozenset()
+    marks: frozenset[str] = frozenset()
+    inner: str = "none"
+    outer: str = "none"
+    leaf: str = "none"
+    #: block elements
+    depth: int = 0
+    hidden: bool = False
+
+    def child(self, element: Element) -> Path:
+        tag, mark, hidden = element
+        block = tag in BLOCKS and tag not in ("html", "body")
+        # tags that no standard names have no weights, and would have no bound
+        named = tag in NAMED and tag not in self.tags
+        return Path(
+            element,
+            self.tags | {tag} if named else self.tags,
+            self.marks | {mark} if mark and mark not in self.marks else self.marks,
+            mark or self.inner,
+            mark if mark and self.outer == "none" else self.outer,
+            tag if block else self.leaf,
+            self.depth + block,
+            self.hidden or hidden,
+        )
+
+
 class Block(NamedTuple):
     text: str
-    ancestors: tuple[Element, ...]
+    path: Path
     links: int
     breaks: int
 
 
 class _Parser(HTMLParser):
+    """Blocks in order. Each tag costs the same at any depth: the places of open tags and blocks
+    are known, and an element keeps what its ancestors add up to, not their list."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[Element] = []
+        self.stack: list[Path] = []
+        self.places: defaultdict[str, list[int]] = defaultdict(list)
+        self.block_places: list[int] = []
         self.silent = 0
         self.links = 0
         self.blocks: list[Block] = []
@@ -104,27 +146,40 @@ class _Parser(HTMLParser):
     def flush(self) -> None:
         text = _SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
-            self.blocks.append(Block(text, tuple(self.stack), self.linked, self.breaks))
+            path = self.stack[-1] if self.stack else Path()
+            self.blocks.append(Block(text, path, self.linked, self.breaks))
         self.parts, self.linked, self.breaks = [], 0, 0
 
+    def push(self, element: Element) -> None:
+        tag, place = element.tag, len(self.stack)
+        self.stack.append((self.stack[-1] if self.stack else Path()).child(element))
+        self.places[tag].append(place)
+        if tag in BLOCKS:
+            self.block_places.append(place)
+        self.silent += tag in SILENT
+        self.links += tag == "a"
+
     def pop_to(self, place: int) -> None:
-        for element in self.stack[place:]:
-            self.silent -= element.tag in SILENT
-            self.links -= element.tag == "a"
-        del self.stack[place:]
+        while len(self.stack) > place:
+            tag = self.stack.pop().element.tag
+            self.places[tag].pop()
+            if tag in BLOCKS:
+                self.block_places.pop()
+            self.silent -= tag in SILENT
+            self.links -= tag == "a"
+
+    def last(self, tags: set[str]) -> int:
+        """The place of the innermost open element of these tags, or -1."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
 
     def close_open(self, tags: set[str], within: set[str]) -> None:
-        for place in range(len(self.stack) - 1, -1, -1):
-            tag = self.stack[place].tag
-            if tag in tags:
-                self.pop_to(place)
-                return
-            if tag in within:
-                return
+        place = self.last(tags)
+        if place > self.last(within):
+            self.pop_to(place)
 
     def leave_head(self) -> None:
         """Both </head> and <body> may be left out."""
-        while self.stack and self.stack[-1].tag == "head":
+        while self.stack and self.stack[-1].element.tag == "head":
             self.pop_to(len(self.stack) - 1)
 
     def handle_starttag(self, tag, attrs):
@@ -143,9 +198,7 @@ class _Parser(HTMLParser):
             self.breaks += 1
         if tag in VOID:
             return
-        self.stack.append(_element(tag, attrs))
-        self.silent += tag in SILENT
-        self.links += tag == "a"
+        self.push(_element(tag, attrs))
 
     def handle_startendtag(self, tag, attrs):
         if tag in VOID:
@@ -156,20 +209,20 @@ class _Parser(HTMLParser):
                 self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        for place in range(len(self.stack) - 1, -1, -1):
-            if self.stack[place].tag == tag:
-                # an inline end tag does not close the block it stands in
-                inner = self.stack[place + 1 :]
-                if tag in BLOCKS or tag in SILENT or not any(e.tag in BLOCKS for e in inner):
-                    if tag in BLOCKS:
-                        self.flush()
-                    self.pop_to(place)
-                return
+        place = self.last({tag})
+        if place >= 0:
+            # an inline end tag does not close the block it stands in
+            across = bool(self.block_places) and self.block_places[-1] > place
+            if tag in BLOCKS or tag in SILENT or not across:
+                if tag in BLOCKS:
+                    self.flush()
+                self.pop_to(place)
+            return
         if tag == "p":
             self.flush()
 
     def handle_data(self, data):
-        if self.silent and self.stack[-1].tag == "head" and data.strip():
+        if self.silent and self.stack[-1].element.tag == "head" and data.strip():
             self.leave_head()
         if not self.silent:
             self.parts.append(data)
@@ -214,12 +267,8 @@ def _bin(value: float, bounds: tuple) -> int:
 
 def features(block: Block, place: int, count: int) -> list[str]:
     """Names of the features that hold, the labels' evidence but for the transitions."""
-    tags = [e.tag for e in block.ancestors]
-    marks = [e.mark for e in block.ancestors if e.mark]
-    inner = marks[-1] if marks else "none"
-    outer = marks[0] if marks else "none"
-    blocks = [t for t in tags if t in BLOCKS and t not in ("html", "body")]
-    leaf = blocks[-1] if blocks else "none"
+    path = block.path
+    leaf, inner, outer = path.leaf, path.inner, path.outer
     words = block.text.count(" ") + 1
     size = _bin(words, (3, 6, 12, 25, 60))
     links = _bin(block.links / max(len(block.text), 1), (0.05, 0.35, 0.75))
@@ -229,11 +278,11 @@ def features(block: Block, place: int, count: int) -> list[str]:
         f"ends={ends}", f"inner={inner},leaf={leaf}", f"inner={inner},size={size}",
         f"leaf={leaf},size={size},links={links}", f"size={size},ends={ends}",
         f"place={_bin(place / max(count - 1, 1), (0.05, 0.15, 0.85, 0.95))}",
-        f"depth={min(len(blocks), 8)}",
+        f"depth={min(path.depth, 8)}",
     ]
-    found += [f"has={m}" for m in set(marks)]
-    found += [f"tag={t}" for t in set(tags) if t not in ("html", "body")]
-    if any(e.hidden for e in block.ancestors):
+    found += [f"has={m}" for m in path.marks]
+    found += [f"tag={t}" for t in path.tags if t not in ("html", "body")]
+    if path.hidden:
         found.append("hidden")
     if "©" in block.text or "all rights reserved" in block.text.lower():
         found.append("rights")

@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pytest
 
@@ -112,4 +113,27 @@ def test_head_without_an_end(field, start):
 @pytest.mark.parametrize("length", [20, 200, 2000])
 def test_marks_late_in_long_values(name, length):
     (block,) = blocks_of(f"<div {name}='{'x1 ' * length} comments'>words</div>")
-    assert block.ancestors[-1].mark == "comment"
+    assert block.path.element.mark == "comment"
+
+
+@pytest.mark.parametrize("piece", ["<div>", "<div>word ", "<span>", "<x-{n}>word <p>", "</b><i>", "<li><b>word"])
+def test_deep_and_broken_markup_costs_the_same_per_tag(piece):
+    def seconds(count):
+        html = "".join(piece.replace("{n}", str(n)) for n in range(count))
+        start = time.process_time()
+        blocks_of(html)
+        return time.process_time() - start
+
+    assert seconds(40_000) < 20
+
+
+def test_paths_equal_the_list_of_ancestors():
+    html = "<main><div hidden class=sidebar><ul><li>a<li><b>b</b><x-y>c</ul></div><p class=post>d<div>e</main>"
+    shown = [(b.text, b.path.leaf, b.path.inner, b.path.outer, b.path.depth, b.path.hidden) for b in blocks_of(html)]
+    assert shown == [
+        ("a", "li", "side", "content", 4, True),
+        ("bc", "li", "side", "content", 4, True),
+        ("d", "p", "content", "content", 2, False),
+        ("e", "div", "content", "content", 2, False),
+    ]
+    assert blocks_of(html)[1].path.tags == {"main", "div", "ul", "li"}
