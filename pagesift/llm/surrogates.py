@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import ipaddress
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache, lru_cache
 from typing import NamedTuple
@@ -72,7 +73,9 @@ class Entity(NamedTuple):
 
 
 _NAME = r"[^\W\d_][^\W\d_a-zß-öø-ÿа-я]?[^\W\d_]+(?:['’-][^\W\d_]+)*"
-_EMAIL = re.compile(r"[\w.+%-]*[\w+%-]@(?:[\w-]+\.)+[^\W\d_]{2,}")
+# behind and before an @
+_DOMAIN = re.compile(r"(?:[\w-]+\.)+[^\W\d_]{2,}")
+_LOCAL = re.compile(r"[\w.+%-]")
 _SECRET = re.compile(
     r"(?i)\b(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|auth)\b[\"']?\s*[=:]\s*"
     r"[\"']?([\w+/.~-]{6,}=*)"
@@ -84,13 +87,13 @@ _IPV6 = re.compile(
     r"(?<!\w)(?<![0-9A-Fa-f:]:)(?:[0-9A-Fa-f]{1,4}:|::)[0-9A-Fa-f]{0,4}"
     r"(?::[0-9A-Fa-f]{0,4}){0,7}(?!\w)(?!\.\d)"
 )
-_IPV4 = re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.]*\d)")
-_CARD = re.compile(r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-]*\d)")
-_SSN = re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]*\d)")
+_IPV4 = re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.*\d)")
+_CARD = re.compile(r"(?<![\d-])\d(?:[ -]?\d){12,18}(?!-*\d)")
+_SSN = re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?!-*\d)")
 _PHONE = re.compile(
     r"(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,5}(?:[ ./-]?\d{2,5}){1,4}"
     r"|\(\d{2,4}\)[ .-]?\d{2,5}(?:[ ./-]\d{2,5}){1,3}"
-    r"|(?<![\d.-])\d{2,4}(?:[.-]\d{2,5}){2,4})(?![\d-]*\d)"
+    r"|(?<![\d.-])\d{2,4}(?:[.-]\d{2,5}){2,4})(?!-*\d)"
 )
 # national numbers: pairs behind 0, a trunk code behind 0, the international prefix 00, and three,
 # three and four digits of North America; the digits of a match are counted
@@ -127,6 +130,10 @@ _TWO_NAMES = re.compile(
 )
 
 
+# a lone name and what may follow it
+_TOKEN = re.compile(r"(?<![\w'’-])[^\W\d_][\w'’-]*")
+
+
 def _luhn(digits: str) -> bool:
     total = 0
     for k, c in enumerate(reversed(digits)):
@@ -151,17 +158,38 @@ def _ipv6(shown: str) -> str:
     return str(found) if told and int(found) > 1 else ""
 
 
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """Where addresses stand. Each is read from its @ to both sides, so that a long run of word
+    characters is passed once."""
+    end = 0
+    for at in re.finditer("@", text):
+        place = at.start()
+        if place <= end or text[place - 1] == "." or not _LOCAL.match(text, place - 1):
+            continue
+        domain = _DOMAIN.match(text, place + 1)
+        if domain:
+            start = place - 1
+            while start > end and _LOCAL.match(text, start - 1):
+                start -= 1
+            end = domain.end()
+            yield start, end
+
+
 def find_entities(text: str) -> list[Entity]:
     """Entities in order, none overlapping; where patterns overlap, the more certain one wins."""
     found: list[Entity] = []
+    starts: list[int] = []
 
     def add(start, end, kind, normal):
-        if all(end <= e.start or start >= e.end for e in found):
-            found.append(Entity(start, end, kind, normal))
+        # found is in order and without overlaps: only its neighbours can be in the way
+        place = bisect_left(starts, end)
+        if place == 0 or found[place - 1].end <= start:
+            starts.insert(place, start)
+            found.insert(place, Entity(start, end, kind, normal))
 
     if "@" in text:
-        for m in _EMAIL.finditer(text):
-            add(m.start(), m.end(), "email", m[0].lower())
+        for start, end in _emails(text):
+            add(start, end, "email", text[start:end].lower())
     if "=" in text or ":" in text:
         for m in _SECRET.finditer(text):
             add(m.start(1), m.end(1), "secret", m[1])
@@ -215,10 +243,18 @@ def find_entities(text: str) -> list[Entity]:
     # the same names where they stand alone
     names = {text[e.start : e.end]: e for e in found if e.type.startswith(("given", "family"))}
     if names:
-        again = "|".join(re.escape(n) for n in sorted(names, key=len, reverse=True))
-        for m in re.finditer(rf"(?<![\w'’-])(?:{again})(?![\w-])", text):
-            add(m.start(), m.end(), names[m[0]].type, names[m[0]].normal)
-    return sorted(found)
+        sizes = sorted({len(n) for n in names}, reverse=True)
+        for m in _TOKEN.finditer(text):
+            token = m[0]
+            for size in sizes:
+                # a name ends with its token, or before an apostrophe in it
+                if size > len(token) or (size < len(token) and token[size] not in "'’"):
+                    continue
+                known = names.get(token[:size])
+                if known:
+                    add(m.start(), m.start() + size, known.type, known.normal)
+                    break
+    return found
 
 
 def _add_names(add, text: str, start: int, end: int, titled: bool) -> None:
@@ -241,9 +277,12 @@ class Surrogates:
         self.of = lru_cache(100_000)(self._of)
         self.cycle = cache(self._cycle)
 
-    def number(self, *parts) -> int:
+    def state(self, *parts):
         text = "\0".join(map(str, parts)).encode("utf-8", "surrogatepass")
-        return int.from_bytes(hashlib.blake2b(text, key=self.key, digest_size=8).digest(), "big")
+        return hashlib.blake2b(text, key=self.key, digest_size=8)
+
+    def number(self, *parts) -> int:
+        return int.from_bytes(self.state(*parts).digest(), "big")
 
     def mark(self, kind: str, normal: str) -> int:
         """A keyed 63-bit name of an entity that does not tell its value."""
@@ -255,12 +294,13 @@ class Surrogates:
         places = [k for k in range(fixed, len(chars)) if chars[k] in alphabet]
         frame = "".join(c if c not in alphabet else alphabet[c][0][0] for c in chars)
         for turn, order in enumerate((places, places[::-1])):
-            done = text[:fixed]
+            # a step follows from the frame and all characters that this turn has set so far
+            state = self.state(kind, turn, frame, text[:fixed])
             for k in order:
                 letters, place = alphabet[chars[k]]
-                step = self.number(kind, turn, k, frame, done)
+                step = int.from_bytes(state.copy().digest(), "big")
                 chars[k] = letters[(place + step) % len(letters)]
-                done += chars[k]
+                state.update(chars[k].encode())
         return "".join(chars)
 
     def until(self, kind: str, text: str, holds, **options) -> str:

@@ -1,4 +1,5 @@
 import re
+import time
 
 import pytest
 
@@ -207,3 +208,29 @@ def test_ipv6(keyed, shown, first):
 def test_ipv6_map_is_one_to_one(keyed):
     values = [f"2001:db8::{n:x}:1" for n in range(1, 2000)]
     assert len({keyed.of("ip", v) for v in values}) == len(values)
+
+
+@pytest.mark.parametrize(
+    "piece",
+    ["a", "Mr Anna Smith ", "1 ", "a@", "ab.c@de.com ", "Anna'a'", "1.2.3.4 ", "(0", "-", "7", "f"],
+)
+def test_long_runs_cost_the_same_per_character(keyed, piece):
+    text = "Dr Anna Smith token=" + piece * (200_000 // len(piece)) + "@b.com"
+    start = time.process_time()
+    found = find_entities(text)
+    for entity in found:
+        keyed.of(entity.type, entity.normal)
+    assert time.process_time() - start < 30
+    assert all(a.end <= b.start for a, b in zip(found, found[1:]))
+
+
+def test_addresses_from_their_at_sign():
+    text = "x a.b+c@de.example.org, .@a.com a.@b.com @c.com d@e f@g.h1 i@j.kl@m.no"
+    shown = [text[e.start : e.end] for e in find_entities(text) if e.type == "email"]
+    assert shown == ["a.b+c@de.example.org", "i@j.kl"]
+
+
+def test_a_name_again_before_an_apostrophe():
+    text = "Dr Anna Petrova. Anna's, Anna-Lena, Annas, O'Anna, Petrova’s Anna"
+    starts = [e.start for e in find_entities(text)]
+    assert starts == [m.start() for m in re.finditer(r"Anna(?= )|Petrova|Anna(?='s)|Anna$", text)]
