@@ -1,25 +1,31 @@
 """Toxicity scores: gradient-boosted trees over dense features, with isotonic calibration.
 
 Labelled rows are drawn by a hash of their id, at most about SAMPLE of each class (a documented
-bound for fitting alone), and fall into three parts: the first gives the lexicon, words and word
-beginnings that toxic texts use far more often; the second fits the trees on densities of that
-lexicon, its distance to second-person words, capitals, punctuation and obfuscation; the third
-calibrates their score. Texts are scored whole, one pass, without a shuffle.
+bound for fitting alone), and fall into FOLDS parts with equal shares of both classes. Every part
+serves every step: a part's features come from the lexicon of the other parts, words and word
+beginnings that toxic texts use far more often; the trees are fitted on densities of that lexicon,
+its distance to second-person words, capitals, punctuation and obfuscation; the calibration learns
+from scores that trees of the other parts give a part. The final lexicon and trees see all drawn
+rows, so that a few dozen labels are used as fully as thousands. Texts are scored whole, one pass,
+without a shuffle.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import warnings
 from collections import Counter
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
@@ -29,8 +35,11 @@ from pagesift.llm.scratch import Scratch
 SAMPLE = 6000
 #: terms of the lexicon
 TERMS = 400
-#: a term is in at least so many toxic texts
-SUPPORT = 4
+#: a term is in at least this share of the toxic texts, and in two
+SUPPORT = 1 / 1500
+#: standard errors that the log odds of a term lie above zero
+SURE = 2.5
+FOLDS = 3
 ROUNDS = 24
 DEPTH = 4
 STEMS = (4, 5, 6, 7, 8)
@@ -133,11 +142,16 @@ class Features:
         ]
 
 
-def _featurer(lexicon):
+def _featurer(lexica):
+    """Features in place of the text, the first column; a row uses the lexicon of its `part`."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Features(lexicon.value)
+        make = [Features(lexicon) for lexicon in lexica.value]
         for batch in batches:
-            rows = [make(text.as_py()) for text in batch.column(0)]
+            texts = batch.column(0)
+            known = "part" in batch.schema.names
+            parts = batch.column("part").to_pylist() if known else [0] * len(texts)
+            rows = [make[part](text.as_py()) for text, part in zip(texts, parts)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(rows, pa.list_(pa.float64())), *batch.columns[1:]],
                 ["features", *batch.schema.names[1:]],
@@ -147,45 +161,58 @@ def _featurer(lexicon):
 
 
 def _term_counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Occurrences of terms in toxic and other texts, and the toxic texts that have them."""
-    counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
-    texts: Counter = Counter()
+    """Per part: occurrences of terms in toxic and other texts, and the toxic texts with them."""
+    toxic, other, texts = Counter(), Counter(), Counter()
 
     def table():
-        terms = list(counts[0].keys() | counts[1].keys())
+        keys = list(toxic.keys() | other.keys())
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(terms, pa.string()),
-                pa.array([counts[1][t] for t in terms], pa.int64()),
-                pa.array([counts[0][t] for t in terms], pa.int64()),
-                pa.array([texts[t] for t in terms], pa.int64()),
+                pa.array([part for part, _ in keys], pa.int32()),
+                pa.array([term for _, term in keys], pa.string()),
+                *[pa.array([counts[k] for k in keys], pa.int64()) for counts in (toxic, other, texts)],
             ],
-            ["term", "toxic", "other", "texts"],
+            ["part", "term", "toxic", "other", "texts"],
         )
 
     for batch in batches:
-        for text, label in zip(batch.column(0), batch.column(1)):
-            label = label.as_py()
+        for text, label, part in zip(*(batch.column(k) for k in range(3))):
+            part = part.as_py()
             own = Counter()
             for word, n in Counter(words_of(text.as_py() or "")).items():
                 for term in terms_of(word):
-                    own[term] += n
-            counts[label].update(own)
-            if label:
+                    own[part, term] += n
+            if label.as_py():
+                toxic.update(own)
                 texts.update(own.keys())
-        if len(counts[0]) + len(counts[1]) > 300_000:
+            else:
+                other.update(own)
+        if len(toxic) + len(other) > 300_000:
             yield table()
-            counts, texts = {0: Counter(), 1: Counter()}, Counter()
+            toxic, other, texts = Counter(), Counter(), Counter()
     yield table()
 
 
-def _lexicon(rows: DataFrame) -> dict[str, float]:
+def _lexica(rows: DataFrame, scratch: Scratch) -> list[dict[str, float]]:
+    """For each part the lexicon of the other parts, and behind them that of all parts."""
+    counts = scratch.store(
+        rows.select(F.coalesce("text", F.lit("")).alias("text"), "toxic", "part")
+        .mapInArrow(_term_counter, "part int, term string, toxic long, other long, texts long")
+        .groupBy("part", "term")
+        .agg(*[F.sum(name).alias(name) for name in ("toxic", "other", "texts")]),
+        "terms",
+    )
+    toxic = {r["part"]: r["n"] for r in rows.groupBy("part").agg(F.sum("toxic").alias("n")).collect()}
+    return [
+        _lexicon(counts.filter(F.col("part") != held), sum(n for part, n in toxic.items() if part != held))
+        for held in (*range(FOLDS), -1)
+    ]
+
+
+def _lexicon(counts: DataFrame, toxic_texts: int) -> dict[str, float]:
     """Terms of toxic texts by log odds with a flat prior, at most TERMS by significance."""
-    counts = (
-        rows.select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
-        .mapInArrow(_term_counter, "term string, toxic long, other long, texts long")
-        .groupBy("term")
-        .agg(F.sum("toxic").alias("a"), F.sum("other").alias("b"), F.sum("texts").alias("texts"))
+    counts = counts.groupBy("term").agg(
+        F.sum("toxic").alias("a"), F.sum("other").alias("b"), F.sum("texts").alias("texts")
     )
     sums = counts.filter(~F.col("term").endswith("*")).agg(F.sum("a"), F.sum("b")).first()
     total_a, total_b = (sums[0] or 0) + 1.0, (sums[1] or 0) + 1.0
@@ -194,9 +221,9 @@ def _lexicon(rows: DataFrame) -> dict[str, float]:
     )
     score = odds / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
     chosen = (
-        counts.filter(F.col("texts") >= SUPPORT)
+        counts.filter(F.col("texts") >= max(2.0, SUPPORT * toxic_texts))
         .select("term", odds.alias("odds"), score.alias("score"))
-        .filter("odds > 1 and score > 4")
+        .filter((F.col("odds") > 1) & (F.col("score") > SURE))
         .orderBy(F.desc("score"), "term")
         .limit(TERMS)
         .collect()
@@ -210,7 +237,8 @@ def remainder(divisor: int) -> Column:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rule: Column, sample: int) -> DataFrame:
     """(text, toxic, weight, part): about `sample` rows of a class at most, by a hash of the id.
-    weight is the number of labelled rows that a row stands for, part a number below 100."""
+    weight is the number of labelled rows that a row stands for, part a number below FOLDS; each
+    part has the same share of either class."""
     known = (
         labels.filter(rule & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
         .groupBy(F.col("doc_id").alias("_id"))
@@ -221,12 +249,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rule: Column, sample: in
     draw = F.pmod(F.xxhash64(F.lit("sample"), "_id"), F.lit(1_000_000)) / 1_000_000
     bound = F.when(F.col("_toxic") == 1, share.get(1, 0.0)).otherwise(share.get(0, 0.0))
     # at most about two samples of ids
-    chosen = known.filter(draw < bound)
+    in_class = Window.partitionBy("_toxic").orderBy(F.xxhash64(F.lit("part"), "_id"), "_id")
+    chosen = known.filter(draw < bound).withColumn(
+        "_part", F.pmod(F.row_number().over(in_class), F.lit(FOLDS)).cast("int")
+    )
     return docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select(
         "text",
         F.col("_toxic").cast("int").alias("toxic"),
         (1 / bound).alias("weight"),
-        F.pmod(F.xxhash64(F.lit("part"), "_id"), F.lit(100)).cast("int").alias("part"),
+        F.col("_part").alias("part"),
     )
 
 
@@ -235,18 +266,21 @@ def fit(
 ) -> Model | None:
     """A model of `labels` (doc_id, toxic) on the texts of `docs`, from labels that fit `rule`.
 
-    None if there are no labelled rows of both classes in each part.
+    None, with a warning, if no labelled row of `docs` is of the one class or of the other.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "toxicity")
     rows = scratch.store(
         labelled_sample(docs, labels, F.lit(True) if rule is None else rule, sample), "sample"
     )
-    lexicon = _lexicon(rows.filter("part < 40"))
-    shared = spark.sparkContext.broadcast(lexicon)
+    if rows.agg(F.countDistinct("toxic")).first()[0] < 2:
+        scratch.close()
+        warnings.warn("toxicity: labels of both classes are needed; nothing was learned", stacklevel=2)
+        return None
+    *parted, lexicon = _lexica(rows, scratch)
+    shared = spark.sparkContext.broadcast(parted)
     featured = scratch.store(
-        rows.filter("part >= 40")
-        .mapInArrow(
+        rows.mapInArrow(
             _featurer(shared), "features array<double>, toxic int, weight double, part int"
         )
         .select(
@@ -255,36 +289,49 @@ def fit(
             "weight",
             "part",
         )
-        .coalesce(8),
+        .coalesce(4),
         "featured",
     )
-    fitting, rest = featured.filter("part < 75"), featured.filter("part >= 75")
-    both = [part.agg(F.countDistinct("label")).first()[0] == 2 for part in (fitting, rest)]
-    if not all(both):
-        scratch.close()
-        return None
-    trees = GBTClassifier(
+
+    learner = GBTClassifier(
         maxIter=ROUNDS, maxDepth=DEPTH, stepSize=0.2, minInstancesPerNode=5, seed=7,
         weightCol="weight",
-    ).fit(fitting)
-    scored = trees.transform(rest).select(
-        "label", "weight", vector_to_array("probability")[1].alias("raw")
+    )
+    def fitted(held: int) -> GBTClassificationModel:
+        return learner.fit(featured.filter(F.col("part") != held))
+
+    # many small jobs each: side by side, the last one on all parts
+    with ThreadPoolExecutor(max_workers=FOLDS + 1) as pool:
+        *apart, trees = pool.map(fitted, (*range(FOLDS), -1))
+    scored = [
+        model.transform(featured.filter(F.col("part") == held)).select(
+            "label", "weight", vector_to_array("probability")[1].alias("raw")
+        )
+        for held, model in enumerate(apart)
+    ]
+    calibration = IsotonicRegression(featuresCol="raw", weightCol="weight").fit(
+        reduce(DataFrame.unionByName, scored)
     )
-    calibration = IsotonicRegression(featuresCol="raw", weightCol="weight").fit(scored)
     scratch.close()
     return Model(lexicon, trees, calibration)
 
 
 def score(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` of `docs` (all, if none are named) with `score` in [0, 1] and `predicted`.
+    """The columns `keep` of `docs` (all, if none are named) with `score` in [0, 1], `predicted` and
+    `learned`.
 
-    Null and empty texts have the score of texts without words. Without a model every score is 0.
-    Columns of `docs` named score or predicted are replaced.
+    Null and empty texts have the score of texts without words. Without a model every score is 0
+    and `learned` is false. Columns of `docs` with these three names are replaced.
     """
-    names = [c for c in keep or docs.columns if c not in ("score", "predicted")]
+    names = [c for c in keep or docs.columns if c not in ("score", "predicted", "learned")]
     if model is None:
-        return docs.select(*names, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
-    shared = docs.sparkSession.sparkContext.broadcast(model.lexicon)
+        return docs.select(
+            *[F.col(f"`{c}`") for c in names],
+            F.lit(0.0).alias("score"),
+            F.lit(0).alias("predicted"),
+            F.lit(False).alias("learned"),
+        )
+    shared = docs.sparkSession.sparkContext.broadcast([model.lexicon])
     row = F.struct(*[F.col(f"`{c}`") for c in names])
     packed = docs.select(F.col("text").alias("_text"), row.alias("_row"))
     kind = StructType(
@@ -297,12 +344,15 @@ def score(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -
     calibrated = model.calibration.transform(raw)
     value = F.least(F.greatest(F.col("prediction"), F.lit(0.0)), F.lit(1.0))
     return calibrated.select(
-        "_row.*", value.alias("score"), F.when(value >= 0.5, 1).otherwise(0).alias("predicted")
+        "_row.*",
+        value.alias("score"),
+        F.when(value >= 0.5, 1).otherwise(0).alias("predicted"),
+        F.lit(True).alias("learned"),
     )
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, held_out, score, predicted) per row of `docs` (doc_id, text), learned from the rows
+    """(doc_id, held_out, score, predicted, learned) per row of `docs` (doc_id, text), from the rows
     of `labels` (doc_id, toxic) whose crc32 of doc_id leaves a remainder modulo 5. A null doc_id is
     not held out."""
     model = fit(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"), remainder(5) > 0)

@@ -2,7 +2,6 @@ import pytest
 
 from pagesift.llm.toxicity import FEATURES, Features, fit, score, toxicity_scores
 
-# the smaller tables have too few labels to learn from
 FOLDER = "/root/testdata/sf0.1"
 
 
@@ -43,7 +42,24 @@ def test_held_out_quality_and_nulls(spark, tables):
 def test_without_labels_and_rows(spark):
     docs = spark.createDataFrame([(1, "a", 0.7, "q")], "doc_id long, text string, score double, predicted string")
     labels = spark.createDataFrame([(1, None), (2, 1)], "doc_id long, toxic int")
-    assert fit(docs, labels) is None
+    with pytest.warns(UserWarning, match="both classes"):
+        assert fit(docs, labels) is None
     (row,) = score(docs, None).collect()
-    assert row.asDict() == {"doc_id": 1, "text": "a", "score": 0.0, "predicted": 0}
+    assert row.asDict() == {"doc_id": 1, "text": "a", "score": 0.0, "predicted": 0, "learned": False}
     assert toxicity_scores(docs.limit(0), labels).collect() == []
+
+
+def test_few_labels(spark):
+    """51 toxic labels: every drawn row serves lexicon, trees and calibration."""
+    docs, labels = (
+        spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet") for name in ("documents", "labels")
+    )
+    toxic = {r.doc_id: r.toxic for r in labels.collect()}
+    assert sum(toxic.values()) == 51
+    rows = [r for r in toxicity_scores(docs, labels).collect() if r.held_out and r.doc_id in toxic]
+    ones = [r.score for r in rows if toxic[r.doc_id]]
+    others = [r.score for r in rows if not toxic[r.doc_id]]
+    wins = sum((a > b) + (a == b) / 2 for a in ones for b in others)
+    assert wins / (len(ones) * len(others)) >= 0.9
+    assert sum(s >= 0.5 for s in ones) >= len(ones) / 2
+    assert all(r.learned for r in rows)
