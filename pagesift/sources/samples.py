@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow.fs import FileSelector, FileSystem, FileType, LocalFileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,20 +27,83 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key) if 2 * df.rdd.getNumPartitions() <= cores else df
 
 
-def scan_samples(spark: SparkSession, folder: str) -> DataFrame:
+def scan_samples(spark: SparkSession, folder: str, empty_files: bool = True) -> DataFrame:
     """Every file below `folder`, or one file: (sample_id, path, name, content BINARY).
 
-    Files are named by their SHA1, so the path identifies a sample. Unreadable files are
-    skipped, and so are empty ones, which Spark's file scan does not list.
+    Files are named by their SHA1, so the path identifies a sample. Unreadable files are skipped;
+    `unreadable_samples` names them. Spark's scan leaves empty files out, and `list_files` adds
+    them; a store that only Spark opens needs `empty_files` off.
     """
-    files = (
+    found = _scanned(spark, folder)
+    if empty_files:
+        empty = list_files(spark, folder).filter("length = 0")
+        found = found.unionByName(empty.select("path", F.expr("X''").alias("content")))
+    return as_samples(found, "path", "path", "content")
+
+
+def _scanned(spark: SparkSession, folder: str) -> DataFrame:
+    return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .option("ignoreCorruptFiles", True)
         .option("ignoreMissingFiles", True)
         .load(folder)
+        .select("path", "content")
     )
-    return as_samples(files, "path", "path", "content")
+
+
+def list_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, length) of every file below `folder`, or of one file; names that begin with a dot or
+    an underscore are left out, as in Spark's scans. One task lists `folder`, the others share its
+    subfolders; no list passes the driver."""
+    shape = "path string, length long, is_folder boolean"
+    root = spark.createDataFrame([(folder,)], "path string").coalesce(1)
+    top = root.mapInArrow(_lister(False), shape)
+    below = top.filter("is_folder").select("path").repartition("path").mapInArrow(_lister(True), shape)
+    return top.unionByName(below).filter("not is_folder").select("path", "length")
+
+
+def _lister(recursive: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                rows = []
+                store, base, prefix = open_store(folder)
+                infos = store.get_file_info([base])
+                if infos[0].type == FileType.Directory:
+                    infos = store.get_file_info(FileSelector(base, recursive=recursive))
+                for info in infos:
+                    inner = info.path[len(base) :].strip("/").split("/")
+                    if not any(part.startswith((".", "_")) for part in inner):
+                        rows.append((prefix + info.path, info.size or 0, info.type == FileType.Directory))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([r[0] for r in rows], pa.string()),
+                        pa.array([r[1] for r in rows], pa.int64()),
+                        pa.array([r[2] for r in rows], pa.bool_()),
+                    ],
+                    ["path", "length", "is_folder"],
+                )
+
+    return run
+
+
+def open_store(folder: str) -> tuple[FileSystem, str, str]:
+    """The store of a path, the path in it, and what stands before it in Spark's paths."""
+    scheme = re.match(r"([A-Za-z][\w+.-]*):", folder)
+    if not scheme or scheme[1] == "file":
+        base = "/" + re.sub(r"^file:", "", folder).strip("/")
+        return LocalFileSystem(), base, "file:"
+    store, base = FileSystem.from_uri(folder)
+    base = base.rstrip("/")
+    return store, base, folder.rstrip("/").removesuffix(base)
+
+
+def unreadable_samples(spark: SparkSession, folder: str) -> DataFrame:
+    """The paths that `scan_samples` skips: files that are listed, not empty, and have no content."""
+    # the filter makes the scan read the contents
+    read = _scanned(spark, folder).filter("length(content) > 0").select("path")
+    return list_files(spark, folder).filter("length > 0").select("path").join(read, "path", "left_anti")
 
 
 def as_samples(df: DataFrame, sample_id: str, path: str, content: str) -> DataFrame:

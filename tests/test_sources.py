@@ -13,9 +13,26 @@ def test_folder_scan_and_one_file(spark, tmp_path):
     for place, content in (("a/one", b"x\xff"), ("a/b/two", b"y"), ("a/b/empty", b"")):
         (tmp_path / place).write_bytes(content)
     found = samples.scan_samples(spark, str(tmp_path))
-    assert sorted((r["name"], bytes(r["content"])) for r in found.collect()) == [("one", b"x\xff"), ("two", b"y")]
-    assert rows(samples.list_sample_names(found)) == [("one",), ("two",)]
-    assert samples.scan_samples(spark, str(tmp_path / "a/one")).count() == 1
+    assert sorted((r["name"], bytes(r["content"])) for r in found.collect()) == [
+        ("empty", b""), ("one", b"x\xff"), ("two", b"y"),
+    ]
+    assert rows(samples.list_sample_names(found)) == [("empty",), ("one",), ("two",)]
+    assert {r.path.startswith("file:/") for r in found.collect()} == {True}
+    assert samples.scan_samples(spark, str(tmp_path), empty_files=False).count() == 2
+    for one in ("a/one", "a/b/empty"):
+        assert samples.scan_samples(spark, str(tmp_path / one)).count() == 1
+
+
+def test_listing_and_unreadable_files(spark, tmp_path):
+    sizes = {"top": 1, "a/x y%20z": 2, "a/b/c/deep": 3, "a/empty": 0, "d/.hidden": 4, "_skipped/f": 5}
+    for place, size in sizes.items():
+        (tmp_path / place).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / place).write_bytes(b"x" * size)
+    expected = [(f"file:{tmp_path}/{p}", n) for p, n in sizes.items() if "hidden" not in p and "skip" not in p]
+    for folder in (str(tmp_path), f"file:{tmp_path}/", f"file://{tmp_path}"):
+        assert rows(samples.list_files(spark, folder)) == sorted(expected)
+    assert samples.unreadable_samples(spark, str(tmp_path)).count() == 0
+    assert samples.list_files(spark, str(tmp_path / "d")).count() == 0
 
 
 def test_keyword_file(spark, tmp_path):
