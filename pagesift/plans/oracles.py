@@ -372,6 +372,10 @@ ORACLES: dict[str, str] = {
         "SELECT sample_id, path, list_extract(string_split(path, '/'), -1) AS name, "
         "sha1(content) AS sha1 FROM page_texts",
     ),
+    "scan_sample_files": (
+        "SELECT printf('%012d', doc_id) AS name, sha1(coalesce(text, '')) AS sha1, "
+        "strlen(coalesce(text, ''))::BIGINT AS n_bytes FROM documents WHERE doc_id IS NOT NULL"
+    ),
     "labelled_corpus": _with(
         ["page_texts"],
         "SELECT sample_id, 1::INTEGER AS label, length(content)::INTEGER AS chars FROM page_texts "

@@ -72,6 +72,23 @@ def scan_samples(spark, folder):
     return rows.select("sample_id", "path", "name", F.sha1("content").alias("sha1"))
 
 
+@query
+def scan_sample_files(spark, folder):
+    """The documents as files named by their ids, an empty one for an empty text, scanned again."""
+    documents = inputs.table(spark, folder, "documents").filter("doc_id is not null")
+    path = new_output(spark, "samples")
+    sinks.write_sample_files(
+        documents.select(
+            F.format_string("%012d", "doc_id").alias("name"), F.col("text").alias("content")
+        ),
+        path,
+    )
+    found = sample_sources.scan_samples(spark, path)
+    return found.select(
+        "name", F.sha1("content").alias("sha1"), F.length("content").cast("long").alias("n_bytes")
+    )
+
+
 @query
 def labelled_corpus(spark, folder):
     shape = ["sample_id", "content"]

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.ml.feature import VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagesift.sources.samples import open_store
+
 # Bounds the size of one output file; a route holding most rows is many files, not one.
 MAX_RECORDS_PER_FILE = 1_000_000
 
@@ -24,6 +29,26 @@ def route_samples(routed: DataFrame, path: str) -> None:
     write_partitioned(routed, path, "route")
 
 
+def write_sample_files(samples: DataFrame, path: str) -> None:
+    """One file per sample (name, content), in subfolders by the first two characters of the name.
+
+    A repeated task writes the same files again. Null contents become empty files.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base, _ = open_store(path)
+        for batch in batches:
+            for name, content in zip(*(column.to_pylist() for column in batch.columns)):
+                folder = f"{base}/{name[:2]}"
+                store.create_dir(folder, recursive=True)
+                with store.open_output_stream(f"{folder}/{name}") as out:
+                    out.write(content or b"")
+            yield pa.RecordBatch.from_arrays([pa.array([len(batch)], pa.int64())], ["files"])
+
+    written = samples.select("name", F.col("content").cast("binary").alias("content"))
+    written.mapInArrow(run, "files long").agg(F.sum("files")).collect()
+
+
 def route_by_score(scored: DataFrame, path: str) -> None:
     """Samples in one folder per score bucket."""
     write_partitioned(scored, path, "bucket")

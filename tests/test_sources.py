@@ -75,3 +75,13 @@ def test_streamed_triage_equals_batch(spark, tmp_path):
     assert rows(found, "sample_id", "route") == [
         (1, "html/judge_by_vt"), (2, "no_html/no_match_by_re"), (3, "html/doctype"),
     ]
+
+
+def test_samples_written_as_files(spark, tmp_path):
+    df = spark.createDataFrame([("aa1", "x"), ("aa2", ""), ("b", None), ("bc", "ü")], "name string, content string")
+    for _ in range(2):
+        sinks.write_sample_files(df, str(tmp_path / "out"))
+    found = samples.scan_samples(spark, str(tmp_path / "out"))
+    assert sorted((r["name"], bytes(r["content"])) for r in found.collect()) == [
+        ("aa1", b"x"), ("aa2", b""), ("b", b""), ("bc", "ü".encode()),
+    ]
