@@ -71,7 +71,7 @@ def rare_lists(
 
 def connect(
     lists: DataFrame,
-    sets: DataFrame,
+    sets: DataFrame | Callable[[DataFrame], DataFrame],
     verify: Callable[[DataFrame], DataFrame],
     scratch: Scratch,
     percent: int = 80,
@@ -80,7 +80,7 @@ def connect(
     """(node, component) of the nodes with links.
 
     `lists` is a stored table (key, node, n, weight, place), `sets` a table (node, shingles) of all its
-    nodes, read once for the open ones; n may be 0 where the size is not known; `verify` turns pairs (a, b) into those that are links.
+    nodes, read once for the open ones, or a function that makes it for given nodes (node); n may be 0 where the size is not known; `verify` turns pairs (a, b) into those that are links.
     """
     links = [_with_pivots(lists, verify, scratch, percent)]
     live, open_lists = _open(lists, links, scratch)
@@ -93,7 +93,8 @@ def connect(
     )
     links.append(_verified(_all_pairs(live, small, percent), verify, scratch))
     if not large.isEmpty():
-        own = scratch.store(sets.join(large, "node", "left_semi"), "open-sets")
+        chosen = sets(large) if callable(sets) else sets.join(large, "node", "left_semi")
+        own = scratch.store(chosen, "open-sets")
         entries = own.select(
             "node", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("key")
         )
