@@ -41,3 +41,17 @@ def test_a_hundred_thousand_rules(spark):
             if gram in literals:
                 expected.add((sample, literals[gram], 1.0))
     assert found == sorted(expected)
+
+
+def test_bounded_words_are_joined_and_not_sent_to_tasks(spark):
+    rules = [(n, f"W{n % 40}", True, True) for n in range(60)]
+    samples = spark.createDataFrame(
+        [(1, "w3 W4-w3"), (1, "w5"), (None, "w6 w7x"), (None, "w6 w7x"), (2, None), (3, "")],
+        "sample_id long, content string",
+    )
+    found = presence.rule_presence(samples, spark.createDataFrame(rules, SHAPE), limit=5)
+    assert "EvalPython" not in found._jdf.queryExecution().executedPlan().toString()
+    rows = [(r["sample_id"], [f["idx"] for f in r["features"]]) for r in found.collect()]
+    assert sorted(rows, key=str) == sorted(
+        [(1, [3, 4]), (1, [5]), (None, [6]), (None, [6]), (2, []), (3, [])], key=str
+    )
