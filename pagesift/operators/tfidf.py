@@ -1,7 +1,7 @@
 """Term counts, vocabulary and TF-IDF weights, with the matrix in sparse rows.
 
-One shuffle finds the vocabulary: partial counts per task, then per term. The weights need
-none: a document's terms are all in its own row.
+Two passes find the vocabulary: counts per hash bucket, then per term of full buckets. The weights
+need no shuffle: a document's terms are all in its own row.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from pagesift.functions.text import (
     with_ngrams,
     with_run_lengths,
 )
+from pagesift.operators import ngrams
 from pagesift.session import materialise
 from pagesift.sources.libsvm import feature
 
@@ -85,6 +86,35 @@ def top_terms(
     return _ranked_counts(_term_counts(explode_values(termed, terms, "term", [])), count)
 
 
+def corpus_top_terms(
+    corpus: DataFrame,
+    count: int,
+    low: int,
+    high: int,
+    strip_accents: bool = True,
+    stop_numbers: bool = True,
+    content: str = "content",
+) -> DataFrame:
+    """`top_terms` of the terms that `with_terms` would add, which are cut and counted in the tasks."""
+    cut = ngrams.Cut(low, high, strip_accents, stop_numbers)
+    counted = ngrams.frequent_terms(corpus, count, cut, content)
+    return _ranked_counts(counted.select("term", "ctf"), count)
+
+
+def corpus_term_frequency(
+    corpus: DataFrame,
+    keep: list[str],
+    low: int,
+    high: int,
+    strip_accents: bool = True,
+    stop_numbers: bool = True,
+    content: str = "content",
+) -> DataFrame:
+    """`term_frequency` of the terms that `with_terms` would add."""
+    cut = ngrams.Cut(low, high, strip_accents, stop_numbers)
+    return ngrams.document_terms(corpus, keep, cut, content=content)
+
+
 def _prunes(termed: DataFrame, prune: bool | None) -> bool:
     return len(termed.inputFiles()) > PRUNE_FILES if prune is None else prune
 
@@ -151,10 +181,10 @@ class TfidfModel:
 
     def counts(self, corpus: DataFrame, content: str = "content") -> DataFrame:
         """Adds `term_counts`, a sparse vector of the vocabulary's counts."""
-        termed = with_terms(
-            corpus, self.low, self.high, self.strip_accents, self.stop_numbers, content
+        cut = ngrams.Cut(self.low, self.high, self.strip_accents, self.stop_numbers)
+        return _count_vectors(
+            ngrams.known_terms(corpus, self.terms, cut, content, "terms"), self.terms
         )
-        return _count_vectors(termed, self.terms)
 
     def transform(self, corpus: DataFrame, content: str = "content") -> DataFrame:
         """Adds `tfidf`, the L2-normalised weights as a sparse vector."""
@@ -186,46 +216,22 @@ def fit_tfidf(
     strip_accents: bool = True,
     stop_numbers: bool = True,
     content: str = "content",
-    prune: bool | None = None,
 ) -> TfidfModel:
     """Chooses the vocabulary and counts its document frequencies.
 
-    Terms are counted inside each row, so one aggregate gives the counts of both kinds. With
-    pruning (see `top_terms`), the chosen terms' documents are counted in another pass. Only
+    Only terms of full hash buckets are counted one by one (see `ngrams.frequent_terms`), and only
     the chosen terms, at most `max_terms`, come to the driver.
     """
     if max_terms > MAX_TERMS:
         raise ValueError(f"at most {MAX_TERMS} terms; fit_tfidf_table takes any number")
-    termed = with_terms(corpus, low, high, strip_accents, stop_numbers, content)
-    if not _prunes(termed, prune):
-        counted = document_frequency(term_frequency(termed, []))
-        chosen = {row["term"]: row["df"] for row in _ranked_counts(counted, max_terms).collect()}
-        if not chosen:
-            raise ValueError("the corpus has no terms")
-        terms = tuple(sorted(chosen))
-        frequencies = tuple(chosen[term] for term in terms)
-        return TfidfModel(
-            terms, frequencies, corpus.count(), low, high, strip_accents, stop_numbers
-        )
-    terms = tuple(
-        sorted(row["term"] for row in top_terms(termed, max_terms, prune=True).collect())
-    )
-    if not terms:
+    cut = ngrams.Cut(low, high, strip_accents, stop_numbers)
+    counted = ngrams.frequent_terms(corpus, max_terms, cut, content)
+    chosen = {row["term"]: row["df"] for row in _ranked_counts(counted, max_terms).collect()}
+    if not chosen:
         raise ValueError("the corpus has no terms")
-    present = _count_vectors(termed.select("terms"), terms)
-    # the extra index counts the documents themselves
-    indices = F.concat(F.unwrap_udt("term_counts")["indices"], F.array(F.lit(-1)))
-    counted = present.select(F.explode_outer(indices).alias("idx")).groupBy("idx").count()
-    found = {row["idx"]: row["count"] for row in counted.collect()}
-    return TfidfModel(
-        terms,
-        tuple(found.get(i, 0) for i in range(len(terms))),
-        found[-1],
-        low,
-        high,
-        strip_accents,
-        stop_numbers,
-    )
+    terms = tuple(sorted(chosen))
+    frequencies = tuple(chosen[term] for term in terms)
+    return TfidfModel(terms, frequencies, corpus.count(), low, high, strip_accents, stop_numbers)
 
 
 def vector_features(vector: str) -> Column:

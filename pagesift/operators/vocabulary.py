@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagesift.operators import tfidf
+from pagesift.operators import ngrams
 from pagesift.operators.joins import BROADCAST_BYTES, SALT_ROWS, equi_join
 from pagesift.operators.topics import dense_numbers
 from pagesift.session import stored
@@ -30,6 +31,15 @@ class TfidfTable:
     strip_accents: bool
     stop_numbers: bool
 
+    def _buckets(self, bits: int) -> bytes:
+        """The hash buckets that hold a term of the vocabulary, as a bitmap."""
+
+        @F.arrow_udf("long")
+        def bucket(terms: pa.Array) -> pa.Array:
+            return pa.array(ngrams.buckets(ngrams.term_hashes(terms.to_pylist()), bits))
+
+        return ngrams.bitmap(self.vocabulary.select(bucket("term").alias("bucket")), bits)
+
     def transform(
         self,
         corpus: DataFrame,
@@ -39,10 +49,12 @@ class TfidfTable:
         hot_rows: int = SALT_ROWS,
     ) -> DataFrame:
         """Adds the L2-normalised weights as features, ascending by index. `sample_id` identifies rows."""
-        termed = tfidf.with_terms(
-            corpus, self.low, self.high, self.strip_accents, self.stop_numbers, content
+        cut = ngrams.Cut(self.low, self.high, self.strip_accents, self.stop_numbers)
+        bits = ngrams.MAX_BITS
+        # few other terms share a bucket with the vocabulary's, and the join drops them
+        counts = ngrams.document_terms(
+            corpus, ["sample_id"], cut, bits, self._buckets(bits), content
         )
-        counts = tfidf.term_frequency(termed, ["sample_id"])
         known = equi_join(
             counts, self.vocabulary, "term", "inner", "sample_id", broadcast_bytes, hot_rows
         )
@@ -69,8 +81,8 @@ def fit_tfidf_table(
     content: str = "content",
 ) -> TfidfTable:
     """The `max_terms` terms of the highest corpus counts, ties to the lower term; all if fewer."""
-    termed = tfidf.with_terms(corpus, low, high, strip_accents, stop_numbers, content)
-    counted = tfidf.document_frequency(tfidf.term_frequency(termed, []))
+    cut = ngrams.Cut(low, high, strip_accents, stop_numbers)
+    counted = ngrams.frequent_terms(corpus, max_terms, cut, content)
     ranked = dense_numbers(
         counted.select("term", "df", (-F.col("ctf")).alias("falling")), ["falling", "term"], "rank"
     )
