@@ -63,9 +63,11 @@ class TfidfTable:
             F.sort_array(F.collect_list(feature(F.col("idx"), F.col("tf") * idf))).alias("_raw")
         )
         squares = F.aggregate("_raw", F.lit(0.0), lambda total, f: total + f["value"] * f["value"])
-        weighed = rows.withColumn("_norm", F.sqrt(squares)).select(
+        # repeated per entry, so that the length is computed once and not inside the lambda
+        lengths = F.array_repeat(F.sqrt(squares), F.size("_raw"))
+        weighed = rows.select(
             "sample_id",
-            F.transform("_raw", lambda f: feature(f["idx"], f["value"] / F.col("_norm"))).alias(out),
+            F.zip_with("_raw", lengths, lambda f, n: feature(f["idx"], f["value"] / n)).alias(out),
         )
         empty = F.array().cast(FEATURES_TYPE)
         return corpus.join(weighed, "sample_id", "left").withColumn(out, F.coalesce(out, empty))

@@ -1,5 +1,6 @@
 import math
 import random
+import time
 from collections import Counter
 
 from conftest import rows
@@ -125,3 +126,13 @@ def test_more_terms_than_the_driver_holds(spark):
     model = vocabulary.fit_tfidf_table(df, 110_000, 1, 1)
     assert model.vocabulary.count() == 110_000
     assert libsvm.to_long(model.transform(df), ["sample_id"]).count() == 110_000
+
+
+def test_long_documents_take_time_by_their_length(spark):
+    words = F.transform(F.sequence(F.lit(0), F.lit(39_999)), lambda n: F.concat(F.lit("w"), n))
+    df = spark.range(2).select(F.col("id").alias("sample_id"), F.array_join(words, " ").alias("content"))
+    model = vocabulary.fit_tfidf_table(df, 110_000, 1, 1)
+    start = time.perf_counter()
+    assert libsvm.to_long(model.transform(df), ["sample_id"]).count() == 80_000
+    # some seconds; the square of the length takes minutes
+    assert time.perf_counter() - start < 60
