@@ -36,7 +36,7 @@ def decode_lossy(content: Column) -> Column:
 
 
 @lru_cache(maxsize=1)
-def _foldings() -> tuple[str, str, tuple[tuple[str, str], ...]]:
+def foldings() -> tuple[str, str, tuple[tuple[str, str], ...]]:
     """(accented characters, their ASCII letters, ligatures with several letters)."""
     single_from, single_to, several = [], [], []
     for point in range(0x80, min(sys.maxunicode, 0xFFFF) + 1):
@@ -56,7 +56,7 @@ def _foldings() -> tuple[str, str, tuple[tuple[str, str], ...]]:
 
 def fold_to_ascii(text: Column) -> Column:
     """Lower-cased text with accents removed and everything else outside ASCII dropped."""
-    accented, plain, ligatures = _foldings()
+    accented, plain, ligatures = foldings()
     members = "".join(char for char, _ in ligatures)
 
     def spelled(lowered: Column) -> Column:

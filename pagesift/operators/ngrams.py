@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pagesift.functions.bytewords import (
     span_hashes,
     word_bounds,
 )
-from pagesift.functions.text import NUMBER_TOKEN, fold_to_ascii
+from pagesift.functions.text import NUMBER_TOKEN, foldings
 from pagesift.session import stored
 
 #: rows of a batch that a task returns, at most
@@ -54,12 +55,12 @@ class Cut:
     stop_numbers: bool = True
 
     def text(self, content: str = "content") -> Column:
-        """The text in which a word is a run of ASCII word characters or bytes beyond ASCII."""
+        """The text in which a word is a run of ASCII word characters or bytes beyond ASCII, once its
+        accents are folded in the tasks if they are to be stripped."""
         text = F.col(content).cast("string")
         if self.strip_accents:
-            plain = fold_to_ascii(text)
-        else:
-            plain = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_]+", " ")
+            return F.lower(text)
+        plain = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_]+", " ")
         # capitals of plain texts are lowered with their bytes
         return F.when(text.rlike(r"[^\x00-\x7F]"), plain).otherwise(text)
 
@@ -99,7 +100,52 @@ def _numbers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
     return found
 
 
+@cache
+def _spellings() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points with ASCII spellings, ascending, the spellings' lengths and, a row each, their bytes."""
+    accented, plain, ligatures = foldings()
+    spelled = sorted([*zip(map(ord, accented), plain), *((ord(c), letters) for c, letters in ligatures)])
+    sizes = np.array([len(letters) for _, letters in spelled])
+    letters = np.array([list(w.encode().ljust(sizes.max(), b" ")) for _, w in spelled], np.uint8)
+    return np.array([number for number, _ in spelled]), sizes, letters
+
+
+def fold(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Valid UTF-8 texts as `text.fold_to_ascii` writes lower-cased ones, and their offsets."""
+    plain = data < 0x80
+    if plain.all():
+        return data, offsets
+    points, sizes, letters = _spellings()
+    leads = np.flatnonzero(data >= 0xC0)
+    padded = np.append(data, np.zeros(3, np.uint8)).astype(np.int32)
+    first, second, third, fourth = (padded[leads + k] for k in range(4))
+    second, third, fourth = second & 0x3F, third & 0x3F, fourth & 0x3F
+    number = np.where(
+        first < 0xE0,
+        (first & 0x1F) << 6 | second,
+        np.where(
+            first < 0xF0,
+            (first & 0x0F) << 12 | second << 6 | third,
+            (first & 0x07) << 18 | second << 12 | third << 6 | fourth,
+        ),
+    )
+    place = np.minimum(np.searchsorted(points, number), len(points) - 1)
+    known = points[place] == number
+    leads, place = leads[known], place[known]
+    lengths = plain.astype(np.int8)
+    lengths[leads] = sizes[place]
+    ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+    folded = np.empty(ends[-1], np.uint8)
+    folded[ends[:-1][plain]] = data[plain]
+    for k in range(letters.shape[1]):
+        longer = sizes[place] > k
+        folded[ends[leads[longer]] + k] = letters[place[longer], k]
+    return folded, ends[offsets]
+
+
 def _cut(data: np.ndarray, offsets: np.ndarray, cut: Cut) -> Grams:
+    if cut.strip_accents:
+        data, offsets = fold(data, offsets)
     data = _LOWER[data]
     starts, ends, _ = word_bounds(data, offsets, _MEMBERS)
     sizes = ends - starts

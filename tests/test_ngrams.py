@@ -9,6 +9,8 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from pagesift.functions.bytewords import slices
+from pagesift.functions.text import fold_to_ascii
 from pagesift.operators import hashing, ngrams, tfidf, vocabulary
 from pagesift.sources.libsvm import to_long
 
@@ -98,3 +100,19 @@ def test_vectors_of_texts_without_terms(corpus):
     long = to_long(weighed.withColumn("features", tfidf.vector_features("tfidf")), ["sample_id"])
     assert weighed.count() == corpus.filter("content is not null").count()
     assert long.select("idx").distinct().count() == 30
+
+
+def test_accents_are_folded_in_the_tasks_as_in_columns(spark):
+    points = [*range(1, 0xD800), *range(0xE000, 0x1F000)]
+    texts = ["".join(map(chr, points[low : low + 997])) for low in range(0, len(points), 997)]
+    texts += ["", "plain Text", "ŒUVRE ﬁn ß İI ΣΑΣ", "a\U0001f600é"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    rows = df.select("i", F.lower("text"), fold_to_ascii(F.col("text"))).orderBy("i").toArrow()
+    for low, high, data, offsets in slices(rows.column(1).combine_chunks()):
+        folded, ends = ngrams.fold(data, offsets)
+        whole = folded.tobytes().decode("ascii")
+        found = [whole[a:b] for a, b in zip(ends[:-1], ends[1:])]
+        assert found == rows.column(2).to_pylist()[low:high]
+    # nothing is folded before the texts are in the tasks
+    plan = df.select(ngrams.Cut(1, 2).text("text"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "translate" not in plan
