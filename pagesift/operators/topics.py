@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast, StorageLevel
 from pyspark.ml.clustering import LDA, LDAModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -17,6 +20,12 @@ from pagesift.session import materialise, stored
 
 # monotonically_increasing_id puts the partition number above this bit
 _ROW_BITS = 33
+#: documents of a block of a factorisation
+BLOCK_ROWS = 1000
+#: keeps quotients of a factorisation finite
+FLOOR = 1e-12
+_ENTRY = "struct<idx:int,value:double>"
+_BLOCK = ["ids", "lengths", "idx", "value", "w"]
 
 
 def dense_numbers(df: DataFrame, order: list[str], out: str) -> DataFrame:
@@ -115,15 +124,98 @@ class Factorisation:
     losses: list[float]
 
 
-def _literal(values: list[float]) -> Column:
-    """A constant array, sent as one text instead of one expression per number."""
-    return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
-
-
 def _start(component: int, idx: int) -> float:
     return 0.1 + ((idx * 7919 + component * 104_729) % 1009) / 1009
 
 
+def _one(values) -> pa.Array:
+    """A list column of one row."""
+    values = values if isinstance(values, pa.Array) else pa.array(values)
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+def _packer(width: int):
+    """Rows of (sample_id, features, w) as blocks of at most BLOCK_ROWS documents.
+
+    A document without features, or with one that is null or not below `width`, has no weights.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, BLOCK_ROWS):
+                ids, features, weights = batch.slice(low, BLOCK_ROWS).columns
+                lengths = features.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                idx, value = features.flatten().flatten()
+                known = idx.is_valid().to_numpy(False) & value.is_valid().to_numpy(False)
+                idx = idx.fill_null(-1).to_numpy(zero_copy_only=False)
+                value = value.fill_null(0.0).to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(len(lengths)), lengths)
+                whole = features.is_valid().to_numpy(False).copy()
+                whole[row[~(known & (idx >= 0) & (idx < width))]] = False
+                w = weights.flatten().to_numpy(zero_copy_only=False).reshape(len(lengths), -1).copy()
+                w[~whole] = np.nan
+                kept = whole[row]
+                columns = [ids, np.where(whole, lengths, 0).astype(np.int32), idx[kept], value[kept], w.ravel()]
+                yield pa.RecordBatch.from_arrays(list(map(_one, columns)), _BLOCK)
+
+    return run
+
+
+def _updater(shared: Broadcast, l1: float, l2: float):
+    """A round over blocks: the weights are updated, and the sums for H and the loss are taken with them.
+
+    Sums are listed by feature; those of feature -1 are the sums of the weights, with the block's loss.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h = shared.value
+        scale = h.sum(axis=1) + l1 + FLOOR
+        for batch in batches:
+            for n in range(batch.num_rows):
+                packed = [batch.column(name)[n].values for name in _BLOCK]
+                lengths, idx, value, w = (c.to_numpy(zero_copy_only=False) for c in packed[1:])
+                w = w.reshape(len(lengths), len(h))
+                row = np.repeat(np.arange(len(lengths)), lengths)
+                own = h[:, idx]
+
+                def ratios(w: np.ndarray) -> np.ndarray:
+                    return value / (FLOOR + sum(w[row, k] * own[k] for k in range(len(h))))
+
+                ratio = ratios(w)
+                gain = [np.bincount(row, ratio * part, len(lengths)) for part in own]
+                w = w * np.stack(gain, axis=1) / (scale + l2 * w)
+                ratio = ratios(w)
+                found, place = np.unique(idx, return_inverse=True)
+                sums = [
+                    np.append(np.bincount(place, ratio * w[row, k], len(found)), np.nansum(w[:, k]))
+                    for k in range(len(h))
+                ]
+                # a ratio without a logarithm is left out
+                logs = np.log(ratio, where=ratio > 0, out=np.ones(len(ratio)))
+                loss = np.zeros(len(found) + 1)
+                loss[-1] = np.where(ratio > 0, value * logs - value, 0.0).sum()
+                listed = [np.append(found, -1).astype(np.int32), *sums, loss]
+                yield pa.RecordBatch.from_arrays(
+                    [*map(_one, [*packed[:4], w.ravel()]), *map(_one, listed)],
+                    [*_BLOCK, "sum_idx", *[f"sum{k}" for k in range(len(h))], "loss"],
+                )
+
+    return run
+
+
+def _unpacker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(sample_id, w) of blocks; null in place of a document's missing weights."""
+    for batch in batches:
+        for n in range(batch.num_rows):
+            ids, w = (batch.column(name)[n].values for name in ("ids", "w"))
+            components = len(w) // len(ids)
+            offsets = pa.array(np.arange(0, len(w) + 1, components), pa.int32())
+            values = pa.array(w.to_numpy(zero_copy_only=False), from_pandas=True)
+            yield pa.RecordBatch.from_arrays(
+                [ids, pa.ListArray.from_arrays(offsets, values)], ["sample_id", "w"]
+            )
+
+
 def fit_nmf(
     features: DataFrame,
     width: int,
@@ -136,94 +228,58 @@ def fit_nmf(
 ) -> Factorisation:
     """Factors the long matrix of (sample_id, features) under the generalised KL divergence.
 
-    H has components x width numbers and goes to each task as literals. A document's weights
-    are updated in its own row; the update of H is one aggregate with at most `width` groups.
+    H has components x width numbers and is broadcast each round. Documents are packed into blocks
+    once; a round is one pass over the blocks, in tasks, which updates their weights, and one
+    aggregate with at most `width` groups, which updates H.
     """
-    floor = 1e-12
     l1, l2 = alpha * l1_ratio, alpha * (1 - l1_ratio)
     names = [f"w{k}" for k in range(components)]
-    h = [[_start(k, j) for j in range(width)] for k in range(components)]
-    state = features.select(
-        "sample_id",
-        "features",
-        *[
-            ((F.pmod(F.xxhash64("sample_id", F.lit(k)), F.lit(1000)) + 1) / 1000).alias(n)
-            for k, n in enumerate(names)
-        ],
-    ).persist(StorageLevel.MEMORY_AND_DISK)
+    h = np.array([[_start(k, j) for j in range(width)] for k in range(components)])
+    begin = F.array(
+        *[(F.pmod(F.xxhash64("sample_id", F.lit(k)), F.lit(1000)) + 1) / 1000 for k in range(components)]
+    )
+    kind = features.schema["sample_id"].dataType.simpleString()
+    shape = f"ids array<{kind}>, lengths array<int>, idx array<int>, value array<double>, w array<double>"
+    blocks = features.select(
+        "sample_id", F.col("features").cast(f"array<{_ENTRY}>"), begin.alias("w")
+    ).mapInArrow(_packer(width), shape)
+    held = blocks = blocks.persist(StorageLevel.MEMORY_AND_DISK)
+    summed = [f"sum{k}" for k in range(components)]
+    listed = "".join(f", {name} array<double>" for name in [*summed, "loss"])
     losses: list[float] = []
     for number in range(1, rounds + 1):
-        rows = [_literal(component) for component in h]
-
-        def fitted(idx: Column) -> Column:
-            total = F.lit(floor)
-            for n, row in zip(names, rows):
-                total = total + F.col(n) * F.get(row, idx)
-            return total
-
-        def gain(row: Column) -> Column:
-            return F.aggregate(
-                "_ratios", F.lit(0.0), lambda acc, x: acc + x["r"] * F.get(row, x["idx"])
-            )
-
-        ratios = state.withColumn(
-            "_ratios",
-            F.transform(
-                "features",
-                lambda f: F.struct(f["idx"].alias("idx"), (f["value"] / fitted(f["idx"])).alias("r")),
-            ),
-        )
-        updated = ratios.select(
-            "sample_id",
-            "features",
-            *[
-                (
-                    F.col(n)
-                    * gain(row)
-                    / (F.lit(sum(h[k]) + l1 + floor) + l2 * F.col(n))
-                ).alias(n)
-                for k, (n, row) in enumerate(zip(names, rows))
-            ],
-        )
+        shared = features.sparkSession.sparkContext.broadcast(h)
+        updated = blocks.mapInArrow(_updater(shared, l1, l2), f"{shape}, sum_idx array<int>{listed}")
         if number % checkpoint_every == 0:
             updated = materialise(updated)
         else:
             updated = updated.persist(StorageLevel.MEMORY_AND_DISK)
-
-        cells = updated.select("sample_id", *names, F.inline_outer("features")).filter(
-            F.col("idx").isNotNull()
-        )
-        value, model = F.col("value"), fitted(F.col("idx"))
         sums = (
-            cells.groupBy("idx")
-            .agg(
-                *[F.sum(value / model * F.col(n)).alias(n) for n in names],
-                F.sum(value * F.ln(value / model) - value).alias("loss"),
-            )
-            .collect()
-        )
-        totals = updated.agg(*[F.sum(n).alias(n) for n in names]).first()
-        losses.append(
-            sum(row["loss"] for row in sums)
-            + sum(totals[n] * sum(h[k]) for k, n in enumerate(names))
+            updated.select(F.inline(F.arrays_zip("sum_idx", *summed, "loss")))
+            .groupBy("sum_idx")
+            .agg(*[F.sum(name).alias(name) for name in [*summed, "loss"]])
+            .toArrow()
         )
-        gains = {row["idx"]: row for row in sums}
-        h = [
-            [
-                h[k][j]
-                * (gains[j][n] if j in gains else 0.0)
-                / (totals[n] + l1 + l2 * h[k][j] + floor)
-                for j in range(width)
-            ]
-            for k, n in enumerate(names)
-        ]
-        state.unpersist()
-        state = updated
+        idx = sums["sum_idx"].to_numpy()
+        inside = idx >= 0
+        gains, totals = np.zeros(h.shape), np.zeros(components)
+        for k, name in enumerate(summed):
+            values = sums[name].to_numpy()
+            gains[k, idx[inside]] = values[inside]
+            totals[k] = values[~inside].sum()
+        losses.append(float(sums["loss"].to_numpy().sum() + totals @ h.sum(axis=1)))
+        h = h * gains / (totals[:, None] + l1 + l2 * h + FLOOR)
+        held.unpersist()
+        held, blocks = updated, updated.select(*_BLOCK)
         if len(losses) > 1 and losses[-2] - losses[-1] < tolerance * abs(losses[0]):
             break
-    weights = stored(state.select("sample_id", *names), "weights")
-    state.unpersist()
-    return Factorisation(weights, h, losses)
+    unpacked = blocks.mapInArrow(_unpacker, f"sample_id {kind}, w array<double>")
+    weights = stored(
+        unpacked.select("sample_id", *[F.get("w", F.lit(k)).alias(n) for k, n in enumerate(names)]),
+        "weights",
+    )
+    held.unpersist()
+    return Factorisation(weights, h.tolist(), losses)
 
 
 def nmf_topics(

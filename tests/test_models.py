@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
@@ -94,6 +95,43 @@ def test_nmf_loss_never_rises(spark):
     assert len(top) == 6
 
 
+def plain_nmf(matrix, w, h, rounds, l1, l2):
+    """Rounds on a dense matrix; returns the weights, components and losses."""
+    losses = []
+    for _ in range(rounds):
+        w = w * ((matrix / (w @ h + 1e-12)) @ h.T) / (h.sum(1) + l1 + l2 * w + 1e-12)
+        fit = w @ h + 1e-12
+        ratio = matrix / fit
+        logs = np.where(ratio > 0, matrix * np.log(np.where(ratio > 0, ratio, 1)) - matrix, 0)
+        losses.append(logs.sum() + (w.sum(0) * h.sum(1)).sum())
+        h = h * (w.T @ ratio) / (w.sum(0)[:, None] + l1 + l2 * h + 1e-12)
+    return w, h, losses
+
+
+def test_nmf_agrees_with_dense_rounds(spark, monkeypatch):
+    monkeypatch.setattr(topics, "BLOCK_ROWS", 3)
+    width, ids = 4, list(range(20))
+    matrix = np.array([[(i * 7 + j * 3) % 5 for j in range(width)] for i in ids], float)
+    matrix[:, 3] = 0  # a feature that is listed with zeros alone
+    matrix[5] = 0
+    data = [(i, [(j, float(x)) for j, x in enumerate(row)] if i != 5 else []) for i, row in zip(ids, matrix)]
+    # documents with features that do not count have no weights
+    data += [(100, None), (101, [(width, 1.0)]), (102, [(0, None)]), (103, [(None, 1.0), (1, 1.0)])]
+    df = spark.createDataFrame(data, "sample_id bigint, features array<struct<idx:int,value:double>>")
+    fitted = topics.fit_nmf(df, width, components=3, rounds=6, tolerance=0.0, checkpoint_every=2)
+    start = df.filter("sample_id < 100").select(
+        "sample_id",
+        *[((F.pmod(F.xxhash64("sample_id", F.lit(k)), F.lit(1000)) + 1) / 1000).alias(f"w{k}") for k in range(3)],
+    )
+    w = np.array([row[1:] for row in sorted(map(tuple, start.collect()))])
+    h = np.array([[topics._start(k, j) for j in range(width)] for k in range(3)])
+    w, h, losses = plain_nmf(matrix, w, h, 6, 0.05, 0.05)
+    assert np.allclose(fitted.losses, losses) and np.allclose(fitted.components, h)
+    rows = {row[0]: row[1:] for row in map(tuple, fitted.weights.collect())}
+    assert np.allclose([rows[i] for i in ids], w)
+    assert all(rows[i] == (None, None, None) for i in range(100, 104)) and len(rows) == 24
+
+
 def texts(spark):
     data = [(i, i % 2, ("html body div " if i % 2 else "var function call ") * 5, f"s{i % 3}") for i in range(40)]
     return spark.createDataFrame(data, "sample_id int, label int, content string, set_name string")
