@@ -27,6 +27,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,30 +41,32 @@ CHUNK = 1 << 15
 FAN = 16
 #: pairs of ids that are broadcast
 HOT_PAIRS = 500_000
-#: encoded words that a worker remembers, at most twice as many, and the longest of them
-WORDS, WORD_CHARS = 100_000, 200
+#: encoded words that a worker remembers, at most twice as many between two slices, the longest of
+#: them, and the links of all
+WORDS, WORD_CHARS, WORD_LINKS = 100_000, 200, 4_000_000
 #: characters encoded at a time
 SLICE_CHARS = 1_000_000
 
 _PLACE = re.compile(r"(?<=\S)(?= \S)")
-#: words that end at such places wherever they stand
-_PLAIN = re.compile(r" \S(?:.*\S)?", re.DOTALL)
 #: blanks beside blanks, or beside an end of the text
 _BLANKS = re.compile(r"\s | \s|^\s|\s$")
+#: white space but the space and the line feed
+_OTHER_BLANKS = re.compile(
+    "[" + "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n") + "]"
+)
 _SIDE = 1 << 32
 
 
-class Word(NamedTuple):
-    """The alignment of a text whose end is a token end on both sides."""
+class Words(NamedTuple):
+    """Alignments of words, whose ends are token ends on both sides, in flat arrays. counts has tokens of A,
+    tokens of B, groups, links and bytes; groups end with a semicolon each; the codes of all words follow
+    one another. A word whose tokens' bytes are not its own has no token."""
 
-    size: int
-    n_a: int
-    n_b: int
-    n_groups: int
-    n_links: int
-    groups: str
+    words: list[str]
+    counts: np.ndarray
+    groups: pa.StringArray
     codes: np.ndarray
-    valid: bool = True
+    valid: np.ndarray
 
 
 class Fragment(NamedTuple):
@@ -189,8 +192,11 @@ class Aligner:
             self.b_bytes.append(whole)
         self.a_sizes = np.array([len(t) for t in self.a_bytes])
         self.b_sizes = np.array([len(t) for t in self.b_bytes])
-        self.words: dict[str, Word] = {}
-        self.older: dict[str, Word] = {}
+        # ids as the groups' text lists them, each with what may follow it
+        most = max(len(self.a_bytes), len(self.b_bytes))
+        self.listed = [f"{n}{mark}" for n in range(most) for mark in ",|;"]
+        self.listed_sizes = np.array([len(t) for t in self.listed])
+        self._remember([])
 
     def _encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Token ids of texts that begin with a space, which B adds itself."""
@@ -216,23 +222,38 @@ class Aligner:
                 start, from_a, from_b = at_a, i, j
         return groups
 
-    def _words(self, words: list[str]) -> Iterator[tuple[str, Word]]:
+    def _remember(self, parts: list[Words]) -> None:
+        """The words known from now on, numbered by their place."""
+        self.names = list(chain.from_iterable(p.words for p in parts))
+        self.places = {word: n for n, word in enumerate(self.names)}
+        self.again = np.zeros(len(self.names), bool)
+        self.counts, self.codes, self.valid = np.zeros((0, 5), np.int64), np.zeros(0, np.int64), self.again[:0]
+        self.groups = pa.array([], pa.string())
+        self._append(parts)
+
+    def _append(self, parts: list[Words]) -> None:
+        self.groups = pa.concat_arrays([self.groups, *[p.groups for p in parts]])
+        self.counts = np.concatenate([self.counts, *[p.counts for p in parts]])
+        self.codes = np.concatenate([self.codes, *[p.codes for p in parts]])
+        self.valid = np.concatenate([self.valid, *[p.valid for p in parts]])
+        links = self.counts[:, 3]
+        self.starts = np.cumsum(links) - links
+
+    def _words(self, words: list[str]) -> Iterator[Words]:
         """The alignments of words, in no particular order."""
         # plain words are encoded many at a time: tokens do not reach across their ends
-        plain = [w for w in words if _PLAIN.fullmatch(w)]
-        texts = ["".join(plain[low : low + 256]) for low in range(0, len(plain), 256)]
-        others = [w for w in words if not _PLAIN.fullmatch(w)]
-        a, b = self._encode(texts + others)
-        yield from self._split(plain, a[: len(texts)], b[: len(texts)])
-        for n, word in enumerate(others, len(texts)):
-            yield from self._split([word], a[n : n + 1], b[n : n + 1])
-
-    def _split(
-        self, words: list[str], a: list[list[int]], b: list[list[int]]
-    ) -> Iterator[tuple[str, Word]]:
+        plain, others = [], []
+        for w in words:
+            (plain if w[0] == " " and w[1:] == w.strip() != "" else others).append(w)
+        if plain:
+            texts = ["".join(plain[low : low + 256]) for low in range(0, len(plain), 256)]
+            yield from self._split(plain, *self._encode(texts))
+        if others:
+            for word, a, b in zip(others, *self._encode(others)):
+                yield from self._split([word], [a], [b])
+
+    def _split(self, words: list[str], a: list[list[int]], b: list[list[int]]) -> Iterator[Words]:
         """The alignments of consecutive words from their tokens."""
-        if not words:
-            return
         raw = [w.encode() for w in words]
         a, b = (np.fromiter(chain.from_iterable(ids), np.int64) for ids in (a, b))
         whole = b"".join(raw)
@@ -241,11 +262,13 @@ class Aligner:
             for names, ids in ((self.a_bytes, a), (self.b_bytes, b))
         )
         if not same and len(words) > 1:
-            for word in words:
-                yield from self._split([word], *self._encode([word]))
+            half = len(words) // 2
+            for part in (words[:half], words[half:]):
+                yield from self._split(part, *self._encode(["".join(part)]))
             return
         if not same:
-            yield words[0], Word(len(whole), 0, 0, 0, 0, "", np.zeros(0, np.int64), False)
+            counts = np.array([[0, 0, 0, 0, len(whole)]])
+            yield Words(words, counts, pa.array([""]), np.zeros(0, np.int64), np.zeros(1, bool))
             return
         a_ends, b_ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
         ends = np.intersect1d(a_ends, b_ends, assume_unique=True)
@@ -263,74 +286,99 @@ class Aligner:
             np.where(np.arange(len(b)) == (b_first + b_count - 1)[b_group], 2, 0),
         ])
         order = np.argsort(np.concatenate([2 * a_group, 2 * b_group + 1]), kind="stable")
-        listed = [
-            f"{number}{',|;'[mark]}"
-            for number, mark in zip(np.concatenate([a, b])[order].tolist(), marks[order].tolist())
-        ]
-        group_links = np.concatenate([[0], np.cumsum(a_count * b_count)])
-        group_a, group_b = (np.concatenate([[0], np.cumsum(c)]) for c in (a_count, b_count))
+        listed = (3 * np.concatenate([a, b]) + marks)[order]
+        text = "".join(map(self.listed.__getitem__, listed.tolist()))
         sizes = np.array([len(r) for r in raw])
         last = np.searchsorted(ends, np.cumsum(sizes)) + 1
-        first = np.concatenate([[0], last[:-1]])
-        columns = zip(
-            words,
-            sizes.tolist(),
-            group_a[first].tolist(),
-            group_a[last].tolist(),
-            group_b[first].tolist(),
-            group_b[last].tolist(),
-            (last - first).tolist(),
-            group_links[first].tolist(),
-            group_links[last].tolist(),
-        )
-        for word, size, low_a, high_a, low_b, high_b, groups, low, high in columns:
-            text = "".join(listed[low_a + low_b : high_a + high_b])
-            yield (
-                word,
-                Word(size, high_a - low_a, high_b - low_b, groups, high - low, text[:-1], codes[low:high]),
-            )
-
-    def known(self, cuts: list[list[str]]) -> dict[str, Word]:
-        """The alignments of all words of texts that are cut into words."""
+        before = [np.concatenate([[0], np.cumsum(c)]) for c in (a_count, b_count, a_count * b_count)]
+        until = [np.concatenate([[0], c[last]]) for c in before]
+        counts = [*(np.diff(c) for c in until[:2]), np.diff(last, prepend=0), np.diff(until[2]), sizes]
+        at = np.concatenate([[0], np.cumsum(self.listed_sizes[listed])])[until[0] + until[1]]
+        offsets = pa.py_buffer(at.astype(np.int32))
+        groups = pa.StringArray.from_buffers(len(words), offsets, pa.py_buffer(text.encode()))
+        yield Words(words, np.stack(counts, axis=1), groups, codes, np.ones(len(words), bool))
+
+    def _forget(self) -> None:
+        """Only words that were asked for more than once are kept, and no long ones."""
+        if len(self.names) <= 2 * WORDS and len(self.codes) <= WORD_LINKS:
+            return
+        kept = [n for n in np.flatnonzero(self.again).tolist() if len(self.names[n]) <= WORD_CHARS][-WORDS:]
+        at = np.array(kept, np.int64)
+        codes = self.codes[self._links(at)]
+        if len(codes) > WORD_LINKS // 2:
+            self._remember([])
+            return
+        names, groups = [self.names[n] for n in kept], self.groups.take(pa.array(at))
+        self._remember([Words(names, self.counts[at], groups, codes, self.valid[at])])
+
+    def _links(self, at: np.ndarray) -> np.ndarray:
+        """Where the codes of the words at these places are."""
+        links = self.counts[at, 3]
+        ends = np.cumsum(links)
+        return np.repeat(self.starts[at] - ends + links, links) + np.arange(links.sum())
+
+    def known(self, cuts: list[list[str]]) -> dict[str, int]:
+        """The places of all words of texts that are cut into words, valid until the next call."""
+        self._forget()
         wanted = set().union(*cuts)
-        found = {w: self.words[w] for w in wanted if w in self.words}
-        new = wanted.difference(found)
-        for word in new.intersection(self.older):
-            # a copy, since codes are parts of large arrays
-            own = self.older[word]
-            found[word] = self.words[word] = own._replace(codes=own.codes.copy())
-        new = list(new.difference(found))
+        new = [w for w in wanted if w not in self.places]
+        found = [self.places[w] for w in wanted.difference(new)]
+        self.again[found] = True
         for low in range(0, len(new), 10_000):
-            found.update(self._words(new[low : low + 10_000]))
-        self.words.update((w, found[w]) for w in new if len(w) <= WORD_CHARS)
-        if len(self.words) > WORDS:
-            # those that nobody asks for until the next time are forgotten
-            self.words, self.older = {}, self.words
+            parts = list(self._words(new[low : low + 10_000]))
+            for part in parts:
+                self.places.update(zip(part.words, range(len(self.names), len(self.names) + len(part.words))))
+                self.names.extend(part.words)
+            self._append(parts)
+        self.again = np.concatenate([self.again, np.zeros(len(new), bool)])
+        return self.places
+
+    def places_of(self, texts: list[str]) -> list[np.ndarray]:
+        """The places of each text's words; the texts begin with a space, or are empty."""
+        others = {n: _PLACE.split(t) for n, t in enumerate(texts) if t and _crowded(t)}
+        single = [n for n, t in enumerate(texts) if t and n not in others]
+        cut = pc.split_pattern(pa.array([texts[n][1:] for n in single], pa.large_string()), " ")
+        coded = cut.flatten().dictionary_encode()
+        distinct = [" " + word for word in coded.dictionary.to_numpy(zero_copy_only=False)]
+        known = self.known([distinct, *others.values()])
+        at = np.array([known[w] for w in distinct], np.int64)[coded.indices.to_numpy()]
+        ends = cut.offsets.to_numpy()
+        found = [np.zeros(0, np.int64)] * len(texts)
+        for n, low, high in zip(single, ends, ends[1:]):
+            found[n] = at[low:high]
+        for n, words in others.items():
+            found[n] = np.array([known[w] for w in words], np.int64)
         return found
 
-    def whole(self, words: list[Word]) -> Fragment:
-        """The fragment of a whole text."""
-        _, n_a, n_b, n_groups, n_links, groups, codes, valid = zip(*words)
-        distinct, links = np.unique(np.concatenate(codes), return_counts=True)
-        numbers = sum(n_a), sum(n_b), sum(n_groups), sum(n_links)
-        text = ";".join(groups)
-        return Fragment(all(valid), True, [], [], *numbers, text, distinct, links, [], [])
-
-    def range(self, words: list[str], known: dict[str, Word], low: int, high: int) -> Fragment:
+    def whole(self, places: list[int] | np.ndarray) -> Fragment:
+        """The fragment of the words at these places."""
+        at = np.asarray(places)
+        distinct, links = np.unique(self.codes[self._links(at)], return_counts=True)
+        numbers = self.counts[at, :4].sum(axis=0).tolist()
+        # the taken groups follow one another in their buffer
+        taken = self.groups.take(pa.array(at))
+        size = int(np.frombuffer(taken.buffers()[1], np.int32)[len(at)])
+        text = taken.buffers()[2][: max(size - 1, 0)].to_pybytes().decode() if size else ""
+        return Fragment(bool(self.valid[at].all()), True, [], [], *numbers, text, distinct, links, [], [])
+
+    def range(self, words: list[str], known: dict[str, int], low: int, high: int) -> Fragment:
         """The fragment of the tokens that end behind byte `low` and not behind `high`."""
-        parts, inside, at = [], [], 0
-        for text in words:
-            word = known[text]
-            if low <= at and at + word.size <= high:
-                inside.append(word)
-            elif at < high and at + word.size > low:
-                if inside:
-                    parts.append(self.whole(inside))
-                    inside = []
-                parts.append(self._cut_word(text, low - at, high - at))
-            at += word.size
-        if inside:
-            parts.append(self.whole(inside))
+        places = np.array([known[w] for w in words])
+        ends = np.cumsum(self.counts[places, 4])
+        begins = ends - self.counts[places, 4]
+        inside = (low <= begins) & (ends <= high)
+        parts = []
+        # the words that an end of the range cuts, and those inside between them
+        cut = np.flatnonzero(~inside & (begins < high) & (ends > low)).tolist()
+        start = 0
+        for n in [*cut, len(words)]:
+            whole = start + np.flatnonzero(inside[start:n])
+            if len(whole):
+                parts.append(self.whole(places[whole]))
+            if n < len(words):
+                at = int(begins[n])
+                parts.append(self._cut_word(words[n], low - at, high - at))
+            start = n + 1
         return compose(parts)
 
     def _cut_word(self, text: str, low: int, high: int) -> Fragment:
@@ -382,9 +430,17 @@ def _aligner(files: Broadcast) -> Aligner:
     return _ALIGNERS[key]
 
 
+def _crowded(text: str) -> bool:
+    """Whether a text that begins with a space has blanks beside others, or beside an end."""
+    if any(pair in text for pair in ("  ", " \n", "\n ")) or text[-1].isspace() or text[1].isspace():
+        return True
+    # the slow pattern only where there is rarer white space
+    return bool(_OTHER_BLANKS.search(text) and _BLANKS.search(text, 1))
+
+
 def words_of(text: str) -> list[str]:
     """The words of a text that begins with a space, each with the space before it."""
-    if _BLANKS.search(text, 1):
+    if _crowded(text):
         return _PLACE.split(text)
     return [" " + word for word in text[1:].split(" ")]
 
@@ -465,12 +521,11 @@ def _document_aligner(files: Broadcast, chunk: int):
             texts = [" " + t if t else "" for t in texts]
             for low, high in _slices(texts):
                 rows = []
-                cuts = [words_of(t) if 0 < len(t) <= chunk else [] for t in texts[low:high]]
-                known = aligner.known(cuts)
-                for n, cut in zip(range(low, high), cuts):
+                found = aligner.places_of([t if len(t) <= chunk else "" for t in texts[low:high]])
+                for n, places in zip(range(low, high), found):
                     key = numbers[n], ids[n]
-                    if cut:
-                        whole = aligner.whole([known[w] for w in cut])
+                    if len(places):
+                        whole = aligner.whole(places)
                         rows.append((*key, None, None, None, None, *_finished(whole)))
                     elif not texts[n]:
                         rows.append((*key, None, None, None, None, 0, 0, 0, 0, "", [], []))

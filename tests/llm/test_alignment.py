@@ -154,3 +154,43 @@ def test_query(spark, encoders):
     expected, _ = plain(encoders, [r.text for r in docs])
     found = result(QUERIES["op11_alignment"](spark, FOLDER))
     assert found == {r.doc_id: row for r, row in zip(docs, expected)}
+
+
+def test_one_foreign_word_does_not_split_the_others():
+    """Words beside one that B cannot give back are still encoded many at a time."""
+    files = [open(f"{TOKENIZERS}/{f}", "rb").read() for f in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    aligner = Aligner(*files)
+    words = [f" w{n}x" for n in range(2_000)] + [" a▁b"]
+    calls, encode = [], aligner._encode
+
+    def counted(texts):
+        calls.append(len(texts))
+        return encode(texts)
+
+    aligner._encode = counted
+    known = aligner.known([words])
+    assert len(calls) < 60
+    assert aligner.valid[[known[w] for w in words]].tolist() == [True] * 2_000 + [False]
+
+
+def test_forgotten_words_change_nothing(monkeypatch):
+    """A worker that remembers next to nothing aligns as one that remembers all."""
+    files = [open(f"{TOKENIZERS}/{f}", "rb").read() for f in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdeé語", k=rng.randrange(1, 9))) for _ in range(60)] + ["x" * 300, "two\nlines", "a▁b"]
+    texts = [" " + " ".join(rng.choices(words, k=rng.randrange(1, 30))) for _ in range(40)]
+    texts += ["  two", " x  y ", "", "  a b", " a\u2028 b", " a \u3000b", " a\u2028b c", " a\tb c", " a\n b", " 1\n\n2 3"]
+    whole = Aligner(*files)
+    expected = [repr(whole.whole(p)) if len(p) else "" for p in whole.places_of(texts)]
+    monkeypatch.setattr(alignment, "WORDS", 8)
+    few = Aligner(*files)
+    for _ in range(2):
+        found = []
+        for low in range(0, len(texts), 3):
+            found += [repr(few.whole(p)) if len(p) else "" for p in few.places_of(texts[low : low + 3])]
+        assert found == expected
+    few.known([[f" {n}" for n in range(99)] + [" " + "x" * 300]])
+    few.known([])
+    assert len(few.names) <= 8 and not any(len(w) > alignment.WORD_CHARS for w in few.names)
+    cuts = [alignment.words_of(t) if t else [] for t in texts]
+    assert cuts == [alignment._PLACE.split(t) if t else [] for t in texts]
