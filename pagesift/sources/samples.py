@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 
@@ -17,6 +18,9 @@ TYPE_TABLE_SCHEMA = T.StructType(
     [T.StructField("sha1", T.StringType()), T.StructField("file_type", T.StringType())]
 )
 
+#: rows of a list, and bytes of contents, that a task holds at a time
+LISTED_ROWS, READ_BYTES = 10_000, 4_000_000
+
 
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Rows of a scan that would leave half of the cores idle, hashed over all cores.
@@ -31,13 +35,11 @@ def scan_samples(spark: SparkSession, folder: str, empty_files: bool = True) ->
     """Every file below `folder`, or one file: (sample_id, path, name, content BINARY).
 
     Files are named by their SHA1, so the path identifies a sample. Unreadable files are skipped;
-    `unreadable_samples` names them. Spark's scan leaves empty files out, and `list_files` adds
-    them; a store that only Spark opens needs `empty_files` off.
+    `unreadable_samples` names them. Files are listed and read in tasks, so neither paths nor contents
+    pass the driver. With `empty_files` off Spark's own scan reads them, for a store that only Spark
+    opens: it leaves empty files out, and its list is held by the driver.
     """
-    found = _scanned(spark, folder)
-    if empty_files:
-        empty = list_files(spark, folder).filter("length = 0")
-        found = found.unionByName(empty.select("path", F.expr("X''").alias("content")))
+    found = _read(spark, folder) if empty_files else _scanned(spark, folder)
     return as_samples(found, "path", "path", "content")
 
 
@@ -68,26 +70,96 @@ def _lister(recursive: bool):
         for batch in batches:
             for folder in batch.column(0).to_pylist():
                 rows = []
-                store, base, prefix = open_store(folder)
-                infos = store.get_file_info([base])
-                if infos[0].type == FileType.Directory:
-                    infos = store.get_file_info(FileSelector(base, recursive=recursive))
-                for info in infos:
-                    inner = info.path[len(base) :].strip("/").split("/")
-                    if not any(part.startswith((".", "_")) for part in inner):
-                        rows.append((prefix + info.path, info.size or 0, info.type == FileType.Directory))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([r[0] for r in rows], pa.string()),
-                        pa.array([r[1] for r in rows], pa.int64()),
-                        pa.array([r[2] for r in rows], pa.bool_()),
-                    ],
-                    ["path", "length", "is_folder"],
-                )
+                for row in _listed(folder, recursive):
+                    rows.append(row)
+                    if len(rows) == LISTED_ROWS:
+                        yield _listing(rows)
+                        rows = []
+                yield _listing(rows)
 
     return run
 
 
+def _listing(rows: list[tuple[str, int, bool]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([r[0] for r in rows], pa.string()),
+            pa.array([r[1] for r in rows], pa.int64()),
+            pa.array([r[2] for r in rows], pa.bool_()),
+        ],
+        ["path", "length", "is_folder"],
+    )
+
+
+def _listed(folder: str, recursive: bool) -> Iterator[tuple[str, int, bool]]:
+    """(path, length, is_folder) of what is in a folder, or of one file. A local folder is read entry by
+    entry; other stores return the list of a folder at once."""
+    store, base, prefix = open_store(folder)
+    info = store.get_file_info([base])[0]
+    if info.type != FileType.Directory:
+        if not any(_hidden(part) for part in info.path[len(base) :].strip("/").split("/")):
+            yield prefix + info.path, info.size or 0, False
+        return
+    folders = [base]
+    while folders:
+        place = folders.pop()
+        for path, length, is_folder in _entries(store, place):
+            if not _hidden(path.rsplit("/", 1)[-1]):
+                yield prefix + path, length, is_folder
+                if is_folder and recursive:
+                    folders.append(path)
+
+
+def _entries(store: FileSystem, folder: str) -> Iterator[tuple[str, int, bool]]:
+    if isinstance(store, LocalFileSystem):
+        with os.scandir(folder) as entries:
+            for entry in entries:
+                # a link is what it leads to; one that leads nowhere is a file without content
+                is_folder = entry.is_dir()
+                yield entry.path, 0 if is_folder or not os.path.exists(entry.path) else entry.stat().st_size, is_folder
+    else:
+        for info in store.get_file_info(FileSelector(folder)):
+            yield info.path, info.size or 0, info.type == FileType.Directory
+
+
+def _hidden(name: str) -> bool:
+    return name.startswith((".", "_"))
+
+
+def _read(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, content) of every file of the list that can be read, read in tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _, prefix = open_store(folder)
+        paths, contents, held = [], [], 0
+        for batch in batches:
+            for path, length in zip(*(column.to_pylist() for column in batch.columns)):
+                content = b""
+                if length:
+                    try:
+                        with store.open_input_stream(path[len(prefix) :], compression=None) as source:
+                            content = source.read()
+                    except OSError:
+                        continue
+                paths.append(path)
+                contents.append(content)
+                held += len(content) + len(path)
+                if held >= READ_BYTES:
+                    yield _contents(paths, contents)
+                    paths, contents, held = [], [], 0
+        yield _contents(paths, contents)
+
+    # paths are few bytes beside what they name, so tasks must not be merged by them
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return list_files(spark, folder).repartition(tasks, "path").mapInArrow(run, "path string, content binary")
+
+
+def _contents(paths: list[str], contents: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(paths, pa.string()), pa.array(contents, pa.binary())], ["path", "content"]
+    )
+
+
 def open_store(folder: str) -> tuple[FileSystem, str, str]:
     """The store of a path, the path in it, and what stands before it in Spark's paths."""
     scheme = re.match(r"([A-Za-z][\w+.-]*):", folder)
@@ -101,8 +173,7 @@ def open_store(folder: str) -> tuple[FileSystem, str, str]:
 
 def unreadable_samples(spark: SparkSession, folder: str) -> DataFrame:
     """The paths that `scan_samples` skips: files that are listed, not empty, and have no content."""
-    # the filter makes the scan read the contents
-    read = _scanned(spark, folder).filter("length(content) > 0").select("path")
+    read = _read(spark, folder).filter("length(content) > 0").select("path")
     return list_files(spark, folder).filter("length > 0").select("path").join(read, "path", "left_anti")
 
 

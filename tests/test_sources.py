@@ -1,5 +1,6 @@
 import hashlib
 
+import pyarrow as pa
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -85,3 +86,22 @@ def test_samples_written_as_files(spark, tmp_path):
     assert sorted((r["name"], bytes(r["content"])) for r in found.collect()) == [
         ("aa1", b"x"), ("aa2", b""), ("b", b""), ("bc", "ü".encode()),
     ]
+
+
+def test_scanned_files_are_not_listed_by_the_driver(spark, tmp_path):
+    for i in range(30):
+        (tmp_path / "a").mkdir(exist_ok=True)
+        (tmp_path / "a" / f"{i:03d}.gz").write_bytes(b"x" * i)
+    found = samples.scan_samples(spark, str(tmp_path))
+    # a scan of Spark's holds every path in the plan
+    assert found.inputFiles() == []
+    got = {r["name"]: bytes(r["content"]) for r in found.collect()}
+    assert got == {f"{i:03d}.gz": b"x" * i for i in range(30)}
+
+
+def test_long_lists_leave_their_task_in_parts(tmp_path, monkeypatch):
+    for i in range(25):
+        (tmp_path / f"f{i}").write_bytes(b"x")
+    monkeypatch.setattr(samples, "LISTED_ROWS", 10)
+    batch = pa.RecordBatch.from_arrays([pa.array([str(tmp_path)])], ["path"])
+    assert [b.num_rows for b in samples._lister(True)([batch])] == [10, 10, 5]
